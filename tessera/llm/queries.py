@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import mixing, rans, repetition, simhash
+from tessera.llm import decontam, mixing, rans, repetition, secret_ledger, simhash
 from tessera.llm.common import scratch
 
 TOKENIZER = "word_bpe_49k.json"
@@ -33,6 +33,20 @@ def op4_simhash_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op6_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs, ledger = table(spark, sf_dir, "documents"), scratch(spark, "ledger")
+    secret_ledger.update(docs, ledger)
+    found = secret_ledger.findings(docs, ledger)
+    of = lambda kind: F.size(F.filter("found", lambda x: x["kind"] == kind)).cast("long").alias(f"n_{kind}")
+    base = F.filter("found", lambda x: x["kind"].isin([r.kind for r in secret_ledger.BASE]))
+    spans = secret_ledger.joined
+    return found.select("doc_id", *[of(r.kind) for r in secret_ledger.BASE], F.sha2(spans(base), 256).alias("base_sha256"), spans(F.col("found")).alias("spans"))
+
+
+def op7_spaced_seeds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.annotate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
@@ -46,6 +60,8 @@ def op10_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op3_suffix_repetition": op3_suffix_repetition,
     "op4_simhash_segments": op4_simhash_segments,
+    "op6_blob_ledger": op6_blob_ledger,
+    "op7_spaced_seeds": op7_spaced_seeds,
     "op8_source_mix": op8_source_mix,
     "op10_rans_tokens": op10_rans_tokens,
 }
