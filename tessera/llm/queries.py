@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, mixing, rans, repetition, secret_ledger, simhash
+from tessera.llm import decontam, mixing, pii, quotes, rans, repetition, secret_ledger, simhash, toxicity
 from tessera.llm.common import scratch
 
 TOKENIZER = "word_bpe_49k.json"
@@ -24,6 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_semicrf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return pii.annotate(table(spark, sf_dir, "documents"))
+
+
 def op3_suffix_repetition(spark: SparkSession, sf_dir: str) -> DataFrame:
     return repetition.annotate(table(spark, sf_dir, "documents"))
 
@@ -33,6 +37,10 @@ def op4_simhash_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", simhash.hexadecimal(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_quotation_links(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return quotes.link(table(spark, sf_dir, "conversations"))
+
+
 def op6_blob_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs, ledger = table(spark, sf_dir, "documents"), scratch(spark, "ledger")
     secret_ledger.update(docs, ledger)
@@ -51,6 +59,10 @@ def op8_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.taken(table(spark, sf_dir, "documents"))
 
 
+def op9_classifier_chain(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.annotate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     path = scratch(spark, "rans")
     rans.write(table(spark, sf_dir, "documents"), path, tokenizer_path())
@@ -58,11 +70,14 @@ def op10_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op2_semicrf_pii": op2_semicrf_pii,
     "op3_suffix_repetition": op3_suffix_repetition,
     "op4_simhash_segments": op4_simhash_segments,
+    "op5_quotation_links": op5_quotation_links,
     "op6_blob_ledger": op6_blob_ledger,
     "op7_spaced_seeds": op7_spaced_seeds,
     "op8_source_mix": op8_source_mix,
+    "op9_classifier_chain": op9_classifier_chain,
     "op10_rans_tokens": op10_rans_tokens,
 }
 
