@@ -9,7 +9,7 @@ held against limits. A text is a unit of its own, so the operator needs no shuff
 Defined results: null or empty text has no words and fails the base rule (fewer than 10 words);
 repeated rows give equal rows; an empty table gives an empty table; columns other than the id and
 the text are ignored (``annotate``) or passed through whatever their names (``keep_documents``);
-a null id stays null. Memory follows CHUNK_WORDS or the longest single text.
+a null id stays null. Memory follows CHUNK_BYTES or the longest single text.
 """
 
 from __future__ import annotations
@@ -24,7 +24,7 @@ from pyspark.sql import DataFrame
 
 from tessera.llm.common import SPACES, blobs, id_and_text, in_chunks
 
-CHUNK_WORDS = 250_000
+CHUNK_BYTES = 1_500_000
 SYMBOLS = b"#*$%&|<>"
 MIN_REPEAT = 5
 MIN_WORDS = 10
@@ -124,12 +124,12 @@ def lcp_intervals(sa: np.ndarray, lcp: np.ndarray, before: np.ndarray) -> Iterat
 
 def measure(texts: list[bytes], max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> list[tuple]:
     """A tuple of SCHEMA without doc_id for each text."""
-    split = [t.split() for t in texts]
     out: list[tuple] = []
-    for lo, hi in in_chunks([len(w) for w in split], CHUNK_WORDS):
-        sizes = np.array([len(w) for w in split[lo:hi]], np.int64)
+    for lo, hi in in_chunks([len(t) for t in texts], CHUNK_BYTES):
+        split = [t.split() for t in texts[lo:hi]]
+        sizes = np.array([len(w) for w in split], np.int64)
         starts = np.append(0, np.cumsum(sizes))
-        flat = [w for words in split[lo:hi] for w in words]
+        flat = [w for words in split for w in words]
         number: dict[bytes, int] = defaultdict(count(1).__next__)
         ids = np.fromiter(map(number.__getitem__, flat), np.int64, len(flat))
         chars_of = np.zeros(len(number) + 1, np.int64)

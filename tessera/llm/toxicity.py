@@ -1,7 +1,7 @@
 """Toxicity by a classifier chain.
 
 The label columns are predicted one after another. Each link is a linear (logistic) model over the
-hashed distinct words of a text, trained by FTRL-proximal, whose L1 term leaves weights only on
+hashed distinct words and word beginnings of a text, trained by FTRL-proximal, whose L1 term leaves weights only on
 words that tell; every later link also gets the log-odds of the links before it. In training
 those come from models that did not see the row (FOLDS folds), so a later link learns how far an
 earlier one can be trusted on new texts; in use they come from models fitted on all folds.
@@ -29,19 +29,25 @@ from tessera.llm.common import blobs, id_and_text
 
 BITS = 20
 FOLDS = 5
-EPOCHS = 2
+EPOCHS = 3
+PREFIXES = (4, 6)
 MAX_TRAIN = 20_000
 THRESHOLD = 0.5
-ALPHA, BETA, L1, L2 = 0.2, 1.0, 2.0, 1.0
+ALPHA, BETA, L1, L2 = 1.0, 1.0, 3.0, 0.1
 #: Punctuation counts as white space.
 _PUNCTUATION = bytes(32 if chr(c) in "!\"#$%&()*+,-./:;<=>?@[\\]^_`{|}~" else c for c in range(256))
 
 
 def feature_ids(text: bytes) -> np.ndarray:
-    """Hashed distinct words, lower-cased, punctuation dropped."""
+    """Hashed distinct words and word beginnings, lower-cased, punctuation dropped.
+
+    The beginnings (PREFIXES bytes) let an inflected form count that training did not hold.
+    """
     words = set(text.lower().translate(_PUNCTUATION).split())
-    mask = (1 << BITS) - 1
-    return np.unique(np.fromiter((zlib.crc32(w) & mask for w in words), np.int64, len(words)))
+    for n in PREFIXES:
+        words |= {b"^%d" % n + w[:n] for w in words if len(w) >= n and w[:1] != b"^"}
+    found = np.fromiter(map(zlib.crc32, words), np.int64, len(words))
+    return np.unique(found & ((1 << BITS) - 1))
 
 
 class Link:
