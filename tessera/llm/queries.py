@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, mixing, pii, quotes, rans, repetition, secret_ledger, simhash, toxicity
+from tessera.llm import decontam, lm, mixing, pii, quotes, rans, repetition, secret_ledger, simhash, toxicity
 from tessera.llm.common import scratch
 
 TOKENIZER = "word_bpe_49k.json"
@@ -24,6 +24,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_gated_lm(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return lm.annotate(table(spark, sf_dir, "documents"))
+
+
 def op2_semicrf_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pii.annotate(table(spark, sf_dir, "documents"))
 
@@ -70,6 +74,7 @@ def op10_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_gated_lm": op1_gated_lm,
     "op2_semicrf_pii": op2_semicrf_pii,
     "op3_suffix_repetition": op3_suffix_repetition,
     "op4_simhash_segments": op4_simhash_segments,
