@@ -1,8 +1,9 @@
 """Token ids in a static range-asymmetric-numeral-system (rANS) file format.
 
-A first pass counts every token id of all documents; the counts become one frequency table that
-all blocks share (every id of the vocabulary gets at least 1 of 2**20, so that any id can be
-written). A second pass deals the documents out by ascending id, encodes them and writes blocks.
+A first pass tokenises all documents, counts every id and stages the ids, deflated. The counts become one
+frequency table that all blocks share (every id of the vocabulary gets at least 1 of 2**20, so
+that any id can be written). A second pass deals the staged documents out by ascending id, encodes
+them and writes blocks; the stage is then deleted.
 
 A block holds whole documents, about BLOCK tokens of them, and stands alone: it can be decoded by anyone
 who has the table. Its tokens are cut into segments of SEGMENT; a checkpoint for each
@@ -16,7 +17,8 @@ Both are Parquet, so any store that Spark reads and writes serves, and a lost ta
 rewritten whole by Spark's commit protocol.
 
 Tokenising: white space is dropped by the tokenizer and no token crosses it, so distinct words
-are encoded once and kept (WORDS_KEPT at most). ``encode_batch`` on whole texts gives the same ids;
+are encoded once and those that recur are kept (beyond WORDS_KEPT the others are forgotten). Words of
+letters alone skip the normaliser and the splitting pattern, which leave them as they are. ``encode_batch`` on whole texts gives the same ids;
 texts with "<|" are encoded whole, as added tokens are matched before the lower-casing used here.
 
 Defined results: null or empty texts have the end id alone; null doc ids come first; repeated rows and
@@ -31,13 +33,15 @@ import os
 import zlib
 from collections.abc import Iterator
 from itertools import chain
+from unicodedata import is_normalized
 
 import numpy as np
 import pyarrow as pa
+import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import blobs, id_and_text, in_chunks
+from tessera.llm.common import blobs, drop_written, id_and_text, in_chunks, written
 
 SCALE = 20
 LOW = 1 << 31
@@ -86,6 +90,8 @@ class Words:
         # a word of letters is one piece and ends with the one token that has the suffix; only where
         # pieces are runs of letters and text is lower-cased can words be shared as below
         self.by_word = bool(suffix) and "Lowercase" in json.dumps(told["normalizer"]) and "[\\p{L}]+" in json.dumps(told["pre_tokenizer"]).replace("\\\\", "\\")
+        simple = told | {"normalizer": None, "pre_tokenizer": {"type": "Sequence", "pretokenizers": [{"type": "Split", "pattern": {"String": " "}, "behavior": "Removed", "invert": False}, {"type": "ByteLevel", "add_prefix_space": False, "trim_offsets": True, "use_regex": False}]}}
+        self.letters = Tokenizer.from_str(json.dumps(simple)) if self.by_word else self.tokenizer
         self.clear()
 
     @classmethod
@@ -97,6 +103,18 @@ class Words:
     def clear(self) -> None:
         self.index = _Numbers()
         self.flat, self.start, self.count, self.used = np.empty(1 << 16, np.uint32), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32), 0
+        self.seen = np.zeros(1 << 14, np.int64)
+
+    def _forget(self) -> None:
+        """Keep only words that were asked for again and again."""
+        words = list(self.index)
+        keep = np.flatnonzero(self.seen[: len(words)] >= 3)
+        counts, starts = self.count[keep].astype(np.int64), self.start[keep]
+        ids = self.flat[np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
+        self.clear()
+        if len(keep) < WORDS_KEPT // 2:
+            self._put([words[k] for k in keep], ids, counts)
+            self.index.new = []
 
     def _put(self, words: list[bytes], ids: np.ndarray, counts: np.ndarray) -> None:
         while self.used + len(ids) > len(self.flat):
@@ -104,6 +122,7 @@ class Words:
         at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         while len(self.index) > len(self.start):
             self.start, self.count = np.concatenate([self.start, np.empty_like(self.start)]), np.concatenate([self.count, np.empty_like(self.count)])
+            self.seen = np.concatenate([self.seen, np.zeros_like(self.seen)])
         self.flat[self.used : self.used + len(ids)] = ids
         self.start[at] = self.used + np.cumsum(counts) - counts
         self.count[at] = counts
@@ -123,12 +142,13 @@ class Words:
                 stems.add(w[:-1])
             else:
                 s = w.decode("utf-8", "replace")
-                (plain if s.isalpha() and max(s) < "ɐ" else rest).append(w)
+                (plain if s.isalpha() and max(s) < "ɐ" and s == s.lower() and is_normalized("NFC", s) else rest).append(w)
         plain += [w for w in stems if w not in self.index]
         for k in range(0, len(plain), 1 << 15):
             part = plain[k : k + (1 << 15)]
             joined = [b" ".join(part[i : i + 128]).decode() for i in range(0, len(part), 128)]
-            ids = np.fromiter(chain.from_iterable(self._direct(joined)), np.uint32)
+            got = self.letters.encode_batch_fast(joined, add_special_tokens=False)
+            ids = np.fromiter(chain.from_iterable(e.ids for e in got), np.uint32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(part):
                 self._put(part, ids, np.diff(cuts, prepend=0))
@@ -157,7 +177,7 @@ class Words:
     def _numbers(self, texts: list[bytes]) -> tuple[np.ndarray, list[int], dict[int, list[int]]]:
         """Word numbers of all texts, how many each has, and the ids of those encoded whole."""
         if len(self.index) > WORDS_KEPT:
-            self.clear()
+            self._forget()
         whole = {k: None for k, t in enumerate(texts) if not self.by_word or b"<|" in t}
         if whole:
             whole = dict(zip(whole, self._direct([texts[k].decode("utf-8", "replace") for k in whole]), strict=True))
@@ -166,20 +186,10 @@ class Words:
         numbers = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, sum(sizes))
         if self.index.new:
             self._learn()
+        times = np.bincount(numbers)
+        self.seen[: len(times)] += times
         return numbers, sizes, whole
 
-    def totals(self, texts: list[bytes]) -> np.ndarray:
-        """How often each id occurs in what ``encode`` would return."""
-        numbers, _, whole = self._numbers(texts)
-        times = np.bincount(numbers, minlength=1)
-        used = np.flatnonzero(times)
-        counts = self.count[used].astype(np.int64)
-        ids = self.flat[np.repeat(self.start[used] - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
-        out = np.bincount(ids, np.repeat(times[used], counts), self.size).astype(np.int64)
-        out += np.bincount(np.fromiter(chain.from_iterable(whole.values()), np.int64), minlength=self.size)
-        out[END_ID] += len(texts)
-        return out
-
     def encode(self, texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
         """Ids of all texts, one after another, END_ID after each, and how many each has."""
         numbers, words, whole = self._numbers(texts)
@@ -309,21 +319,56 @@ def decode_blocks(rows: list[dict], freq: np.ndarray) -> Iterator[tuple[dict, li
         first += n
 
 
-def count_ids(df: DataFrame, tokenizer: str, id_col: str, text_col: str) -> np.ndarray:
-    """How often each id occurs in all texts: one number for each id of the vocabulary."""
+def packed(ids: np.ndarray) -> bytes:
+    """Ids, low bytes before high ones, deflated."""
+    planes = ids.astype("<u4").view(np.uint8).reshape(-1, 4).T
+    top = 4 - int(np.argmax(planes[::-1].any(1))) if len(ids) else 1
+    return zstandard.ZstdCompressor(level=1).compress(bytes([top]) + planes[:top].tobytes())
+
+
+def unpacked(blob: bytes) -> np.ndarray:
+    raw = np.frombuffer(zstandard.ZstdDecompressor().decompress(blob), np.uint8)
+    planes = raw[1:].reshape(raw[0], -1)
+    out = np.zeros((planes.shape[1], 4), np.uint8)
+    out[:, : raw[0]] = planes.T
+    return out.view("<u4")[:, 0]
+
+
+STAGED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("totals", pa.binary())])
+
+
+def stage(df: DataFrame, tokenizer: str, id_col: str, text_col: str) -> DataFrame:
+    """A written table: a row for each document (doc_id, n, ids), and rows with how often each id occurs in a task's texts."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words.at(tokenizer)
         total = np.zeros(words.size, np.int64)
         for b in batches:
-            texts = blobs(b.column(1))
+            names, texts = b.column(0).to_pylist(), blobs(b.column(1))
             for lo, hi in in_chunks(list(map(len, texts)), CHUNK_BYTES):
-                total += words.totals(texts[lo:hi])
+                ids, sizes = words.encode(texts[lo:hi])
+                total += np.bincount(ids, minlength=words.size)
+                ends = np.cumsum(sizes)
+                found = [packed(ids[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(names[lo:hi], pa.int64()), pa.array(sizes), pa.array(found, pa.binary()), pa.nulls(hi - lo, pa.binary())], schema=STAGED)
+        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([0]), pa.nulls(1, pa.binary()), pa.array([packed(total.view("<u4"))], pa.binary())], schema=STAGED)
+
+    return written(id_and_text(df, id_col, text_col).mapInArrow(rows, "doc_id long, n long, ids binary, totals binary"), "ids")
+
+
+def count_ids(staged: DataFrame, size: int) -> np.ndarray:
+    """How often each id occurs: one number for each id of the vocabulary, summed where the tasks' counts lie."""
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        total = np.zeros(size, np.int64)
+        for b in batches:
+            for x in b.column(0).to_pylist():
+                total += np.ascontiguousarray(unpacked(x)).view(np.int64)
         found = np.flatnonzero(total)
         yield pa.RecordBatch.from_arrays([pa.array(found, pa.int32()), pa.array(total[found])], ["id", "n"])
 
-    counted = id_and_text(df, id_col, text_col).mapInArrow(rows, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
-    out = np.zeros(Words.at(tokenizer).size, np.int64)
+    counted = staged.where("totals IS NOT NULL").select("totals").mapInArrow(rows, "id int, n long").groupBy("id").agg(F.sum("n").alias("n"))
+    out = np.zeros(size, np.int64)
     for r in counted.toLocalIterator():
         out[r.id] = r.n
     return out
@@ -332,7 +377,8 @@ def count_ids(df: DataFrame, tokenizer: str, id_col: str, text_col: str) -> np.n
 def write(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> None:
     """Encode every text of df and write table and blocks below path."""
     spark = df.sparkSession
-    freq = frequencies(count_ids(df, tokenizer, id_col, text_col))
+    staged = stage(df, tokenizer, id_col, text_col)
+    freq = frequencies(count_ids(staged, Words.at(tokenizer).size))
     spark.createDataFrame([(k, int(f)) for k, f in enumerate(freq)], "id int, freq int").coalesce(1).write.parquet(f"{path}/table")
     shared = spark.sparkContext.broadcast(freq)
     names = [x.split()[0] for x in BLOCKS.split(", ")]
@@ -340,19 +386,21 @@ def write(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        part, block, start, words = TaskContext.get().partitionId(), 0, 0, Words.at(tokenizer)
+        part, block, start = TaskContext.get().partitionId(), 0, 0
         for b in batches:
-            ids, texts = b.column(0).to_pylist(), blobs(b.column(1))
-            for lo, hi in in_chunks(list(map(len, texts)), CHUNK_BYTES):
+            ids, sizes, blobs_ = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
+            for lo, hi in in_chunks(sizes, CHUNK_BYTES // 2):
+                tokens = np.concatenate([unpacked(x) for x in blobs_[lo:hi]])
                 found = []
-                for n_docs, *rest in encode_blocks(ids[lo:hi], *words.encode(texts[lo:hi]), shared.value):
+                for n_docs, *rest in encode_blocks(ids[lo:hi], tokens, np.array(sizes[lo:hi], np.int64), shared.value):
                     found.append((part, block, start, n_docs, *rest))
                     block, start = block + 1, start + rest[2]
                 yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in found], BLOCK_SCHEMA)
 
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = id_and_text(df, id_col, text_col).repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
+    dealt = staged.where("ids IS NOT NULL").select("doc_id", "n", "ids").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
     dealt.mapInArrow(rows, BLOCKS).write.parquet(f"{path}/blocks")
+    drop_written(staged)
 
 
 BLOCK_SCHEMA = pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in BLOCKS.split(", "))])
