@@ -41,7 +41,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import blobs, drop_written, id_and_text, in_chunks, written
+from tessera.llm.common import blobs, drop_written, id_and_text, importable, in_chunks, written
 
 SCALE = 20
 LOW = 1 << 31
@@ -408,6 +408,7 @@ BLOCK_SCHEMA = pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "binary":
 
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Decode all blocks below path: (doc_id, start, n_tokens, ids_crc32) for each document."""
+    importable(spark)
     freq = np.array([r.freq for r in spark.read.parquet(f"{path}/table").orderBy("id").toLocalIterator()], np.int64)
     shared = spark.sparkContext.broadcast(freq)
     blocks = spark.read.schema(BLOCKS).parquet(f"{path}/blocks")

@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import SPACES, blobs, id_and_text, in_chunks
+from tessera.llm.common import SPACES, blobs, id_and_text, importable, in_chunks
 
 CHUNK_BYTES = 1_500_000
 SYMBOLS = b"#*$%&|<>"
@@ -182,6 +182,7 @@ def annotate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
 
 def keep_documents(df: DataFrame, text_col: str = "text", max_covered: float = MAX_COVERED, max_longest: int = MAX_LONGEST) -> DataFrame:
     """The rows of df, all columns, that the quality rules keep."""
+    importable(df.sparkSession)
     at = df.columns.index(text_col)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
