@@ -136,10 +136,8 @@ def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str =
     Rows with null ids stay, as nothing names them.
     """
     found = classes(df, id_col, text_col)
-    first = found.where("doc_id = component_id").groupBy("doc_id").agg(F.count("*").alias("copies"))
-    first = first.select(F.col("doc_id").alias("__kept_id"), "copies").withColumnRenamed("copies", "__copies")
-    stay = df.join(first, F.col(id_col) == F.col("__kept_id"))
-    alone = stay.where("__copies = 1").select(*(stay[c] for c in df.columns))
-    again = stay.where("__copies > 1").select(*(stay[c] for c in df.columns))
-    once = again.dropDuplicates([id_col])
-    return alone.union(once).union(df.where(F.col(id_col).isNull()))
+    first = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__kept_id")).agg(F.count("*").alias("__copies"))
+    stay = df.join(first, df[id_col] == first["__kept_id"])
+    alone = stay.where("__copies = 1").drop("__kept_id", "__copies")
+    once = stay.where("__copies > 1").drop("__kept_id", "__copies").dropDuplicates([id_col])
+    return alone.union(once).union(df.where(df[id_col].isNull()))
