@@ -1,0 +1,113 @@
+"""Repairs of extracted text, line by line: what layout and formulas leave broken."""
+
+from __future__ import annotations
+
+import re
+import unicodedata
+
+import pandas as pd
+from pyspark.sql import Column
+from pyspark.sql import functions as F
+
+_HEADING = re.compile(r"^\d{1,2}(\.\d{1,2})*\.?$")
+_TITLE = re.compile(r"^[A-Z][A-Za-z][A-Za-z ,:&-]{1,70}$")
+
+
+def normal(line: str) -> str:
+    return re.sub(r"[^a-z0-9]+", " ", line.lower()).strip()
+
+
+def drop_early_repeats(lines: list[str], scan: int = 160) -> list[str]:
+    """Without header-like lines that came before among the first ``scan``."""
+    seen: set[str] = set()
+    out = []
+    for k, line in enumerate(lines):
+        key = normal(line)
+        if k < scan and 4 <= len(key) <= 120:
+            if key in seen:
+                continue
+            seen.add(key)
+        out.append(line)
+    return out
+
+
+def stitch_brackets(lines: list[str], most: int = 30) -> list[str]:
+    """Lines in which a round or square bracket stays open, joined up to where it closes."""
+    out, k = [], 0
+    while k < len(lines):
+        line, j = lines[k], k
+        for a, b in ("()", "[]"):
+            if line.rstrip().endswith(a) or (line.count(a) > line.count(b) and len(line) <= 60):
+                j, joined = k, line
+                while joined.count(a) > joined.count(b) and j - k < most and j + 1 < len(lines):
+                    j += 1
+                    joined = f"{joined.rstrip()} {lines[j].strip()}" if lines[j].strip() else joined
+                if joined.count(a) == joined.count(b):
+                    line = re.sub(r"([(\[]) ", r"\1", re.sub(r" ([)\],;])", r"\1", joined))
+                    break
+                j = k
+        out.append(line)
+        k = j + 1
+    return out
+
+
+def join_section_numbers(lines: list[str]) -> list[str]:
+    """A number alone on a line and the heading below it, as one line."""
+    out, k = [], 0
+    while k < len(lines):
+        j = k + 1
+        while j < len(lines) and not lines[j].strip() and j - k < 3:
+            j += 1
+        if _HEADING.match(lines[k].strip()) and j < len(lines) and _TITLE.match(lines[j].strip()):
+            out.append(f"{lines[k].strip()} {lines[j].strip()}")
+            k = j + 1
+        else:
+            out.append(lines[k])
+            k += 1
+    return out
+
+
+def join_leading_marks(lines: list[str]) -> list[str]:
+    """A line that begins with closing punctuation, joined to the one before."""
+    out: list[str] = []
+    for line in lines:
+        if out and out[-1].strip() and re.match(r"^[,;:.)\]](\s|$)", line.strip()):
+            out[-1] = out[-1].rstrip() + line.strip()
+        else:
+            out.append(line)
+    return out
+
+
+def drop_adjacent_repeats(lines: list[str], least: int = 20) -> list[str]:
+    """Without a line that says the same as the one before, an empty one between allowed."""
+    out: list[str] = []
+    for line in lines:
+        key = normal(line)
+        before = next((normal(x) for x in reversed(out[-2:]) if x.strip()), "")
+        if len(key) >= least and key == before:
+            continue
+        out.append(line)
+    return out
+
+
+def clean_lines(text: str | None, most: int = 120_000) -> str:
+    """All repairs, compatibility forms normalised, runs of empty lines as one."""
+    lines = [re.sub(r"[ \t]+", " ", unicodedata.normalize("NFKC", x)).strip() for x in (text or "").replace("\x00", "").split("\n")]
+    for step in (drop_early_repeats, stitch_brackets, join_section_numbers, join_leading_marks, drop_adjacent_repeats):
+        lines = step(lines)
+    return re.sub(r"\n{3,}", "\n\n", "\n".join(lines)).strip()[:most]
+
+
+def same_table(a: str, b: str, share: float = 0.92) -> bool:
+    """Whether two serialised tables are the same: equal, one within the other, or by most of the smaller one's tokens."""
+    x, y = normal(a), normal(b)
+    p, q = set(x.split()), set(y.split())
+    return x == y or (bool(x) and bool(y) and (x in y or y in x)) or (bool(p) and bool(q) and len(p & q) / min(len(p), len(q)) >= share)
+
+
+def _cleaned(text: pd.Series) -> pd.Series:
+    return text.map(clean_lines)
+
+
+def cleaned(text: str) -> Column:
+    return F.pandas_udf(_cleaned, "string")(text)

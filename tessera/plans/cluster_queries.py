@@ -219,9 +219,9 @@ def cluster_metrics_batch(t: Relations) -> DataFrame:
 
 @query(f"""
     WITH {COUNTS} SELECT c.id, {METRICS}, 1.0E0 AS recency_score, round(CAST(v6 + 0.5 * v24 + least(src, 10) * 0.3 AS double), 6) AS trending_score, round({IMPACT.replace(AGE, "0.0")}, 6) AS impact_score
-    FROM clusters c JOIN cm ON cm.cluster_id = c.id WHERE c.id % 100 = 42""")
+    FROM clusters c JOIN cm ON cm.cluster_id = c.id""")
 def cluster_metrics_single(t: Relations) -> DataFrame:
-    out = metrics.recompute_batch(t["clusters"].where("id % 100 = 42"), t["members"], t["sources"], now, single=True)
+    out = metrics.recompute_batch(t["clusters"], t["members"], t["sources"], now, single=True)
     return rounded(out.select(*METRIC_NAMES), "recency_score", "trending_score", "impact_score")
 
 

@@ -9,6 +9,8 @@ import re
 
 from pyspark.sql import DataFrame, SparkSession
 
+from tessera.session import importable
+
 DRIVER_TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
 
 ITEM_ID = "concat_ws('|', cast(l_orderkey as string), cast(l_partkey as string), cast(l_suppkey as string), cast(l_linenumber as string), substr(cast(l_shipdate as string), 1, 10))"
@@ -58,6 +60,22 @@ VIEWS = {
     "hides": "SELECT DISTINCT user_id, event_id % 1500 AS cluster_id FROM events WHERE event_type = 'error'",
     "watches": "SELECT user_id, event_id % 1500 AS cluster_id, min(ts) AS created_at FROM events WHERE event_type = 'click' GROUP BY user_id, event_id % 1500",
     "update_log": "SELECT conv_id AS cluster_id, turn AS seq, role AS change_type, text AS summary FROM conversations",
+    "links": """
+        SELECT page_id AS id, CASE page_id % 9 WHEN 0 THEN 'https://arxiv.org/abs/2401.00001' WHEN 1 THEN 'https://www.nature.com/articles/s41586-024-1' WHEN 2 THEN 'https://www.nature.com/articles/d41586-024-1'
+               WHEN 3 THEN 'https://www.nejm.org/doi/1' WHEN 4 THEN 'http://news.mit.edu/2024/a' WHEN 5 THEN 'https://www.nasa.gov/x' ELSE url END AS url,
+               CASE page_id % 5 WHEN 0 THEN 'journal' WHEN 1 THEN 'government' WHEN 2 THEN 'lab' WHEN 3 THEN 'blog' ELSE 'preprint_server' END AS source_type,
+               CASE WHEN page_id % 11 = 0 THEN '2401.00001' END AS arxiv_id FROM pages""",
+    "notices": """
+        SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN concat('see arXiv:2401.', cast(10000 + doc_id AS string), 'v2 now') WHEN 1 THEN concat('doi:10.1038/s', cast(doc_id AS string), '-xThe rest')
+               WHEN 2 THEN concat('old hep-th/', substr(cast(10000000 + doc_id AS string), 2, 7), ' and 10.5555/ab.', cast(doc_id AS string), '.') ELSE 'none' END AS text FROM documents""",
+    "titles": "SELECT doc_id, source, split_part(text, chr(10), 1) AS title FROM documents",
+    "requests": """
+        SELECT event_id, ts, concat('/v1/', event_type, '/', cast(user_id AS string)) AS path, event_type AS method, value / 50 AS seconds,
+               CASE WHEN event_type = 'error' THEN '500' ELSE '200' END AS status FROM events""",
+    "preferences": """
+        SELECT user_id, CASE user_id % 4 WHEN 0 THEN 'UTC' WHEN 1 THEN 'America/New_York' WHEN 2 THEN 'Asia/Tokyo' ELSE 'Europe/Paris' END AS zone,
+               CASE user_id % 3 WHEN 0 THEN 1320 WHEN 1 THEN 60 ELSE 480 END AS quiet_start, CASE user_id % 3 WHEN 0 THEN 480 WHEN 1 THEN 300 ELSE 480 END AS quiet_end,
+               CAST(1 + user_id % 5 AS bigint) AS daily_limit, user_id % 7 <> 3 AS enabled FROM (SELECT DISTINCT user_id FROM events) u""",
     "redirects": "SELECT o_orderkey AS from_id, o_orderkey - 1 AS to_id FROM orders WHERE o_orderkey % 17 = 5",
 }
 
@@ -66,6 +84,7 @@ class Relations(dict):
 
     def __init__(self, spark: SparkSession, sf_dir: str) -> None:
         super().__init__()
+        importable(spark)
         self.spark, self.sf_dir = spark, sf_dir
 
     def __missing__(self, name: str) -> DataFrame:
