@@ -1,9 +1,9 @@
 """Token ids in a static range-asymmetric-numeral-system (rANS) file format.
 
-A first pass tokenises all documents, counts every id and stages the ids, deflated. The counts become one
-frequency table that all blocks share (every id of the vocabulary gets at least 1 of 2**20, so
-that any id can be written). A second pass deals the staged documents out by ascending id, encodes
-them and writes blocks; the stage is then deleted.
+A first pass tokenises all documents, counts every id, deals the documents out by ascending doc id and stages
+their ids, deflated. The counts become one frequency table that all blocks share (every id of the
+vocabulary gets at least 1 of 2**20, so that any id can be written). A second pass encodes the staged
+documents where they lie and writes blocks; the stage is then deleted.
 
 A block holds whole documents, about BLOCK tokens of them, and stands alone: it can be decoded by anyone
 who has the table. Its tokens are cut into segments of SEGMENT; a checkpoint for each
@@ -11,7 +11,7 @@ segment (its place in the payload and its LANES final states) lets segments be d
 A CRC-32 covers checkpoints and payload. Within a segment token t belongs to lane t mod LANES,
 and the lanes' words are interleaved in the order in which the decoder asks for them.
 
-Layout below a path: ``table`` (id, freq), ``blocks`` (part, block, start: tokens of the part before it, n_docs,
+Layout below a path: ``table`` (id, freq), ``blocks`` (part: ascending ranges of ids, start: tokens of the part before it, n_docs,
 doc_ids, lengths, n_tokens, words: payload words before each segment, states, payload, crc32).
 Both are Parquet, so any store that Spark reads and writes serves, and a lost task's output is
 rewritten whole by Spark's commit protocol.
@@ -31,8 +31,9 @@ from __future__ import annotations
 import json
 import os
 import zlib
+from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain
+from itertools import chain, count, islice
 from unicodedata import is_normalized
 
 import numpy as np
@@ -52,23 +53,10 @@ END_ID = 1
 CHUNK_BYTES = 4_000_000
 WORDS_KEPT = 500_000
 
-BLOCKS = "part int, block long, start long, n_docs int, doc_ids binary, lengths binary, n_tokens long, words binary, states binary, payload binary, crc32 long"
+BLOCKS = "part int, start long, n_docs int, doc_ids binary, lengths binary, n_tokens long, words binary, states binary, payload binary, crc32 long"
 DECODED = "doc_id long, part int, start long, n_tokens long, ids_crc32 long"
 
 
-class _Numbers(dict):
-    """A number for each word, given when it is first asked for; ``new`` has those given since it was emptied."""
-
-    def __init__(self) -> None:
-        super().__init__()
-        self.new: list[bytes] = []
-
-    def __missing__(self, word: bytes) -> int:
-        self[word] = n = len(self)
-        self.new.append(word)
-        return n
-
-
 class Words:
     """Token ids of words, kept in a process from one task to the next."""
 
@@ -101,7 +89,7 @@ class Words:
         return cls._of[path]
 
     def clear(self) -> None:
-        self.index = _Numbers()
+        self.index: dict[bytes, int] = defaultdict(count().__next__)
         self.flat, self.start, self.count, self.used = np.empty(1 << 16, np.uint32), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32), 0
         self.seen = np.zeros(1 << 14, np.int64)
 
@@ -114,7 +102,6 @@ class Words:
         self.clear()
         if len(keep) < WORDS_KEPT // 2:
             self._put([words[k] for k in keep], ids, counts)
-            self.index.new = []
 
     def _put(self, words: list[bytes], ids: np.ndarray, counts: np.ndarray) -> None:
         while self.used + len(ids) > len(self.flat):
@@ -131,18 +118,23 @@ class Words:
     def _direct(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self) -> None:
-        new, self.index.new = self.index.new, []
-        plain, marked, stems, rest = [], [], set(), []
+    def _learn(self, new: list[bytes]) -> None:
+        plain = [w for w in new if w.isalpha()]
+        marked, stems, rest = [], set(), []
         for w in new:
             if w.isalpha():
-                plain.append(w)
-            elif w[-1] in b".," and w[:-1].isalpha():
+                continue
+            # lower-case letters below U+0250 are one piece, and what the normaliser makes of them is themselves
+            s = w.decode("utf-8", "replace")
+            mark = s[-1] in ".,"
+            t = s[:-1] if mark else s
+            if not (t.isalpha() and t.islower() and max(t) < "ɐ"):
+                rest.append(w)
+            elif mark:
                 marked.append(w)
                 stems.add(w[:-1])
             else:
-                s = w.decode("utf-8", "replace")
-                (plain if s.isalpha() and max(s) < "ɐ" and s == s.lower() and is_normalized("NFC", s) else rest).append(w)
+                plain.append(w)
         plain += [w for w in stems if w not in self.index]
         for k in range(0, len(plain), 1 << 15):
             part = plain[k : k + (1 << 15)]
@@ -166,7 +158,6 @@ class Words:
                 counts.append(int(self.count[k]) + len(one[w[-1]]))
             self._put(marked, np.array(ids, np.uint32), np.array(counts, np.int64))
         self._put_each(rest)
-        self.index.new = []
 
     def _put_each(self, words: list[bytes]) -> None:
         for k in range(0, len(words), 1 << 14):
@@ -182,10 +173,10 @@ class Words:
         if whole:
             whole = dict(zip(whole, self._direct([texts[k].decode("utf-8", "replace") for k in whole]), strict=True))
         split = [() if k in whole else t.lower().split() for k, t in enumerate(texts)]
-        sizes = list(map(len, split))
+        sizes, known = list(map(len, split)), len(self.index)
         numbers = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, sum(sizes))
-        if self.index.new:
-            self._learn()
+        if len(self.index) > known:
+            self._learn(list(islice(reversed(self.index), len(self.index) - known)))
         times = np.bincount(numbers)
         self.seen[: len(times)] += times
         return numbers, sizes, whole
@@ -300,7 +291,7 @@ def decode_blocks(rows: list[dict], freq: np.ndarray) -> Iterator[tuple[dict, li
     states, payload, at, lengths, base, spans = [], [], [], [], 0, []
     for r in rows:
         if zlib.crc32(r["payload"], zlib.crc32(r["states"], zlib.crc32(r["words"]))) != r["crc32"]:
-            raise ValueError(f"block {r['part']}/{r['block']}: its checksum doesn't match")
+            raise ValueError(f"block {r['part']}/{r['start']}: its checksum doesn't match")
         own = np.frombuffer(r["payload"], "<u4")
         n = -(-r["n_tokens"] // SEGMENT)
         states.append(np.frombuffer(r["states"], "<u8").reshape(n, LANES))
@@ -319,11 +310,10 @@ def decode_blocks(rows: list[dict], freq: np.ndarray) -> Iterator[tuple[dict, li
         first += n
 
 
-def packed(ids: np.ndarray) -> bytes:
-    """Ids, low bytes before high ones, deflated."""
-    planes = ids.astype("<u4").view(np.uint8).reshape(-1, 4).T
-    top = 4 - int(np.argmax(planes[::-1].any(1))) if len(ids) else 1
-    return zstandard.ZstdCompressor(level=1).compress(bytes([top]) + planes[:top].tobytes())
+def packed(ids: np.ndarray, width: int) -> bytes:
+    """Ids, low bytes before high ones, deflated; width: bytes an id needs."""
+    planes = (ids.astype("<u2") if width <= 2 else ids.astype("<u4")).view(np.uint8).reshape(-1, 2 if width <= 2 else 4).T
+    return zstandard.ZstdCompressor(level=1).compress(bytes([width]) + planes[:width].tobytes())
 
 
 def unpacked(blob: bytes) -> np.ndarray:
@@ -334,26 +324,61 @@ def unpacked(blob: bytes) -> np.ndarray:
     return out.view("<u4")[:, 0]
 
 
-STAGED = pa.schema([("doc_id", pa.int64()), ("n", pa.int64()), ("ids", pa.binary()), ("totals", pa.binary())])
+STAGED = "part int, doc_id long, n long, ids binary, totals binary"
+PLACED = STAGED + ", start long"
+
+
+def arrow_schema(text: str) -> pa.Schema:
+    return pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in text.split(", "))])
 
 
 def stage(df: DataFrame, tokenizer: str, id_col: str, text_col: str) -> DataFrame:
-    """A written table: a row for each document (doc_id, n, ids), and rows with how often each id occurs in a task's texts."""
+    """A written table of PLACED: each part's documents in order of id, with the ids of those before them in the part.
+
+    Parts are ranges of ids between quantiles. A task adds a row with how often each id occurs in its texts.
+    """
+    spark = df.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    known = df.select(F.col(id_col).cast("double").alias("d")).where("d IS NOT NULL")
+    bounds = np.unique(known.approxQuantile("d", [k / parts for k in range(1, parts)], 0.2 / parts) if parts > 1 else [])
+
+    def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        from pyspark import TaskContext
 
-    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         words = Words.at(tokenizer)
-        total = np.zeros(words.size, np.int64)
+        total, width, schema = np.zeros(words.size, np.int64), max(1, (words.size - 1).bit_length() + 7 >> 3), arrow_schema(STAGED)
         for b in batches:
             names, texts = b.column(0).to_pylist(), blobs(b.column(1))
+            where = np.searchsorted(bounds, [-np.inf if x is None else x for x in names], side="right")
             for lo, hi in in_chunks(list(map(len, texts)), CHUNK_BYTES):
                 ids, sizes = words.encode(texts[lo:hi])
                 total += np.bincount(ids, minlength=words.size)
                 ends = np.cumsum(sizes)
-                found = [packed(ids[e - n : e]) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(names[lo:hi], pa.int64()), pa.array(sizes), pa.array(found, pa.binary()), pa.nulls(hi - lo, pa.binary())], schema=STAGED)
-        yield pa.RecordBatch.from_arrays([pa.nulls(1, pa.int64()), pa.array([0]), pa.nulls(1, pa.binary()), pa.array([packed(total.view("<u4"))], pa.binary())], schema=STAGED)
+                found = [packed(ids[e - n : e], width) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
+                yield pa.RecordBatch.from_arrays([pa.array(where[lo:hi], pa.int32()), pa.array(names[lo:hi], pa.int64()), pa.array(sizes), pa.array(found, pa.binary()), pa.nulls(hi - lo, pa.binary())], schema=schema)
+        own = TaskContext.get().partitionId() % (len(bounds) + 1)
+        yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.nulls(1, pa.int64()), pa.array([0]), pa.nulls(1, pa.binary()), pa.array([packed(total.view("<u4"), 4)], pa.binary())], schema=schema)
 
-    return written(id_and_text(df, id_col, text_col).mapInArrow(rows, "doc_id long, n long, ids binary, totals binary"), "ids")
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        part, at = -1, 0
+        for b in batches:
+            starts = []
+            for p, n in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+                if p != part:
+                    part, at = p, 0
+                starts.append(at)
+                at += n
+            yield pa.RecordBatch.from_arrays([*b.columns, pa.array(starts, pa.int64())], schema=arrow_schema(PLACED))
+
+    dealt = id_and_text(df, id_col, text_col).mapInArrow(tokenised, STAGED).repartitionById(parts, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first())
+    # the shuffle's files go when the table is written, not when the driver next collects its garbage
+    key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+    before = spark.conf.get(key, "false")
+    spark.conf.set(key, "true")
+    try:
+        return written(dealt.mapInArrow(placed, PLACED), "ids")
+    finally:
+        spark.conf.set(key, before)
 
 
 def count_ids(staged: DataFrame, size: int) -> np.ndarray:
@@ -384,28 +409,23 @@ def write(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text
     names = [x.split()[0] for x in BLOCKS.split(", ")]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        from pyspark import TaskContext
-
-        part, block, start = TaskContext.get().partitionId(), 0, 0
         for b in batches:
-            ids, sizes, blobs_ = b.column(0).to_pylist(), b.column(1).to_pylist(), b.column(2).to_pylist()
-            for lo, hi in in_chunks(sizes, CHUNK_BYTES // 2):
-                tokens = np.concatenate([unpacked(x) for x in blobs_[lo:hi]])
-                found = []
-                for n_docs, *rest in encode_blocks(ids[lo:hi], tokens, np.array(sizes[lo:hi], np.int64), shared.value):
-                    found.append((part, block, start, n_docs, *rest))
-                    block, start = block + 1, start + rest[2]
-                yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in found], BLOCK_SCHEMA)
-
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    dealt = staged.where("ids IS NOT NULL").select("doc_id", "n", "ids").repartitionByRange(parts, F.col("doc_id").asc_nulls_first()).sortWithinPartitions(F.col("doc_id").asc_nulls_first())
-    dealt.mapInArrow(rows, BLOCKS).write.parquet(f"{path}/blocks")
+            parts, ids, sizes, blobs_, starts = (b.column(k).to_pylist() for k in range(5))
+            # runs of documents that follow one another in a part
+            cuts = [0, *[k for k in range(1, len(ids)) if parts[k] != parts[k - 1] or starts[k] != starts[k - 1] + sizes[k - 1]], len(ids)]
+            for first, last in zip(cuts[:-1], cuts[1:], strict=True):
+                for lo, hi in in_chunks(sizes[first:last], CHUNK_BYTES // 2):
+                    lo, hi = first + lo, first + hi
+                    tokens, found, start = np.concatenate([unpacked(x) for x in blobs_[lo:hi]]), [], starts[lo]
+                    for n_docs, *rest in encode_blocks(ids[lo:hi], tokens, np.array(sizes[lo:hi], np.int64), shared.value):
+                        found.append((parts[lo], start, n_docs, *rest))
+                        start += rest[2]
+                    yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in found], arrow_schema(BLOCKS))
+
+    staged.where("ids IS NOT NULL").select("part", "doc_id", "n", "ids", "start").mapInArrow(rows, BLOCKS).write.parquet(f"{path}/blocks")
     drop_written(staged)
 
 
-BLOCK_SCHEMA = pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in BLOCKS.split(", "))])
-
-
 def read(spark: SparkSession, path: str) -> DataFrame:
     """Decode all blocks below path: (doc_id, start, n_tokens, ids_crc32) for each document."""
     importable(spark)
