@@ -53,8 +53,9 @@ def parse_entries(entries: DataFrame) -> DataFrame:
     """Feed entries (link, title, summary, published) as items with canonical url, its hash as id, snippet and identifiers."""
     url = text.canonical_url(F.col("link"))
     body = F.concat_ws(" ", "title", "summary", "link")
-    formats = ("EEE, d MMM yyyy HH:mm:ss Z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
-    published = F.coalesce(*[F.try_to_timestamp("published", F.lit(f)) for f in formats])
+    said = F.regexp_replace(F.regexp_replace(F.trim("published"), r"^[A-Za-z]{3},\s*", ""), r"\s(GMT|UTC?|Z)$", " +0000")
+    formats = ("d MMM yyyy HH:mm:ss Z", "yyyy-MM-dd'T'HH:mm:ssXXX", "yyyy-MM-dd HH:mm:ss", "yyyy-MM-dd")
+    published = F.coalesce(*[F.try_to_timestamp(said, F.lit(f)) for f in formats])
     return entries.where(F.coalesce(F.trim("link"), F.lit("")) != "").select(
         F.sha2(url, 256).alias("id"), url.alias("url"), text.squeeze(F.col("title")).alias("title"), text.title_key(F.col("title")).alias("title_hash"),
         text.snippet(F.col("summary")).alias("snippet"), text.arxiv_id(body).alias("arxiv_id"), text.doi(body).alias("doi"), published.alias("published_at"),
