@@ -101,7 +101,8 @@ def update(versions: DataFrame, ledger: str, path_col: str = "doc_id", text_col:
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     found = F.concat(*[F.when(F.array_contains("due", r.key), found_by(F.col("text"), r)).otherwise(none) for r in rules])
     scanned = met.select("blob", F.col("due").alias("scanned"), found.alias("found"))
-    scanned.write.mode("append").parquet(ledger)
+    # rows that repeat both path and text met the same pair; the ledger gets one of them
+    scanned.dropDuplicates(["blob"]).write.mode("append").parquet(ledger)
 
 
 def findings(versions: DataFrame, ledger: str, path_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:
