@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import scores
@@ -11,7 +11,13 @@ from tessera.plans.catalog import query
 from tessera.sources.tables import Relations
 
 NOW = "2001-07-20 00:00:00"
-now = F.lit(NOW).cast("timestamp")
+
+
+def now() -> Column:
+    """The fixed time of every query that is relative to one."""
+    return F.lit(NOW).cast("timestamp")
+
+
 
 RANK = "CASE content_type WHEN 'news' THEN 0 WHEN 'press_release' THEN 1 WHEN 'preprint' THEN 2 WHEN 'peer_reviewed' THEN 3 ELSE 4 END"
 ROLE = "CASE role WHEN 'primary' THEN 0 WHEN 'supporting' THEN 1 ELSE 2 END"
@@ -71,7 +77,7 @@ TREND = f"(v6 + 0.5 * v24 + least(src, 10) * 0.3) * exp(-{AGE} / 86400.0)"
     FROM clusters c JOIN cm ON cm.cluster_id = c.id JOIN types ON types.cluster_id = c.id WHERE status = 'active'
     ORDER BY {IMPACT} DESC, updated_at DESC, c.id LIMIT 20""")
 def feed_trending(t: Relations) -> DataFrame:
-    scored = metrics.recompute_batch(t["clusters"], t["members"], t["sources"], now)
+    scored = metrics.recompute_batch(t["clusters"], t["members"], t["sources"], now())
     top = feeds.feed(scored, by="impact_score")
     own = t["members"].join(top.select(F.col("id").alias("cluster_id")), "cluster_id", "left_semi")
     badges = feeds.content_types(own, t["items"])
@@ -213,7 +219,7 @@ METRIC_NAMES = ("id", "item_count", "distinct_source_count", "distinct_source_ty
     WITH {COUNTS} SELECT c.id, {METRICS}, round(exp(-{AGE} / 86400.0), 6) AS recency_score, round({TREND}, 6) AS trending_score, round({IMPACT}, 6) AS impact_score
     FROM clusters c JOIN cm ON cm.cluster_id = c.id WHERE updated_at <= TIMESTAMP '{NOW}'""")
 def cluster_metrics_batch(t: Relations) -> DataFrame:
-    out = metrics.recompute_batch(t["clusters"].where(F.col("updated_at") <= now), t["members"], t["sources"], now)
+    out = metrics.recompute_batch(t["clusters"].where(F.col("updated_at") <= now()), t["members"], t["sources"], now())
     return rounded(out.select(*METRIC_NAMES), "recency_score", "trending_score", "impact_score")
 
 
@@ -221,7 +227,7 @@ def cluster_metrics_batch(t: Relations) -> DataFrame:
     WITH {COUNTS} SELECT c.id, {METRICS}, 1.0E0 AS recency_score, round(CAST(v6 + 0.5 * v24 + least(src, 10) * 0.3 AS double), 6) AS trending_score, round({IMPACT.replace(AGE, "0.0")}, 6) AS impact_score
     FROM clusters c JOIN cm ON cm.cluster_id = c.id""")
 def cluster_metrics_single(t: Relations) -> DataFrame:
-    out = metrics.recompute_batch(t["clusters"], t["members"], t["sources"], now, single=True)
+    out = metrics.recompute_batch(t["clusters"], t["members"], t["sources"], now(), single=True)
     return rounded(out.select(*METRIC_NAMES), "recency_score", "trending_score", "impact_score")
 
 
@@ -232,7 +238,7 @@ LEFT = f"""WITH {COUNTS}, scored AS (
 
 @query(f"{LEFT} SELECT id, v6 AS velocity_6h, v24 AS velocity_24h, src AS distinct_source_count, round({IMPACT}, 6) AS impact_score FROM scored WHERE updated_at <= TIMESTAMP '{NOW}'")
 def impact_recompute(t: Relations) -> DataFrame:
-    out = metrics.recompute_impact(t["clusters"], t["members"], t["sources"], now).where(F.col("updated_at") <= now)
+    out = metrics.recompute_impact(t["clusters"], t["members"], t["sources"], now()).where(F.col("updated_at") <= now())
     return rounded(out.select("id", "velocity_6h", "velocity_24h", "distinct_source_count", "impact_score"), "impact_score")
 
 
@@ -240,7 +246,7 @@ def impact_recompute(t: Relations) -> DataFrame:
     SELECT id, row_number() OVER (ORDER BY s DESC, updated_at DESC, id DESC) AS rn, count(*) OVER () AS n FROM ranked)
     SELECT id, rn <= greatest(1, (n + 99) // 100) AS in_focus_label FROM r""")
 def in_focus_top1pct(t: Relations) -> DataFrame:
-    scored = rounded(metrics.recompute_impact(t["clusters"], t["members"], t["sources"], now), "impact_score")
+    scored = rounded(metrics.recompute_impact(t["clusters"], t["members"], t["sources"], now()), "impact_score")
     return metrics.in_focus(scored).select("id", "in_focus_label")
 
 

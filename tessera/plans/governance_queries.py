@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import times
@@ -11,7 +11,10 @@ from tessera.plans.catalog import query
 from tessera.plans.cluster_queries import now
 from tessera.sources.tables import Relations
 
-STAMP = F.lit("2024-01-31 00:00:00").cast("timestamp")
+
+def stamp() -> Column:
+    return F.lit("2024-01-31 00:00:00").cast("timestamp")
+
 
 
 @query("""
@@ -66,13 +69,13 @@ def assignment_replace(t: Relations) -> DataFrame:
     SELECT c.id, CASE WHEN r.from_id IS NOT NULL THEN 'merged' ELSE c.status END AS status, count(item_id) AS item_count, count(DISTINCT source_id) AS distinct_source_count
     FROM clusters c LEFT JOIN redirects r ON r.from_id = c.id LEFT JOIN mv ON mv.cluster_id = c.id GROUP BY c.id, r.from_id, c.status""")
 def merge_cluster(t: Relations) -> DataFrame:
-    out = governance.merge_clusters(t["clusters"], t["members"].distinct(), t["cluster_topics"], t["redirects"].limit(0), t["redirects"], now)
+    out = governance.merge_clusters(t["clusters"], t["members"].distinct(), t["cluster_topics"], t["redirects"].limit(0), t["redirects"], now())
     return out["clusters"].select("id", "status", "item_count", "distinct_source_count")
 
 
 @query("""SELECT CASE WHEN role = 'primary' THEN 999999 ELSE 5979 END AS cluster_id, count(*) AS item_count, count(DISTINCT source_id) AS distinct_source_count FROM members WHERE cluster_id = 5979 GROUP BY 1""")
 def split_cluster(t: Relations) -> DataFrame:
-    return governance.split_cluster(t["clusters"], t["members"], 5979, 999999, F.col("role") == "primary", now)["counts"].withColumn("cluster_id", F.col("cluster_id").cast("long"))
+    return governance.split_cluster(t["clusters"], t["members"], 5979, 999999, F.col("role") == "primary", now())["counts"].withColumn("cluster_id", F.col("cluster_id").cast("long"))
 
 
 @query("""SELECT cluster_id, topic_id FROM cluster_topics UNION SELECT cluster_id, 104 FROM cluster_topics WHERE topic_id = 103""")
@@ -152,23 +155,23 @@ def digest_period(t: Relations) -> DataFrame:
         SELECT w.user_id, l.cluster_id, l.seq, daily_limit, row_number() OVER (PARTITION BY w.user_id ORDER BY l.cluster_id, l.seq) AS n
         FROM update_log l JOIN watches w ON w.cluster_id = l.cluster_id JOIN preferences p ON p.user_id = w.user_id WHERE enabled) WHERE n <= daily_limit""")
 def notification_jobs(t: Relations) -> DataFrame:
-    return notify.cluster_update_jobs(t["update_log"], t["watches"], t["preferences"], STAMP).select("dedupe_key", "user_id", "cluster_id", "seq")
+    return notify.cluster_update_jobs(t["update_log"], t["watches"], t["preferences"], stamp()).select("dedupe_key", "user_id", "cluster_id", "seq")
 
 
 @query("""
     SELECT user_id, count(*) AS n, string_agg(cluster_id, ',' ORDER BY rn) AS cluster_ids FROM (
         SELECT user_id, cluster_id, row_number() OVER (PARTITION BY user_id ORDER BY updated_at DESC, cluster_id) AS rn FROM (
             SELECT DISTINCT f.user_id, c.id AS cluster_id, c.updated_at FROM follows f JOIN cluster_topics ct ON ct.topic_id = f.topic_id JOIN clusters c ON c.id = ct.cluster_id
-            WHERE status = 'active' AND updated_at >= TIMESTAMP '2000-01-01' AND updated_at < TIMESTAMP '2001-01-01')) WHERE rn <= 50 GROUP BY user_id""")
+            WHERE status = 'active' AND updated_at >= TIMEstamp() '2000-01-01' AND updated_at < TIMEstamp() '2001-01-01')) WHERE rn <= 50 GROUP BY user_id""")
 def topic_digests(t: Relations) -> DataFrame:
     at = lambda s: F.lit(s).cast("timestamp")
     out = notify.topic_digests(t["follows"], t["cluster_topics"], t["clusters"], at("2000-01-01"), at("2001-01-01"))
     return out.select("user_id", "n", F.concat_ws(",", F.transform("cluster_ids", lambda x: x.cast("string"))).alias("cluster_ids"))
 
 
-@query("""SELECT event_type, count(*) FILTER (WHERE ts < TIMESTAMP '2024-01-31' - INTERVAL 14 DAY) AS gone, count(*) FILTER (WHERE ts >= TIMESTAMP '2024-01-31' - INTERVAL 14 DAY) AS kept FROM events GROUP BY event_type""")
+@query("""SELECT event_type, count(*) FILTER (WHERE ts < TIMEstamp() '2024-01-31' - INTERVAL 14 DAY) AS gone, count(*) FILTER (WHERE ts >= TIMEstamp() '2024-01-31' - INTERVAL 14 DAY) AS kept FROM events GROUP BY event_type""")
 def retention_purge(t: Relations) -> DataFrame:
-    return ops.purge_counts(t["events"], STAMP, 14, "event_type")
+    return ops.purge_counts(t["events"], stamp(), 14, "event_type")
 
 
 @query("""SELECT user_id, CAST(floor(epoch(ts) / 3600) * 3600 AS bigint) AS window_start, count(*) AS n, count(*) > 1 AS over FROM events GROUP BY 1, 2""")
