@@ -98,7 +98,9 @@ def cells(counts: Column) -> Column:
 
 def links(nodes: DataFrame) -> DataFrame:
     """Edges (u, v) that connect exactly the fingerprints (distinct, column fp) within two bits of a chain."""
-    placed = nodes.select("fp", F.explode(cells(segment_counts(F.col("fp")))).alias("cell"))
+    # a table of fingerprints is small for its rows, and each becomes 33: deal it out first
+    parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    placed = nodes.repartition(parts, "fp").select("fp", F.explode(cells(segment_counts(F.col("fp")))).alias("cell"))
     shared = placed.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1")
     met = written(placed.join(shared, "cell"), "cells")
     few = met.where(F.col("size") <= CROWDED).select("cell", "fp")
