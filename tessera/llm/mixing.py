@@ -33,7 +33,7 @@ WEIGHTS = (5, 2, 1)
 MOST = 3
 DIGITS = 3
 SEED = 20240229
-SHARDS = 16
+SHARD_WORDS = 8_000_000
 
 
 def sized(df: DataFrame, id_col: str, source_col: str, text_col: str, *more: Column) -> DataFrame:
@@ -93,10 +93,15 @@ def taken_rows(rows: DataFrame, per: DataFrame) -> DataFrame:
     return out.withColumn("extra", F.when(F.col("row") == F.col("last"), 1).otherwise(F.col("extra"))).drop("s", "last")
 
 
-def taken(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
+def shards_for(rows: DataFrame) -> int:
+    """Output shards for the words there are."""
+    return max(1, -(-(rows.agg(F.coalesce(F.sum("size"), F.lit(0)).alias("n")).first().n) // SHARD_WORDS))
+
+
+def taken(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", shards: int | None = None) -> DataFrame:
     """doc_id, size, source_size, target, taken and the shards (comma-joined, by copy) for each row."""
     rows = written(sized(df, id_col, source_col, text_col, F.monotonically_increasing_id().alias("row")), "sized")
-    drawn = with_shards(taken_rows(rows, targets(rows)), shards)
+    drawn = with_shards(taken_rows(rows, targets(rows)), shards or shards_for(rows))
     return drawn.select("doc_id", "size", "source_size", "target", (F.col("size") * (F.col("full") + F.col("extra"))).alias("taken"), F.array_join(F.slice("of", 1, (F.col("full") + F.col("extra")).cast("int")), ",").alias("shards"))
 
 
@@ -147,13 +152,17 @@ def with_shards(placed: DataFrame, shards: int) -> DataFrame:
     return placed.join(of, placed.source.eqNullSafe(of.s) & (placed.block == of.b), "left").drop("s", "b")
 
 
-def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", shards: int = SHARDS) -> DataFrame:
-    """The rows of df that the mix takes, each as often as it is taken, dealt into shards and shuffled within them."""
+def mix(df: DataFrame, id_col: str = "doc_id", source_col: str = "source", text_col: str = "text", shards: int | None = None) -> DataFrame:
+    """The rows of df that the mix takes, each as often as it is taken, dealt into shards and shuffled within them.
+
+    There is a shard for SHARD_WORDS words, so one task's share doesn't grow with the corpus.
+    """
     names = df.columns
     kept = F.struct(*(F.col(c) for c in names)).alias("__row")
     rows = sized(df, id_col, source_col, text_col, kept)
     # the sums need no texts; they are written, and the texts are read once more at the end
     slim = written(sized(df, id_col, source_col, text_col, F.monotonically_increasing_id().alias("row")), "sized")
+    shards = shards or shards_for(slim)
     drawn = written(with_shards(taken_rows(slim, targets(slim)), shards).select("doc_id", "source", "key", "size", "full", "extra", "of"), "taken")
     copies = (F.col("full") + F.col("extra")).cast("int")
     # repeated rows share id, source and size: the numbers of their copies are pooled and dealt evenly

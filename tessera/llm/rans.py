@@ -51,7 +51,7 @@ SEGMENT = 8192
 BLOCK = 65536
 END_ID = 1
 CHUNK_BYTES = 4_000_000
-WORDS_KEPT = 500_000
+WORDS_KEPT = 400_000
 
 BLOCKS = "part int, start long, n_docs int, doc_ids binary, lengths binary, n_tokens long, words binary, states binary, payload binary, crc32 long"
 DECODED = "doc_id long, part int, start long, n_tokens long, ids_crc32 long"
