@@ -14,6 +14,7 @@ from collections.abc import Iterator
 from pathlib import Path
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -74,11 +75,16 @@ def n_words(text: Column) -> Column:
     return F.coalesce(F.regexp_count(text, F.lit(WORD_RE)), F.lit(0)).cast("long")
 
 
-def blobs(column: pa.Array) -> list[bytes]:
-    """A string or binary Arrow column as bytes, null as empty."""
-    if not (pa.types.is_binary(column.type) or pa.types.is_large_binary(column.type)):
-        column = column.cast(pa.large_binary() if pa.types.is_large_string(column.type) else pa.binary())
-    return [x or b"" for x in column.to_pylist()]
+def as_bytes(column: pa.Array) -> pa.Array:
+    """A string or binary Arrow column as binary, null as empty."""
+    kind = pa.large_binary() if pa.types.is_large_string(column.type) or pa.types.is_large_binary(column.type) else pa.binary()
+    return column.cast(kind).fill_null(b"")
+
+
+def text_chunks(ids: pa.Array, texts: pa.Array, most: int) -> Iterator[tuple[list, list[bytes]]]:
+    """Ids and texts (binary, no nulls) of a batch as Python values, at most ``most`` bytes at once; a longer text stands alone."""
+    for lo, hi in in_chunks(pc.binary_length(texts).to_pylist(), most):
+        yield ids.slice(lo, hi - lo).to_pylist(), texts.slice(lo, hi - lo).to_pylist()
 
 
 def in_chunks(sizes: list[int], most: int) -> Iterator[tuple[int, int]]:

@@ -28,7 +28,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import blobs, id_and_text
+from tessera.llm.common import id_and_text
 
 KINDS = ("email", "ip", "card", "phone")
 LABELS = ("none", *KINDS)
@@ -359,7 +359,7 @@ def annotate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [rows_of(x.decode("utf-8", "replace"), shared.value) for x in blobs(b.column(1))]
+            found = [rows_of(x.as_py().decode("utf-8", "replace"), shared.value) for x in b.column(1)]
             columns = list(zip(*found, strict=True)) or [()] * 7
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array(c, f.type) for c, f in zip(columns, list(schema)[1:], strict=True))], schema=schema)
 

@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import blobs, drop_written, id_and_text, importable, in_chunks, written
+from tessera.llm.common import drop_written, id_and_text, importable, in_chunks, text_chunks, written
 
 SCALE = 20
 LOW = 1 << 31
@@ -50,8 +50,9 @@ LANES = 32
 SEGMENT = 8192
 BLOCK = 65536
 END_ID = 1
-CHUNK_BYTES = 4_000_000
-WORDS_KEPT = 400_000
+CHUNK_BYTES = 2_500_000
+CHUNK_TOKENS = 2_000_000
+WORDS_KEPT = 300_000
 
 BLOCKS = "part int, start long, n_docs int, doc_ids binary, lengths binary, n_tokens long, words binary, states binary, payload binary, crc32 long"
 DECODED = "doc_id long, part int, start long, n_tokens long, ids_crc32 long"
@@ -136,8 +137,8 @@ class Words:
             else:
                 plain.append(w)
         plain += [w for w in stems if w not in self.index]
-        for k in range(0, len(plain), 1 << 15):
-            part = plain[k : k + (1 << 15)]
+        for k in range(0, len(plain), 1 << 13):
+            part = plain[k : k + (1 << 13)]
             joined = [b" ".join(part[i : i + 128]).decode() for i in range(0, len(part), 128)]
             got = self.letters.encode_batch_fast(joined, add_special_tokens=False)
             ids = np.fromiter(chain.from_iterable(e.ids for e in got), np.uint32)
@@ -160,8 +161,8 @@ class Words:
         self._put_each(rest)
 
     def _put_each(self, words: list[bytes]) -> None:
-        for k in range(0, len(words), 1 << 14):
-            part = words[k : k + (1 << 14)]
+        for k in range(0, len(words), 1 << 12):
+            part = words[k : k + (1 << 12)]
             got = self._direct([w.decode("utf-8", "replace") for w in part])
             self._put(part, np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
 
@@ -348,14 +349,13 @@ def stage(df: DataFrame, tokenizer: str, id_col: str, text_col: str) -> DataFram
         words = Words.at(tokenizer)
         total, width, schema = np.zeros(words.size, np.int64), max(1, (words.size - 1).bit_length() + 7 >> 3), arrow_schema(STAGED)
         for b in batches:
-            names, texts = b.column(0).to_pylist(), blobs(b.column(1))
-            where = np.searchsorted(bounds, [-np.inf if x is None else x for x in names], side="right")
-            for lo, hi in in_chunks(list(map(len, texts)), CHUNK_BYTES):
-                ids, sizes = words.encode(texts[lo:hi])
+            for names, texts in text_chunks(b.column(0), b.column(1), CHUNK_BYTES):
+                where = np.searchsorted(bounds, [-np.inf if x is None else x for x in names], side="right")
+                ids, sizes = words.encode(texts)
                 total += np.bincount(ids, minlength=words.size)
                 ends = np.cumsum(sizes)
                 found = [packed(ids[e - n : e], width) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(where[lo:hi], pa.int32()), pa.array(names[lo:hi], pa.int64()), pa.array(sizes), pa.array(found, pa.binary()), pa.nulls(hi - lo, pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(names, pa.int64()), pa.array(sizes), pa.array(found, pa.binary()), pa.nulls(len(names), pa.binary())], schema=schema)
         own = TaskContext.get().partitionId() % (len(bounds) + 1)
         yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.nulls(1, pa.int64()), pa.array([0]), pa.nulls(1, pa.binary()), pa.array([packed(total.view("<u4"), 4)], pa.binary())], schema=schema)
 
@@ -414,7 +414,7 @@ def write(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text
             # runs of documents that follow one another in a part
             cuts = [0, *[k for k in range(1, len(ids)) if parts[k] != parts[k - 1] or starts[k] != starts[k - 1] + sizes[k - 1]], len(ids)]
             for first, last in zip(cuts[:-1], cuts[1:], strict=True):
-                for lo, hi in in_chunks(sizes[first:last], CHUNK_BYTES // 2):
+                for lo, hi in in_chunks(sizes[first:last], CHUNK_TOKENS):
                     lo, hi = first + lo, first + hi
                     tokens, found, start = np.concatenate([unpacked(x) for x in blobs_[lo:hi]]), [], starts[lo]
                     for n_docs, *rest in encode_blocks(ids[lo:hi], tokens, np.array(sizes[lo:hi], np.int64), shared.value):

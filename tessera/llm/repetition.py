@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import SPACES, blobs, id_and_text, importable, in_chunks
+from tessera.llm.common import SPACES, as_bytes, id_and_text, importable, in_chunks, text_chunks
 
 CHUNK_BYTES = 1_500_000
 SYMBOLS = b"#*$%&|<>"
@@ -171,11 +171,11 @@ def annotate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", max_
     names = [x.split()[0] for x in SCHEMA.split(", ")]
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kinds = [pa.bool_() if x in ("base_failed", "kept") else pa.int64() for x in names[1:]]
         for b in batches:
-            found = measure(blobs(b.column(1)), max_covered, max_longest)
-            columns = list(zip(*found, strict=True)) or [()] * (len(names) - 1)
-            kinds = [pa.bool_() if x in ("base_failed", "kept") else pa.int64() for x in names[1:]]
-            yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names)
+            for ids, texts in text_chunks(b.column(0), b.column(1), CHUNK_BYTES):
+                columns = zip(*measure(texts, max_covered, max_longest), strict=True)
+                yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), *(pa.array(c, t) for c, t in zip(columns, kinds, strict=True))], names)
 
     return id_and_text(df, id_col, text_col).mapInArrow(rows, SCHEMA)
 
@@ -187,6 +187,7 @@ def keep_documents(df: DataFrame, text_col: str = "text", max_covered: float = M
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            yield b.filter(pa.array([x[6] for x in measure(blobs(b.column(at)), max_covered, max_longest)], pa.bool_()))
+            chunks = text_chunks(b.column(at), as_bytes(b.column(at)), CHUNK_BYTES)
+            yield b.filter(pa.array([x[6] for _, texts in chunks for x in measure(texts, max_covered, max_longest)], pa.bool_()))
 
     return df.mapInArrow(rows, df.schema)

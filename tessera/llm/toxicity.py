@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import blobs, id_and_text
+from tessera.llm.common import id_and_text
 
 BITS = 20
 FOLDS = 5
@@ -111,7 +111,7 @@ def train(docs: DataFrame, labels: DataFrame, links: tuple[str, ...], id_col: st
 
     def featured(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            found = [feature_ids(x) for x in blobs(b.column("text"))]
+            found = [feature_ids(x.as_py()) for x in b.column("text")]
             yield pa.RecordBatch.from_arrays([pa.array(found, pa.list_(pa.int64())), *(b.column(c) for c in ("at", *names))], ["ids", "at", *names])
 
     def fitted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -141,8 +141,8 @@ def score(docs: DataFrame, chain: list[np.ndarray], links: tuple[str, ...], id_c
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             out = []
-            for x in blobs(b.column(1)):
-                ids, odds = feature_ids(x), []
+            for x in b.column(1):
+                ids, odds = feature_ids(x.as_py()), []
                 for w in shared.value:
                     odds.append(log_odds(w, ids, odds))
                 out.append(odds)
