@@ -40,15 +40,18 @@ def assign(rows: pd.DataFrame) -> pd.DataFrame:
     """The ordered loop over one group. rows: item_id, at (seconds), source_id, ident, tokens."""
     rows = rows.sort_values(["at", "item_id"], kind="stable")
     found: list[dict] = []
+    named: dict[str, dict] = {}  # the newest cluster of each identifier
+    holding: dict[str, list[dict]] = {}  # clusters by token, in order of founding
     out = []
     for r in rows.itertuples():
         mine, best, best_score = set(r.tokens), None, -1.0
         if isinstance(r.ident, str):
-            best = next((c for c in reversed(found) if r.ident in c["idents"]), None)
+            best = named.get(r.ident)
             best_score = 1.0
         if best is None:
             best_score = -1.0
-            near = [c for c in found if mine <= c["tokens"] and r.at - c["at"] <= WINDOW_DAYS * 86400][-CANDIDATES:] if mine else []
+            rarest = min((holding.get(w, []) for w in mine), key=len, default=[])
+            near = [c for c in rarest if mine <= c["tokens"] and r.at - c["at"] <= WINDOW_DAYS * 86400][-CANDIDATES:]
             for c in near:
                 overlap, union = len(mine & c["tokens"]), len(mine | c["tokens"])
                 if overlap < 2 or overlap / union < 0.42:
@@ -60,11 +63,13 @@ def assign(rows: pd.DataFrame) -> pd.DataFrame:
                 best = None
         decision = "attached" if best else "new"
         if best is None:
-            best = {"id": r.item_id, "tokens": mine, "at": r.at, "sources": set(), "idents": set()}
+            best = {"id": r.item_id, "n": len(found), "tokens": mine, "at": r.at, "sources": set()}
             found.append(best)
+            for w in mine:
+                holding.setdefault(w, []).append(best)
         best["sources"].add(r.source_id)
-        if isinstance(r.ident, str):
-            best["idents"].add(r.ident)
+        if isinstance(r.ident, str) and (r.ident not in named or named[r.ident]["n"] < best["n"]):
+            named[r.ident] = best
         out.append((r.item_id, best["id"], decision))
     return pd.DataFrame(out, columns=["item_id", "cluster_id", "decision"])
 
