@@ -33,8 +33,8 @@ import os
 import zlib
 from collections import defaultdict
 from collections.abc import Iterator
-from itertools import chain, count, islice
-from unicodedata import is_normalized
+from itertools import chain, compress, count, islice
+from operator import not_
 
 import numpy as np
 import pyarrow as pa
@@ -50,9 +50,9 @@ LANES = 32
 SEGMENT = 8192
 BLOCK = 65536
 END_ID = 1
-CHUNK_BYTES = 2_500_000
+CHUNK_BYTES = 4_000_000
 CHUNK_TOKENS = 2_000_000
-WORDS_KEPT = 300_000
+WORDS_KEPT = 900_000
 
 BLOCKS = "part int, start long, n_docs int, doc_ids binary, lengths binary, n_tokens long, words binary, states binary, payload binary, crc32 long"
 DECODED = "doc_id long, part int, start long, n_tokens long, ids_crc32 long"
@@ -102,12 +102,12 @@ class Words:
         ids = self.flat[np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
         self.clear()
         if len(keep) < WORDS_KEPT // 2:
-            self._put([words[k] for k in keep], ids, counts)
+            self._put(self._at([words[k] for k in keep]), ids, counts)
 
-    def _put(self, words: list[bytes], ids: np.ndarray, counts: np.ndarray) -> None:
+    def _put(self, at: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
+        """Ids of the words of numbers ``at``, counts[k] of them for the k-th."""
         while self.used + len(ids) > len(self.flat):
             self.flat = np.concatenate([self.flat, np.empty_like(self.flat)])
-        at = np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
         while len(self.index) > len(self.start):
             self.start, self.count = np.concatenate([self.start, np.empty_like(self.start)]), np.concatenate([self.count, np.empty_like(self.count)])
             self.seen = np.concatenate([self.seen, np.zeros_like(self.seen)])
@@ -116,15 +116,20 @@ class Words:
         self.count[at] = counts
         self.used += len(ids)
 
+    def _at(self, words: list[bytes]) -> np.ndarray:
+        return np.fromiter(map(self.index.__getitem__, words), np.int64, len(words))
+
     def _direct(self, texts: list[str]) -> list[list[int]]:
         return [e.ids for e in self.tokenizer.encode_batch_fast(texts, add_special_tokens=False)]
 
-    def _learn(self, new: list[bytes]) -> None:
-        plain = [w for w in new if w.isalpha()]
-        marked, stems, rest = [], set(), []
-        for w in new:
-            if w.isalpha():
-                continue
+    def _learn(self, new: list[bytes], last: int) -> None:
+        """Tokenise new words, the newest first, whose numbers go down from ``last``."""
+        letters = list(map(bytes.isalpha, new))
+        plain = list(compress(new, letters))
+        at = last - np.flatnonzero(letters)
+        others = list(compress(new, map(not_, letters)))
+        marked, stems, rest, more = [], set(), [], []
+        for w in others:
             # lower-case letters below U+0250 are one piece, and what the normaliser makes of them is themselves
             s = w.decode("utf-8", "replace")
             mark = s[-1] in ".,"
@@ -135,36 +140,35 @@ class Words:
                 marked.append(w)
                 stems.add(w[:-1])
             else:
-                plain.append(w)
-        plain += [w for w in stems if w not in self.index]
+                more.append(w)
+        more += [w for w in stems if w not in self.index]
+        plain, at = plain + more, np.concatenate([at, self._at(more)])
+        late = []
         for k in range(0, len(plain), 1 << 13):
-            part = plain[k : k + (1 << 13)]
+            part, own = plain[k : k + (1 << 13)], at[k : k + (1 << 13)]
             joined = [b" ".join(part[i : i + 128]).decode() for i in range(0, len(part), 128)]
             got = self.letters.encode_batch_fast(joined, add_special_tokens=False)
             ids = np.fromiter(chain.from_iterable(e.ids for e in got), np.uint32)
             cuts = np.flatnonzero(self.ends[ids]) + 1
             if len(cuts) == len(part):
-                self._put(part, ids, np.diff(cuts, prepend=0))
+                self._put(own, ids, np.diff(cuts, prepend=0))
             else:  # a word was more than one piece after all
-                rest += part
+                late += part
+        self._put_each(late)
         if marked:
             one = {c: self._direct([chr(c)])[0] for c in b".,"}
             ids, counts = [], []
-            late = [w for w in rest if w in stems]
-            self._put_each(late)
-            rest = [w for w in rest if w not in stems]
-            for w in marked:
-                k = self.index[w[:-1]]
+            for k, w in zip(self._at([w[:-1] for w in marked]).tolist(), marked, strict=True):
                 ids += self.flat[self.start[k] : self.start[k] + self.count[k]].tolist() + one[w[-1]]
                 counts.append(int(self.count[k]) + len(one[w[-1]]))
-            self._put(marked, np.array(ids, np.uint32), np.array(counts, np.int64))
+            self._put(self._at(marked), np.array(ids, np.uint32), np.array(counts, np.int64))
         self._put_each(rest)
 
     def _put_each(self, words: list[bytes]) -> None:
         for k in range(0, len(words), 1 << 12):
             part = words[k : k + (1 << 12)]
             got = self._direct([w.decode("utf-8", "replace") for w in part])
-            self._put(part, np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
+            self._put(self._at(part), np.fromiter(chain.from_iterable(got), np.uint32), np.fromiter(map(len, got), np.int64, len(got)))
 
     def _numbers(self, texts: list[bytes]) -> tuple[np.ndarray, list[int], dict[int, list[int]]]:
         """Word numbers of all texts, how many each has, and the ids of those encoded whole."""
@@ -177,7 +181,7 @@ class Words:
         sizes, known = list(map(len, split)), len(self.index)
         numbers = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, sum(sizes))
         if len(self.index) > known:
-            self._learn(list(islice(reversed(self.index), len(self.index) - known)))
+            self._learn(list(islice(reversed(self.index), len(self.index) - known)), len(self.index) - 1)
         times = np.bincount(numbers)
         self.seen[: len(times)] += times
         return numbers, sizes, whole
