@@ -58,10 +58,17 @@ def drop_written(df: DataFrame) -> None:
 
 
 def importable(spark: SparkSession) -> None:
-    """Let Python workers on this machine import the package from where the driver did."""
+    """Let Python workers on this machine import the package from where the driver did.
+
+    Arrow batches are held to 16 MB unless the session says otherwise than the default, as a batch is
+    in memory in both the executor and its worker.
+    """
     here, env = str(Path(__file__).resolve().parents[2]), spark.sparkContext.environment
     if here not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [here, env.get("PYTHONPATH")]))
+    key = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if spark.conf.get(key, "") in ("67108864b", "64MB", "64m"):
+        spark.conf.set(key, "16m")
 
 
 def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:

@@ -52,7 +52,7 @@ BLOCK = 65536
 END_ID = 1
 CHUNK_BYTES = 4_000_000
 CHUNK_TOKENS = 2_000_000
-WORDS_KEPT = 900_000
+WORDS_KEPT = 450_000
 
 BLOCKS = "part int, start long, n_docs int, doc_ids binary, lengths binary, n_tokens long, words binary, states binary, payload binary, crc32 long"
 DECODED = "doc_id long, part int, start long, n_tokens long, ids_crc32 long"
@@ -94,7 +94,7 @@ class Words:
         self.flat, self.start, self.count, self.used = np.empty(1 << 16, np.uint32), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32), 0
         self.seen = np.zeros(1 << 14, np.int64)
 
-    def _forget(self) -> None:
+    def forget(self) -> None:
         """Keep only words that were asked for again and again."""
         words = list(self.index)
         keep = np.flatnonzero(self.seen[: len(words)] >= 3)
@@ -173,7 +173,7 @@ class Words:
     def _numbers(self, texts: list[bytes]) -> tuple[np.ndarray, list[int], dict[int, list[int]]]:
         """Word numbers of all texts, how many each has, and the ids of those encoded whole."""
         if len(self.index) > WORDS_KEPT:
-            self._forget()
+            self.forget()
         whole = {k: None for k, t in enumerate(texts) if not self.by_word or b"<|" in t}
         if whole:
             whole = dict(zip(whole, self._direct([texts[k].decode("utf-8", "replace") for k in whole]), strict=True))
@@ -360,6 +360,7 @@ def stage(df: DataFrame, tokenizer: str, id_col: str, text_col: str) -> DataFram
                 ends = np.cumsum(sizes)
                 found = [packed(ids[e - n : e], width) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(names, pa.int64()), pa.array(sizes), pa.array(found, pa.binary()), pa.nulls(len(names), pa.binary())], schema=schema)
+        words.forget()  # between tasks only words that recur stay in memory
         own = TaskContext.get().partitionId() % (len(bounds) + 1)
         yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.nulls(1, pa.int64()), pa.array([0]), pa.nulls(1, pa.binary()), pa.array([packed(total.view("<u4"), 4)], pa.binary())], schema=schema)
 
