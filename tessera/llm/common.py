@@ -67,7 +67,7 @@ def importable(spark: SparkSession) -> None:
     if here not in env.get("PYTHONPATH", "").split(os.pathsep):
         env["PYTHONPATH"] = os.pathsep.join(filter(None, [here, env.get("PYTHONPATH")]))
     key = "spark.sql.execution.arrow.maxBytesPerBatch"
-    if spark.conf.get(key, "") in ("67108864b", "64MB", "64m"):
+    if spark.conf.get(key) in ("67108864b", "64MB", "64m"):
         spark.conf.set(key, "16m")
 
 
