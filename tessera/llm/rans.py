@@ -223,17 +223,24 @@ def squeeze(ids: np.ndarray, lengths: np.ndarray, freq: np.ndarray, scale: int =
     x = np.full((s, LANES), LOW, np.uint64)
     low, out = np.empty((s, steps, LANES), np.uint32), np.zeros((s, steps, LANES), bool)
     lane, shift, up, word = np.arange(LANES), np.uint64(63 - scale), np.uint64(scale), np.uint64(32)
+    shortest = int(lengths.min(initial=ids.shape[1]))
     for t in range(steps - 1, -1, -1):
-        valid = t * LANES + lane < lengths[:, None]
-        if not valid.any():
-            continue
         sym = grid[:, t]
         f = f64[sym]
-        full = valid & (x >= f << shift)
+        full = x >= f << shift
+        if every := (t + 1) * LANES <= shortest:
+            valid = None
+        else:
+            valid = t * LANES + lane < lengths[:, None]
+            full &= valid
         low[:, t], out[:, t] = x.astype(np.uint32), full
         y = np.where(full, x >> word, x)
         q = y // f
-        x = np.where(valid, (q << up) + (y - q * f) + cum[sym], x)
+        y -= q * f
+        q <<= up
+        q += y
+        q += cum[sym]
+        x = q if every else np.where(valid, q, x)
     return x, [a[b] for a, b in zip(low, out, strict=True)]
 
 
@@ -244,22 +251,41 @@ def unsqueeze(states: np.ndarray, payload: np.ndarray, at: np.ndarray, lengths:
     symbol = np.repeat(np.arange(len(freq), dtype=np.uint32), freq)
     x, at = states.copy(), at.astype(np.int64).copy()
     payload = np.append(payload, np.uint32(0))
-    steps = -(-int(lengths.max(initial=0)) // LANES)
+    steps, shortest = -(-int(lengths.max(initial=0)) // LANES), int(lengths.min(initial=SEGMENT))
     ids = np.zeros((len(x), SEGMENT // LANES, LANES), np.uint32)
     lane, mask, up, word, floor = np.arange(LANES), np.uint64((1 << scale) - 1), np.uint64(scale), np.uint64(32), np.uint64(LOW)
     for t in range(steps):
-        valid = t * LANES + lane < lengths[:, None]
         slot = x & mask
         sym = symbol[slot]
-        ids[:, t] = np.where(valid, sym, 0)
-        x = np.where(valid, f64[sym] * (x >> up) + slot - cum[sym], x)
-        need = valid & (x < floor)
+        y = f64[sym]
+        y *= x >> up
+        y += slot
+        y -= cum[sym]
+        need = y < floor
+        if (t + 1) * LANES <= shortest:
+            ids[:, t], x = sym, y
+        else:
+            valid = t * LANES + lane < lengths[:, None]
+            ids[:, t], x = np.where(valid, sym, 0), np.where(valid, y, x)
+            need &= valid
         place = at[:, None] + np.cumsum(need, 1) - 1
         x = np.where(need, (x << word) | payload[np.where(need, place, len(payload) - 1)], x)
         at += need.sum(1)
     return ids.reshape(len(x), SEGMENT)
 
 
+def by_fullness(ids: np.ndarray, lengths: np.ndarray, freq: np.ndarray) -> tuple[np.ndarray, list[np.ndarray]]:
+    """``squeeze`` of the whole segments, then of the others, so that the first need no masks."""
+    states, words = np.empty((len(ids), LANES), np.uint64), [None] * len(ids)
+    for own in (np.flatnonzero(lengths == SEGMENT), np.flatnonzero(lengths < SEGMENT)):
+        if len(own):
+            found, parts = squeeze(ids[own], lengths[own], freq)
+            states[own] = found
+            for k, w in zip(own.tolist(), parts, strict=True):
+                words[k] = w
+    return states, words
+
+
 def encode_blocks(doc_ids: list[int | None], ids: np.ndarray, sizes: np.ndarray, freq: np.ndarray) -> list[tuple]:
     """Rows of BLOCKS from n_docs on, without start: whole documents, BLOCK tokens or a little more each."""
     ends = np.cumsum(sizes)
@@ -278,7 +304,7 @@ def encode_blocks(doc_ids: list[int | None], ids: np.ndarray, sizes: np.ndarray,
         spans.append(n)
     if not cuts:
         return []
-    states, words = squeeze(np.concatenate(pads), np.array(lengths), freq)
+    states, words = by_fullness(np.concatenate(pads), np.array(lengths), freq)
     rows, first, doc = [], 0, 0
     for (end_doc, lo, hi), n in zip(cuts, spans, strict=True):
         own = words[first : first + n]
@@ -307,7 +333,11 @@ def decode_blocks(rows: list[dict], freq: np.ndarray) -> Iterator[tuple[dict, li
         spans.append(n)
     if not rows:
         return
-    ids = unsqueeze(np.concatenate(states), np.concatenate(payload), np.concatenate(at), np.array(lengths), freq)
+    states, payload, at, lengths = np.concatenate(states), np.concatenate(payload), np.concatenate(at), np.array(lengths)
+    ids = np.empty((len(states), SEGMENT), np.uint32)
+    for own in (np.flatnonzero(lengths == SEGMENT), np.flatnonzero(lengths < SEGMENT)):
+        if len(own):
+            ids[own] = unsqueeze(states[own], payload, at[own], lengths[own], freq)
     first = 0
     for r, n in zip(rows, spans, strict=True):
         names = json.loads(zlib.decompress(r["doc_ids"]))
