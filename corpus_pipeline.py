@@ -35,7 +35,8 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token files, read back: doc_id, start, n_tokens, ids_crc32 of each document."""
     path = scratch(spark, "rans")
-    rans.write(docs, path, tokenizer_path())
+    # the executors' heaps are as large as they get by now, so the workers' memory is kept small
+    rans.write(docs, path, tokenizer_path(), kept=100_000, chunk=1_000_000)
     return rans.read(spark, path)
 
 

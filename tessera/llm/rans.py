@@ -52,7 +52,7 @@ BLOCK = 65536
 END_ID = 1
 CHUNK_BYTES = 4_000_000
 CHUNK_TOKENS = 2_000_000
-WORDS_KEPT = 450_000
+WORDS_KEPT = 650_000
 
 BLOCKS = "part int, start long, n_docs int, doc_ids binary, lengths binary, n_tokens long, words binary, states binary, payload binary, crc32 long"
 DECODED = "doc_id long, part int, start long, n_tokens long, ids_crc32 long"
@@ -84,11 +84,14 @@ class Words:
         self.clear()
 
     @classmethod
-    def at(cls, path: str) -> Words:
+    def at(cls, path: str, kept: int = WORDS_KEPT) -> Words:
         if path not in cls._of:
             cls._of[path] = cls(path)
+        cls._of[path].kept = kept
         return cls._of[path]
 
+    kept = WORDS_KEPT
+
     def clear(self) -> None:
         self.index: dict[bytes, int] = defaultdict(count().__next__)
         self.flat, self.start, self.count, self.used = np.empty(1 << 16, np.uint32), np.empty(1 << 14, np.int64), np.empty(1 << 14, np.int32), 0
@@ -101,7 +104,7 @@ class Words:
         counts, starts = self.count[keep].astype(np.int64), self.start[keep]
         ids = self.flat[np.repeat(starts - np.cumsum(counts) + counts, counts) + np.arange(counts.sum())]
         self.clear()
-        if len(keep) < WORDS_KEPT // 2:
+        if len(keep) < self.kept // 2:
             self._put(self._at([words[k] for k in keep]), ids, counts)
 
     def _put(self, at: np.ndarray, ids: np.ndarray, counts: np.ndarray) -> None:
@@ -172,7 +175,7 @@ class Words:
 
     def _numbers(self, texts: list[bytes]) -> tuple[np.ndarray, list[int], dict[int, list[int]]]:
         """Word numbers of all texts, how many each has, and the ids of those encoded whole."""
-        if len(self.index) > WORDS_KEPT:
+        if len(self.index) > self.kept:
             self.forget()
         whole = {k: None for k, t in enumerate(texts) if not self.by_word or b"<|" in t}
         if whole:
@@ -367,7 +370,7 @@ def arrow_schema(text: str) -> pa.Schema:
     return pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in text.split(", "))])
 
 
-def stage(df: DataFrame, tokenizer: str, id_col: str, text_col: str) -> DataFrame:
+def stage(df: DataFrame, tokenizer: str, id_col: str, text_col: str, kept: int, chunk: int) -> DataFrame:
     """A written table of PLACED: each part's documents in order of id, with the ids of those before them in the part.
 
     Parts are ranges of ids between quantiles. A task adds a row with how often each id occurs in its texts.
@@ -380,10 +383,10 @@ def stage(df: DataFrame, tokenizer: str, id_col: str, text_col: str) -> DataFram
     def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        words = Words.at(tokenizer)
+        words = Words.at(tokenizer, kept)
         total, width, schema = np.zeros(words.size, np.int64), max(1, (words.size - 1).bit_length() + 7 >> 3), arrow_schema(STAGED)
         for b in batches:
-            for names, texts in text_chunks(b.column(0), b.column(1), CHUNK_BYTES):
+            for names, texts in text_chunks(b.column(0), b.column(1), chunk):
                 where = np.searchsorted(bounds, [-np.inf if x is None else x for x in names], side="right")
                 ids, sizes = words.encode(texts)
                 total += np.bincount(ids, minlength=words.size)
@@ -434,10 +437,14 @@ def count_ids(staged: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def write(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text") -> None:
-    """Encode every text of df and write table and blocks below path."""
+def write(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", kept: int = WORDS_KEPT, chunk: int = CHUNK_BYTES) -> None:
+    """Encode every text of df and write table and blocks below path.
+
+    kept (words remembered) and chunk (bytes of text at once) trade a worker's memory, about 220 bytes a word
+    and 40 bytes a byte, for time; the files are the same.
+    """
     spark = df.sparkSession
-    staged = stage(df, tokenizer, id_col, text_col)
+    staged = stage(df, tokenizer, id_col, text_col, kept, chunk)
     freq = frequencies(count_ids(staged, Words.at(tokenizer).size))
     spark.createDataFrame([(k, int(f)) for k, f in enumerate(freq)], "id int, freq int").coalesce(1).write.parquet(f"{path}/table")
     shared = spark.sparkContext.broadcast(freq)
