@@ -2,40 +2,70 @@
 
 Items that could ever meet are those whose titles are linked by containment of tokens or by a shared
 identifier; such groups don't affect one another. They are found by joins, and the ordered loop
-runs over each group alone.
+runs over each group alone. Titles are read whole. An item links only to earlier items of its time window that
+hold all its tokens, and, where these are no more than CANDIDATES, so that the loop leaves none out, only to
+those that can reach ATTACH; the loop's decisions are the same as over all items at once.
 """
 
 from __future__ import annotations
 
 import math
+import uuid
 
 import pandas as pd
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import text
-from tessera.operators.search import contained
 from tessera.session import checkpoint_folder
 
 WINDOW_DAYS, CANDIDATES, ATTACH = 14, 200, 0.72
 
 
+def kept(df: DataFrame) -> DataFrame:
+    """df as a table in the checkpoint folder, read back: plans of many rounds stay small in the driver."""
+    spark = df.sparkSession
+    checkpoint_folder(spark)
+    path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/groups-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.schema(df.schema).parquet(path)
+
+
 def groups(links: DataFrame, nodes: DataFrame, rounds: int = 30) -> DataFrame:
     """(node, group): the least node reachable over links (u, v), by repeated minima with pointer jumps."""
-    checkpoint_folder(nodes.sparkSession)
-    both = links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct().checkpoint()
-    now = nodes.select("node", F.col("node").alias("group")).checkpoint()
+    both = kept(links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
+    now = kept(nodes.select("node", F.col("node").alias("group")))
     for _ in range(rounds):
         near = both.join(now.select(F.col("node").alias("v"), "group"), "v").groupBy(F.col("u").alias("node")).agg(F.min("group").alias("low"))
         lower = now.join(near, "node", "left").select("node", F.least("group", F.coalesce("low", "group")).alias("group"))
         jump = lower.select(F.col("node").alias("group"), F.col("group").alias("up"))
-        after = lower.join(jump, "group").select("node", F.col("up").alias("group")).checkpoint()
+        after = kept(lower.join(jump, "group").select("node", F.col("up").alias("group")))
         if now.join(after.withColumnRenamed("group", "g2"), "node").where("group <> g2").isEmpty():
             return after
         now = after
     raise RuntimeError(f"groups did not settle in {rounds} rounds")
 
 
+def attachable(rows: DataFrame) -> DataFrame:
+    """(u, v): item u could attach to a cluster that v founds. rows: item_id, at (seconds), tokens."""
+    span, size = WINDOW_DAYS * 86400, F.size("tokens")
+    rows = rows.where(size >= 2).select("item_id", "at", "tokens", size.alias("size"), F.floor(F.col("at") / span).alias("span"))
+    spread = rows.select("item_id", "at", "size", "span", F.explode("tokens").alias("token"))
+    rarity = spread.groupBy("token").agg(F.count("*").alias("df"))
+    # items meet on the rarest token alone, in their own span of time and the one before
+    probe = spread.join(rarity, "token").groupBy("item_id", "at", "size", "span").agg(F.min(F.struct("df", "token")).alias("rare"))
+    probe = probe.select(F.col("item_id").alias("u"), F.col("at").alias("at_u"), F.col("size").alias("size_u"), F.col("rare.token").alias("token"), F.explode(F.array(F.col("span"), F.col("span") - 1)).alias("span"))
+    pairs = probe.join(spread.select(F.col("item_id").alias("v"), F.col("at").alias("at_v"), F.col("size").alias("size_v"), "span", "token"), ["token", "span"])
+    pairs = pairs.where("(at_v < at_u OR (at_v = at_u AND v < u)) AND size_v >= size_u").where(F.col("at_u") - F.col("at_v") <= span)
+    met = pairs.join(rows.select(F.col("item_id").alias("u"), F.col("tokens").alias("wanted")), "u").join(rows.select(F.col("item_id").alias("v"), "tokens"), "v")
+    met = met.where(F.size(F.array_except("wanted", "tokens")) == 0)
+    shared = F.col("size_u") / F.col("size_v")
+    most = 0.65 * shared + 0.25 * F.exp((F.col("at_v") - F.col("at_u")) / 86400 / 7) + 0.10 * F.least(F.col("size_u") / 6, F.lit(1.0)) + 0.04
+    can = (shared >= 0.42 - 1e-9) & (most >= ATTACH - 1e-9)
+    met = met.select("u", "v", can.alias("can"), F.count("*").over(Window.partitionBy("u")).alias("n"))
+    return met.where(F.col("can") | (F.col("n") > CANDIDATES)).select("u", "v").distinct()
+
+
 def assign(rows: pd.DataFrame) -> pd.DataFrame:
     """The ordered loop over one group. rows: item_id, at (seconds), source_id, ident, tokens."""
     rows = rows.sort_values(["at", "item_id"], kind="stable")
@@ -77,8 +107,7 @@ def assign(rows: pd.DataFrame) -> pd.DataFrame:
 def cluster(items: DataFrame) -> DataFrame:
     """(item_id, cluster_id, decision): items (item_id, at timestamp, source_id, title, ident) in clusters named by their founder."""
     rows = items.select("item_id", F.unix_timestamp(F.col("at").cast("timestamp")).cast("double").alias("at"), "source_id", "ident", text.title_tokens(F.col("title")).alias("tokens"))
-    docs = rows.select(F.col("item_id").alias("doc_id"), "tokens")
-    links = contained(rows.where(F.size("tokens") >= 2).select("item_id", "tokens"), docs).where("item_id <> doc_id").select(F.col("item_id").alias("u"), F.col("doc_id").alias("v"))
+    links = attachable(rows)
     # a star to the first item of each identifier
     first = rows.where("ident IS NOT NULL").groupBy("ident").agg(F.min("item_id").alias("v"))
     links = links.union(rows.join(first, "ident").where("item_id <> v").select(F.col("item_id").alias("u"), "v"))

@@ -168,7 +168,7 @@ def vector_neighbours(t: Relations) -> DataFrame:
 def greedy_clusters(t: Relations) -> DataFrame:
     at = F.timestamp_seconds(F.lit(1704067200) + F.col("doc_id") * 3600)
     ident = F.when(F.col("doc_id") % 40 == 0, F.concat(F.lit("id"), (F.col("doc_id") % 400).cast("string")))
-    return clustering.cluster(t["titles"].select(F.col("doc_id").alias("item_id"), at.alias("at"), F.col("source").alias("source_id"), F.left("title", F.lit(200)).alias("title"), ident.alias("ident")))
+    return clustering.cluster(t["titles"].select(F.col("doc_id").alias("item_id"), at.alias("at"), F.col("source").alias("source_id"), "title", ident.alias("ident")))
 
 
 @query("""

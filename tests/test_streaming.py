@@ -64,3 +64,30 @@ def test_greedy_clusters_equal_the_plain_loop(spark):
     plain = model([(k, at.timestamp() - datetime(1970, 1, 1).timestamp(), s, i, list(dict.fromkeys(t.split()))) for k, at, s, t, i in rows])
     assert got == {r.item_id: (r.cluster_id, r.decision) for r in plain.itertuples()}
     assert len({c for c, _ in got.values()}) < len(got)
+
+
+def test_greedy_clusters_read_whole_titles(spark, tmp_path):
+    from tessera.plans import catalog
+
+    catalog.load()
+    same = " ".join(f"shared{k}" for k in range(40))  # over 200 characters
+    texts = [f"{same} alpha beta\nx", f"{same} gamma delta\ny", f"{same} beta alpha\nz"]
+    spark.createDataFrame([(k, t, f"s{k}") for k, t in enumerate(texts)], "doc_id long, text string, source string").write.parquet(f"{tmp_path}/documents.parquet")
+    # an identifier for every 40th document; none of these shares one
+    got = {r.item_id: (r.cluster_id, r.decision) for r in catalog.QUERIES["greedy_clusters"](spark, str(tmp_path)).collect()}
+    assert got == {0: (0, "new"), 1: (1, "new"), 2: (0, "attached")}
+
+
+def test_greedy_clusters_over_many_candidates(spark):
+    import random
+
+    rng = random.Random(8)
+    words = [f"word{k}" for k in range(14)]
+    rows = []
+    for k in range(700):
+        n = rng.choice((2, 2, 3, 4, 9, 12, 13, 14))
+        rows.append((k, datetime(2024, 1, 1) + timedelta(hours=rng.randrange(900)), f"s{rng.randrange(3)}", " ".join([*rng.sample(words[:5], min(n, 3)), *rng.sample(words[5:], max(n - 5, 0))]), f"i{rng.randrange(30)}" if rng.random() < 0.05 else None))
+    df = spark.createDataFrame(rows, "item_id long, at timestamp, source_id string, title string, ident string")
+    got = {r.item_id: (r.cluster_id, r.decision) for r in clustering.cluster(df.repartition(3)).collect()}
+    plain = model([(k, at.timestamp() - datetime(1970, 1, 1).timestamp(), s, i, list(dict.fromkeys(t.split()))) for k, at, s, t, i in rows])
+    assert got == {r.item_id: (r.cluster_id, r.decision) for r in plain.itertuples()}
