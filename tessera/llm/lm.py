@@ -18,8 +18,8 @@ so the scores are log-probabilities over the same open vocabulary as the base sc
 KNOWN most frequent words travel with the tasks (bounded); the rarer words of a document are joined to the
 count table by a shuffle on the word, so no table that grows with the corpus is broadcast.
 
-TRAIN_SHARE of the training documents (by hash of the id, so it grows with the corpus) train the
-weights, each once; counts, vocabulary and base model are over all. See the README for what a full pass costs.
+All training documents (TRAIN_SHARE is 1) train the weights, each once, but for those CHECKED; counts, vocabulary
+and base model are over all. See the README for what this costs.
 
 Defined results: null or empty texts have the end token alone; null ids hash as the empty id; repeated rows
 have equal results; an empty table gives an empty table; other columns are ignored; words over LONG bytes
@@ -50,10 +50,10 @@ WINDOW = 32
 LANES = 64
 SHARD_TOKENS = 800_000
 ROUNDS = 2
-TRAIN_SHARE = 0.25
+TRAIN_SHARE = 1.0
 RATE = 0.01
 WARM = 50  # steps over which a round's rate rises
-CHECKED = 16  # one in so many of the training share's documents only checks
+CHECKED = 16  # one in so many of the training documents only checks
 STRENGTHS = (0.0, 0.25, 0.5, 0.75, 1.0)
 TOP = np.float32(60)  # of a logit, as float32 can hold its exponential
 LONG = 64

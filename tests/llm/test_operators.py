@@ -507,6 +507,13 @@ def test_language_model(docs, texts, nothing):
     assert lm.annotate(nothing).count() == 0
 
 
+def test_all_training_documents_reach_the_shards(spark, monkeypatch):
+    sizes, keep = {}, lm.written
+    monkeypatch.setattr(lm, "written", lambda df, name: sizes.setdefault(name, keep(df, name)))
+    lm.annotate(spark.createDataFrame([(k, f"words of {k % 7} and more") for k in range(200)], "doc_id long, text string")).count()
+    assert sizes["shards"].count() == sum(lm.fold(k) != lm.HELD_OUT for k in range(200))
+
+
 def test_model_is_a_distribution_and_learns():
     rng = np.random.default_rng(3)
     v = lm.VOCABULARY
