@@ -3,7 +3,8 @@
 A line's quote level is the number of ">" that lead it (each may have a space around it). Lines of
 one level in a row are a passage. A quoted passage, normalised (lower case, runs of other than letters and
 digits as one space), is hashed and joined, within its conversation, to the messages whose own
-words hold it: as a whole message, or as a paragraph or a line. The latest earlier message that
+words hold it: as a whole message, or as a paragraph or a line. A passage of several lines also matches a message
+that holds these lines in a row (blank ones aside): they meet on the hash of its first two lines, then all are compared. The latest earlier message that
 matches, by turn, is the one replied to (the passage of least quote level first, then the longest);
 a message that quotes nothing, or nothing known, replies to the turn before it.
 
@@ -29,7 +30,6 @@ from pyspark.sql import functions as F
 from tessera.llm.common import drop_written, written
 
 QUOTE = r"^\x20?(>\x20?)+"
-LEAST_WORDS = 2
 ROUNDS = 40
 
 
@@ -67,21 +67,36 @@ def passages(lines: Column) -> Column:
     return F.filter(joined, lambda x: x["level"] > 0)
 
 
+def line_hashes(text: Column) -> Column:
+    """Hashes of a text's normalised lines, blank ones left out."""
+    return F.transform(F.filter(F.transform(F.split(text, "\n"), normalised), lambda x: x != ""), lambda x: F.xxhash64(x))
+
+
+def runs(rows: DataFrame, quoted: DataFrame) -> DataFrame:
+    """(row, level, size, parent, at): messages that hold the lines of a quoted passage of several lines in a row."""
+    asked = quoted.where(F.size("lines") >= 2).select("row", "conv_id", "turn", "level", F.length("n").alias("size"), F.col("lines").alias("wanted"), F.xxhash64(F.get("lines", F.lit(0)), F.get("lines", F.lit(1))).alias("h"))
+    own = rows.join(asked.select("conv_id").distinct(), "conv_id", "left_semi").select(F.col("row").alias("parent"), "conv_id", F.col("turn").alias("at"), line_hashes(F.col("own")).alias("said"))
+    pairs = F.when(F.size("said") >= 2, F.transform(F.sequence(F.lit(1), F.size("said") - 1), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.get("said", i - 1), F.get("said", i)).alias("h"))))
+    held = own.select("parent", "conv_id", "at", F.explode(pairs).alias("x")).select("parent", "conv_id", "at", "x.*")
+    met = asked.join(held, ["conv_id", "h"]).where("at < turn").join(own.select("parent", "said"), "parent")
+    return met.where(F.slice("said", F.col("pos"), F.size("wanted")) == F.col("wanted")).select("row", "level", "size", "parent", "at")
+
+
 def parents(rows: DataFrame) -> DataFrame:
     """(row, parent): the earlier row of the conversation that each row replies to; null for first turns.
 
     rows: row, conv_id, turn, lines, own.
     """
     quoted = rows.where(F.exists("lines", lambda x: x["level"] > 0)).select("row", "conv_id", "turn", F.explode(passages(F.col("lines"))).alias("p"))
-    quoted = quoted.select("row", "conv_id", "turn", F.col("p.level").alias("level"), normalised(F.col("p.text")).alias("n"))
-    quoted = quoted.where(F.size(F.split("n", " ")) >= LEAST_WORDS)
+    quoted = quoted.select("row", "conv_id", "turn", F.col("p.level").alias("level"), normalised(F.col("p.text")).alias("n"), line_hashes(F.col("p.text")).alias("lines"))
+    quoted = quoted.where("n <> ''")
     pieces = F.array_distinct(F.concat(F.array("own"), F.split("own", r"\n\x20*\n"), F.split("own", "\n")))
     # only conversations that quote have their messages hashed
     some = quoted.select("conv_id").distinct()
     held = rows.join(some, "conv_id", "left_semi").select(F.col("row").alias("parent"), "conv_id", F.col("turn").alias("at"), F.explode(pieces).alias("piece"))
     held = held.select("parent", "conv_id", "at", F.xxhash64(normalised(F.col("piece"))).alias("h")).distinct()
     asked = quoted.select("row", "conv_id", "turn", "level", F.length("n").alias("size"), F.xxhash64("n").alias("h"))
-    met = asked.join(held, ["conv_id", "h"]).where("at < turn")
+    met = asked.join(held, ["conv_id", "h"]).where("at < turn").select("row", "level", "size", "parent", "at").union(runs(rows, quoted))
     linked = met.groupBy("row").agg(F.max(F.struct((-F.col("level")).alias("near"), "size", "at", (-F.col("parent")).alias("p"))).alias("best"))
     linked = linked.select(F.col("row").alias("r"), (-F.col("best.p")).alias("linked"))
     turns = rows.where("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", "turn").agg(F.min("row").alias("first"))

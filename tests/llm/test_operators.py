@@ -440,6 +440,17 @@ def test_quotation_links(spark):
     assert quotes.link(df.limit(0)).count() == 0
 
 
+def test_quotes_of_some_lines_and_single_words(spark):
+    said = ["one fish here\ntwo fish here\nthree fish here\nfour fish here\n\nnext part\n\nlast part\nends", "Yes", "你好", "filler"]
+    asked = {
+        "> two fish here\n> Three FISH here\nok": 0, "> next part\n>\n> last part\n> ends\nok": 0, "> four fish here\n> next part": 0, "> Yes\nok": 1, "> 你好\nok": 2,
+        "> one fish here\n> three fish here\nnot in a row": None, "> ...\nno words": None, "> ends\n> one fish here\nwrong order": None, "> last part\n> ends\n> more\ntoo long": None,
+    }
+    rows = [(c, t, "u", x) for c in range(len(asked)) for t, x in enumerate([*said, list(asked)[c]])]
+    found = {r.conv_id: r for r in quotes.link(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string").repartition(3)).where("turn = 4").collect()}
+    assert [(found[c].parent_turn, found[c].quoted) for c in range(len(asked))] == [(3, False) if p is None else (p, True) for p in asked.values()]
+
+
 def test_reply_order_of_long_threads(spark):
     rng = random.Random(7)
     rows, parent = [], {}
