@@ -9,7 +9,9 @@ Tokens are lower-cased words and one end per document. Three passes read the cor
    tokens. Training is spread out: documents are dealt into shards of about SHARD_TOKENS tokens; in each of
    ROUNDS rounds a task trains from the common weights on its share of the shard, and the weights are
    averaged by a grouped sum. One in CHECKED documents only serves to choose how far to go from the
-   start to the trained weights (STRENGTHS), so too little data can't make the model worse than the unigram. Output biases start at the unigram, so the model starts as the base model and leaves it as it learns.
+   start to the trained weights (STRENGTHS), so too little data can't make the model worse than the unigram. Output biases
+   start at the unigram, so the model starts as the base model and leaves it as it learns. There are MOST_SHARDS shards at
+   most; a task streams through its shard in pieces of SHARD_TOKENS tokens, so its memory doesn't grow with the corpus.
 3. Every document is scored whole: windows follow one another with the hidden state carried
    across, many documents side by side in lanes, each beginning from a zero state.
 
@@ -18,7 +20,7 @@ so the scores are log-probabilities over the same open vocabulary as the base sc
 KNOWN most frequent words travel with the tasks (bounded); the rarer words of a document are joined to the
 count table by a shuffle on the word, so no table that grows with the corpus is broadcast.
 
-All training documents (TRAIN_SHARE is 1) train the weights, each once, but for those CHECKED; counts, vocabulary
+All training documents train the weights, each once, but for those CHECKED; counts, vocabulary
 and base model are over all. See the README for what this costs.
 
 Defined results: null or empty texts have the end token alone; null ids hash as the empty id; repeated rows
@@ -31,7 +33,7 @@ from __future__ import annotations
 import hashlib
 import zlib
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from itertools import chain, compress, repeat
 
 import numpy as np
@@ -47,11 +49,12 @@ CLASSES = 32
 KNOWN = 150_000
 HIDDEN = 16
 WINDOW = 32
-LANES = 64
-SHARD_TOKENS = 800_000
+LANES = 256
+LANE_TOKENS = 6400  # of a lane at least, so that a small corpus gets as many updates as a piece of a large one
+SHARD_TOKENS = 1_600_000
+MOST_SHARDS = 4096  # beyond, a shard is read in pieces of SHARD_TOKENS
 ROUNDS = 2
-TRAIN_SHARE = 1.0
-RATE = 0.01
+RATE = 0.02
 WARM = 50  # steps over which a round's rate rises
 CHECKED = 16  # one in so many of the training documents only checks
 STRENGTHS = (0.0, 0.25, 0.5, 0.75, 1.0)
@@ -157,7 +160,7 @@ class Model:
         h, v = HIDDEN, len(unigram)
         order = np.argsort(-unigram, kind="stable")
         self.size = -(-v // CLASSES)
-        self.class_of, self.place = np.empty(v, np.int32), np.empty(v, np.int32)
+        self.class_of, self.place = np.empty(v, np.int16), np.empty(v, np.int32)
         self.class_of[order], self.place[order] = np.arange(v) // self.size, np.arange(v) % self.size
         small = lambda *s: rng.normal(0, 0.1, s).astype(np.float32)
         self.inp, self.rec, self.bias = small(v + 1, 3 * h), small(h, 3 * h), np.zeros(3 * h, np.float32)
@@ -198,37 +201,44 @@ class Model:
 
     def log_probs(self, hs: np.ndarray, words: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-probabilities of words after states hs; with grads, adds to it and returns d/d hs of their sum."""
-        k, place = self.class_of[words], self.place[words]
+        k = self.class_of[words]
         order = np.argsort(k, kind="stable")
-        cuts = np.searchsorted(k[order], np.arange(CLASSES + 1))
-        a = hs @ self.cls + self.cls_b
-        e = np.exp(np.minimum(a, TOP, out=a))
-        total = e.sum(1, keepdims=True)
-        rows = np.arange(len(words))
-        lp = a[rows, k] - np.log(total[:, 0])
-        back = None
-        if grads is not None:
-            d = -e / total
-            d[rows, k] += 1
-            grads["cls"] += hs.T @ d
-            grads["cls_b"] += d.sum(0)
-            back = d @ self.cls.T
-        for c in range(CLASSES):
-            at = order[cuts[c] : cuts[c + 1]]
-            if not len(at):
-                continue
-            own = hs[at]
-            a = own @ self.out[c] + self.out_b[c]
-            e = np.exp(np.minimum(a, TOP, out=a))
+        hs, k, place = hs[order], k[order], self.place[words[order]]
+        cuts, rows = np.searchsorted(k, np.arange(CLASSES + 1)), np.arange(len(words))
+
+        def softmax(own: np.ndarray, weights: np.ndarray, bias: np.ndarray, said: np.ndarray, name: str, part: int | None) -> tuple[np.ndarray, np.ndarray | None]:
+            """Log-probabilities of the entries said, and d/d own of their sum."""
+            a = own @ weights
+            a += bias
+            np.minimum(a, TOP, out=a)
+            at = rows[: len(own)]
+            lp = a[at, said]
+            e = np.exp(a, out=a)
             total = e.sum(1, keepdims=True)
-            lp[at] += a[np.arange(len(at)), place[at]] - np.log(total[:, 0])
-            if grads is not None:
-                d = -e / total
-                d[np.arange(len(at)), place[at]] += 1
-                grads["out"][c] += own.T @ d
-                grads["out_b"][c] += d.sum(0)
-                back[at] += d @ self.out[c].T
-        return lp, back
+            lp -= np.log(total[:, 0])
+            if grads is None:
+                return lp, None
+            e /= -total
+            e[at, said] += 1
+            here = slice(None) if part is None else part
+            grads[name][here] += own.T @ e
+            grads[name + "_b"][here] += e.sum(0)
+            return lp, e @ weights.T
+
+        lp, back = softmax(hs, self.cls, self.cls_b, k, "cls", None)
+        for c in range(CLASSES):
+            lo, hi = cuts[c], cuts[c + 1]
+            if lo < hi:
+                more, down = softmax(hs[lo:hi], self.out[c], self.out_b[c], place[lo:hi], "out", c)
+                lp[lo:hi] += more
+                if down is not None:
+                    back[lo:hi] += down
+        out, down = np.empty_like(lp), None
+        out[order] = lp
+        if back is not None:
+            down = np.empty_like(back)
+            down[order] = back
+        return out, down
 
 
 class Lanes:
@@ -249,7 +259,7 @@ class Lanes:
         self.first = np.zeros((steps, lanes), bool)
         for k, lane in enumerate(rank):
             t = 0
-            for d in dealt[lane]:
+            for d in sorted(dealt[lane]):
                 n = int(sizes[d])
                 own = entries[starts[d] : starts[d] + n]
                 self.said[t : t + n, k], self.doc[t : t + n, k] = own, d
@@ -266,56 +276,91 @@ class Lanes:
                 yield t, min(hi, t + width), n
 
 
-def train_shard(model: Model, entries: np.ndarray, sizes: np.ndarray, rate: float) -> Model:
-    """One pass of truncated backpropagation over the documents, Adam with bias correction."""
-    lanes = Lanes(entries, sizes, LANES)
+class Adam:
+    """Ascent with running means of gradients and their squares, both corrected for their start at zero; the rate rises over WARM steps."""
+
+    def __init__(self, rate: float) -> None:
+        self.rate, self.count = rate, 0
+        self.first: dict[str, np.ndarray] = {}
+        self.second: dict[str, np.ndarray] = {}
+
+    def step(self, model: Model, grads: dict[str, np.ndarray], scale: float) -> None:
+        self.count += 1
+        rate = np.float32(self.rate * min(1.0, self.count / WARM) / (1 - 0.9**self.count))
+        root = np.float32((1 - 0.99**self.count) ** -0.5)
+        for k, g in grads.items():
+            g *= np.float32(scale)
+            m, v = self.first.setdefault(k, np.zeros_like(g)), self.second.setdefault(k, np.zeros_like(g))
+            m += np.float32(0.1) * (g - m)
+            g *= g
+            v += np.float32(0.01) * (g - v)
+            getattr(model, k)[...] += rate * m / (np.sqrt(v) * root + np.float32(1e-6))
+
+
+def train_shard(model: Model, entries: np.ndarray, sizes: np.ndarray, adam: Adam) -> Model:
+    """One pass of truncated backpropagation over the documents."""
+    lanes = Lanes(entries, sizes, min(LANES, max(1, len(entries) // LANE_TOKENS)))
     state = np.zeros((lanes.fed.shape[1], HIDDEN), np.float32)
-    first, second, count, n = {}, {}, 0, HIDDEN
+    n = HIDDEN
     for lo, hi, width in lanes.windows(WINDOW):
-        h, kept, hs = state[:width], [], []
-        for t in range(lo, hi):
-            h = np.where(lanes.first[t, :width, None], np.float32(0), h)
-            new, *rest = model.step(model.inp[lanes.fed[t, :width]] + model.bias, h)
-            kept.append((h, *rest))
-            hs.append(new)
-            h = new
+        h, steps = state[:width], hi - lo
+        before, hs, z, g, c, rc = (np.empty((steps, width, n), np.float32) for _ in range(6))
+        keep = ~lanes.first[lo:hi, :width, None]
+        fed = lanes.fed[lo:hi, :width]
+        for t in range(steps):
+            np.multiply(h, keep[t], out=before[t])
+            h, z[t], g[t], c[t], rc[t] = model.step(model.inp[fed[t]] + model.bias, before[t])
+            hs[t] = h
         state[:width] = h
         grads = {k: np.zeros_like(getattr(model, k)) for k in Model.NAMES}
-        _, back = model.log_probs(np.concatenate(hs), lanes.said[lo:hi, :width].ravel(), grads)
-        back = back.reshape(hi - lo, width, n)
-        carry, dx = np.zeros((width, n), np.float32), np.empty((hi - lo, width, 3 * n), np.float32)
-        for t in range(hi - 1, lo - 1, -1):
-            h, z, g, c, rc = kept[t - lo]
-            d = back[t - lo] + carry
-            dc = d * z * (1 - c * c)
-            x = dx[t - lo]
-            x[:, :n], x[:, n : 2 * n], x[:, 2 * n :] = d * (c - h) * z * (1 - z), dc * rc * g * (1 - g), dc
-            dr = np.concatenate([x[:, : 2 * n], dc * g], 1)
-            grads["rec"] += h.T @ dr
-            carry = (d * (1 - z) + dr @ model.rec.T) * ~lanes.first[t, :width, None]
-        flat, fed = dx.reshape(-1, 3 * n), lanes.fed[lo:hi, :width].ravel()
+        _, back = model.log_probs(hs.reshape(-1, n), lanes.said[lo:hi, :width].ravel(), grads)
+        back = back.reshape(steps, width, n)
+        # what a state's gradient is multiplied with on its way to the candidate, the gates and the state before
+        to_c, to_z, to_g, stay = z * (1 - c * c), (c - before) * z * (1 - z), rc * g * (1 - g), 1 - z
+        carry, dx, dr, down = np.zeros((width, n), np.float32), np.empty((steps, width, 3 * n), np.float32), np.empty((steps, width, 3 * n), np.float32), model.rec.T.copy()
+        for t in range(steps - 1, -1, -1):
+            d = back[t] + carry
+            x, r = dx[t], dr[t]
+            dc = np.multiply(d, to_c[t], out=x[:, 2 * n :])
+            np.multiply(d, to_z[t], out=x[:, :n])
+            np.multiply(dc, to_g[t], out=x[:, n : 2 * n])
+            r[:, : 2 * n] = x[:, : 2 * n]
+            np.multiply(dc, g[t], out=r[:, 2 * n :])
+            d *= stay[t]
+            d += r @ down
+            carry = d * keep[t]
+        flat = dx.reshape(-1, 3 * n)
+        grads["rec"] += before.reshape(-1, n).T @ dr.reshape(-1, 3 * n)
         grads["bias"] += flat.sum(0)
-        order = np.argsort(fed, kind="stable")
-        some, cut = np.unique(fed[order], return_index=True)
+        order = np.argsort(fed.ravel(), kind="stable")
+        some, cut = np.unique(fed.ravel()[order], return_index=True)
         grads["inp"][some] = np.add.reduceat(flat[order], cut)
-        count += 1
-        scale = 1.0 / ((hi - lo) * width)
-        for k in Model.NAMES:
-            g = grads[k] * np.float32(scale)
-            first[k] = 0.9 * first.get(k, 0) + 0.1 * g
-            second[k] = 0.99 * second.get(k, 0) + 0.01 * g * g
-            getattr(model, k)[...] += np.float32(rate * min(1.0, count / WARM)) * (first[k] / (1 - 0.9**count)) / (np.sqrt(second[k] / (1 - 0.99**count)) + np.float32(1e-6))
+        adam.step(model, grads, 1.0 / ((hi - lo) * width))
     return model
 
 
+def pieces(batches: Iterator[pa.RecordBatch], wanted: Callable[[int], bool]) -> Iterator[list[bytes]]:
+    """Entries of the wanted rows, in order, SHARD_TOKENS at a time; a longer document stands with what came before it."""
+    texts, size = [], 0
+    for b in batches:
+        for at, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True):
+            if wanted(at):
+                texts.append(x)
+                size += len(x) // 2
+                if size >= SHARD_TOKENS:
+                    yield texts
+                    texts, size = [], 0
+    if texts:
+        yield texts
+
+
 def train(df: DataFrame, table: Table, id_col: str, text_col: str) -> np.ndarray:
     """Weights after ROUNDS of training on shards and averaging."""
     spark = df.sparkSession
     flat = Model(table.unigram).flat()
-    some = F.pmod(F.xxhash64(F.col(id_col)), F.lit(1_000_000)) < int(TRAIN_SHARE * 1_000_000)
-    chosen = id_and_text(df.where(some), id_col, text_col)
+    chosen = id_and_text(df, id_col, text_col)
     size = chosen.agg(F.coalesce(F.sum(F.length("text") / 6), F.lit(0)).alias("n")).first().n
-    shards = max(1, round(float(size) / SHARD_TOKENS))
+    shards = min(MOST_SHARDS, max(1, round(float(size) / SHARD_TOKENS)))
     shared = spark.sparkContext.broadcast(table)
 
     def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -331,17 +376,16 @@ def train(df: DataFrame, table: Table, id_col: str, text_col: str) -> np.ndarray
         weights, rate, unigram = spark.sparkContext.broadcast(flat), RATE / (1 + r), table.unigram
 
         def trained(batches: Iterator[pa.RecordBatch], weights=weights, rate=rate, unigram=unigram, r=r) -> Iterator[pa.RecordBatch]:
-            texts = sorted(x for b in batches for at, x in zip(b.column(0).to_pylist(), b.column(1).to_pylist(), strict=True) if at % CHECKED and at // CHECKED % ROUNDS == r)
-            if not texts:
+            model, adam, n = Model(unigram).load(weights.value), Adam(rate), 0
+            for texts in pieces(batches, lambda at: at % CHECKED and at // CHECKED % ROUNDS == r):
+                rng = np.random.default_rng(len(texts))
+                texts = [texts[k] for k in rng.permutation(len(texts))]
+                entries = np.frombuffer(b"".join(texts), "<u2").astype(np.int32)
+                train_shard(model, entries, np.array([len(x) // 2 for x in texts], np.int64), adam)
+                n += len(entries)
+            if not n:
                 return
-            entries = np.frombuffer(b"".join(texts), "<u2").astype(np.int32)
-            sizes = np.array([len(x) // 2 for x in texts], np.int64)
-            rng = np.random.default_rng(len(entries))
-            order = rng.permutation(len(sizes))
-            starts = np.cumsum(sizes) - sizes
-            entries = np.concatenate([entries[starts[d] : starts[d] + sizes[d]] for d in order])
-            new = train_shard(Model(unigram).load(weights.value), entries, sizes[order], rate).flat()
-            n = len(entries)
+            new = model.flat()
             # whole numbers, so that the sum doesn't depend on the order of the tasks
             fixed = np.rint(np.clip(new.astype(np.float64), -1e3, 1e3) * (1 << 20)).astype(np.int64)
             for k in range(0, len(fixed), 4096):
@@ -354,13 +398,13 @@ def train(df: DataFrame, table: Table, id_col: str, text_col: str) -> np.ndarray
     start, weights, unigram = Model(table.unigram).flat(), spark.sparkContext.broadcast(flat), table.unigram
 
     def checked(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        texts = sorted(x for b in batches for x in b.column(0).to_pylist())
-        entries, sizes = np.frombuffer(b"".join(texts), "<u2").astype(np.int32), np.array([len(x) // 2 for x in texts], np.int64)
-        for s in STRENGTHS if texts else ():
-            model = Model(unigram).load(start + np.float32(s) * (weights.value - start))
-            yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([int(model_scores(model, entries, sizes).sum() * 1024)])], ["s", "v"])
+        for texts in pieces(batches, lambda at: True):
+            entries, sizes = np.frombuffer(b"".join(texts), "<u2").astype(np.int32), np.array([len(x) // 2 for x in texts], np.int64)
+            for s in STRENGTHS:
+                model = Model(unigram).load(start + np.float32(s) * (weights.value - start))
+                yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([int(model_scores(model, entries, sizes).sum() * 1024)])], ["s", "v"])
 
-    found = docs.where(F.col("at") % CHECKED == 0).select("entries").mapInArrow(checked, "s double, v long").groupBy("s").agg(F.sum("v").alias("v")).collect()
+    found = docs.where(F.col("at") % CHECKED == 0).select("at", "entries").mapInArrow(checked, "s double, v long").groupBy("s").agg(F.sum("v").alias("v")).collect()
     best = max(found, key=lambda x: (x.v, -x.s)).s if found else 0.0
     return start + np.float32(best) * (flat - start)
 

@@ -542,7 +542,7 @@ def test_model_is_a_distribution_and_learns():
     sizes = np.full(100, 400)
     before = lm.model_scores(model, entries, sizes).sum()
     for _ in range(6):
-        lm.train_shard(model, entries, sizes, lm.RATE)
+        lm.train_shard(model, entries, sizes, lm.Adam(lm.RATE))
     assert lm.model_scores(model, entries, sizes).sum() > 0.2 * before
 
 
@@ -579,5 +579,53 @@ def test_gradient():
         assert (up - model.log_probs(moved, words)[0].astype(float).sum()) / 2e-2 == pytest.approx(float(back[r, c]), abs=2e-2)
 
 
+def test_gradient_through_the_unit(monkeypatch):
+    """Backpropagation through a window against finite differences of its log-likelihood: two lanes, one of them of two documents."""
+    monkeypatch.setattr(lm, "LANE_TOKENS", 14)
+    rng = np.random.default_rng(6)
+    model = lm.Model(np.full(lm.VOCABULARY, 1 / lm.VOCABULARY))
+    model.load(model.flat() + rng.normal(0, 0.3, model.flat().shape).astype(np.float32))
+    sizes = np.array([9, 14, 5])
+    entries = rng.integers(0, 40, sizes.sum()).astype(np.int32)
+
+    class Caught:
+        def step(self, model, grads, scale):
+            self.grads = grads
+
+    caught = Caught()
+    lm.train_shard(model, entries, sizes, caught)
+    flat = model.flat().astype(float)
+    for name in lm.Model.NAMES:
+        g = caught.grads[name]
+        start = sum(getattr(model, k).size for k in lm.Model.NAMES[: lm.Model.NAMES.index(name)])
+        for at in np.argsort(-np.abs(g).ravel())[[0, 3, 7]]:
+            values = []
+            for step in (0.01, -0.01):
+                moved = flat.copy()
+                moved[start + at] += step
+                values.append(lm.model_scores(lm.Model(np.full(lm.VOCABULARY, 1 / lm.VOCABULARY)).load(moved), entries, sizes).sum())
+            assert (values[0] - values[1]) / 0.02 == pytest.approx(float(g.ravel()[at]), rel=0.03, abs=2e-2), (name, at)
+
+
+def test_rare_words_are_joined_and_held_out_texts_gain(spark, monkeypatch):
+    """Words beyond KNOWN take their counts by the join; a corpus with context is scored better than by its unigram."""
+    monkeypatch.setattr(lm, "KNOWN", 18)
+    rng = random.Random(4)
+    pair = {f"a{k}": f"b{k}" for k in range(8)}
+    rows = []
+    for k in range(3000):
+        words = [w for _ in range(25) for w in [rng.choice(list(pair))] for w in (w, pair[w])]
+        rows.append((k, " ".join([*words, f"rare{k % 5}", *(["never seen"] if k == 1 else [])])))
+    found = lm.annotate(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    counts = Counter(w for k, t in rows if lm.fold(k) != lm.HELD_OUT for w in [*words_of(t), " "])
+    total, types = sum(counts.values()), len(counts)
+    for r in found[:40]:
+        w = [*words_of(rows[r.doc_id][1]), " "]
+        assert r.n_known == sum(counts[x] > 0 for x in w)
+        assert r.base_score == pytest.approx(sum(math.log10((counts[x] + 0.5) / (total + 0.5 * (types + 1))) for x in w))
+    held = [r for r in found if r.held_out]
+    assert sum(r.score for r in held) > 0.9 * sum(r.base_score for r in held)
+
+
 def test_registered():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
