@@ -293,11 +293,11 @@ def test_masks_lose_no_overlap():
 def test_decontamination(spark, nothing):
     rng = random.Random(6)
     word = lambda: "".join(rng.choice("abcdefghij") for _ in range(4))
-    items = [[word() for _ in range(n)] for n in (30, 12, 9, 7, 6, 40, 3, 0)]
-    bench = spark.createDataFrame([(k, " ".join(w) if w else None) for k, w in enumerate(items)], "item_id long, text string")
+    items = [[word() for _ in range(n)] for n in (30, 12, 9, 7, 6, 40, 3, 0, 1, 5, 20)]
+    bench = spark.createDataFrame([(k if k != 10 else None, " ".join(w) if w else None) for k, w in enumerate(items)], "item_id long, text string")
     rows, wanted = [(0, None), (1, ""), (2, " ".join(word() for _ in range(300)))], {0: "", 1: "", 2: ""}
     for k in range(60):
-        i = rng.randrange(6)
+        i = rng.choice([0, 1, 2, 3, 4, 5, 6, 8, 9, 10])
         w = list(items[i])
         size = min(13, len(w))
         subs = rng.randrange(0, size)
@@ -311,11 +311,16 @@ def test_decontamination(spark, nothing):
         doc, hit = tok(t), []
         for i, w in enumerate(items):
             size = min(decontam.WINDOW, len(w))
-            ok = len(w) >= decontam.MIN_TOKENS and any(
-                sum(w[j + x] == doc[j + o + x] for x in range(size)) >= decontam.SIMILARITY * size for o in range(-len(w), len(doc)) for j in range(len(w) - size + 1) if 0 <= j + o and j + o + size <= len(doc)
+            least = decontam.SIMILARITY * size if size >= decontam.TOLERANT else size
+            ok = size > 0 and (size >= decontam.ANYWHERE or len(doc) == size) and any(
+                sum(w[j + x] == doc[j + o + x] for x in range(size)) >= least for o in range(-len(w), len(doc)) for j in range(len(w) - size + 1) if 0 <= j + o and j + o + size <= len(doc)
             )
-            hit += [str(i)] * ok
+            hit += [str(i) if i != 10 else "null"] * ok
         wanted[d] = ",".join(hit)
+    rows.append((202, " ".join(" ".join(word() for _ in range(500)) for _ in range(60)) + " " + " ".join(items[5])))
+    wanted[202] = "5"
+    rows += [(200, items[8][0]), (201, "so " + items[8][0])]
+    wanted |= {200: "8", 201: ""}
     rows += [(None, " ".join(items[0])), rows[12], rows[12]]
     wanted[None] = "0"
     docs = spark.createDataFrame(rows, "doc_id long, text string").withColumn("item_id", F.lit("clash")).withColumn("words", F.lit(1)).repartition(3)
