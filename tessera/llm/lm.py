@@ -56,7 +56,7 @@ MOST_SHARDS = 4096  # beyond, a shard is read in pieces of SHARD_TOKENS
 ROUNDS = 2
 RATE = 0.02
 WARM = 50  # steps over which a round's rate rises
-CHECKED = 16  # one in so many of the training documents only checks
+CHECKED = 32  # one in so many of the training documents only checks
 STRENGTHS = (0.0, 0.25, 0.5, 0.75, 1.0)
 TOP = np.float32(60)  # of a logit, as float32 can hold its exponential
 LONG = 64

@@ -269,6 +269,71 @@ def test_semi_crf_on_held_out_lines():
     assert pii.added_spans("In 2024-01-31 version 2.0.1 of 1,234,567.89 came at 10:45:33, nothing more 12 34", [], trained) == []
 
 
+def odd_line(rng):
+    parts = ["at", "AT", "dot", "@", ".", "x.y", "joe", "Dot", "(", ")", "[at]", "+", "-", " ", "  ", "   ", "\n", "12", "345", "6789", "1234567", "4111 1111 1111 1111", "10.0.0.1", "é", "²", "_", ":", "mail", "at host dot com", "9" * 25]
+    return "".join(rng.choice(parts) + rng.choice(["", " ", " "]) for _ in range(rng.randrange(1, 40)))
+
+
+def test_stretches_decide_what_the_whole_text_does():
+    trained, rng = pii.model(), random.Random(8)
+    found = 0
+    for _ in range(400):
+        text = rng.choice([" ", " ", "\n", "".join(f"w{k} " for k in range(rng.randrange(60)))]).join(odd_line(rng) for _ in range(rng.randrange(1, 5)))
+        tokens = pii.Tokens(text)
+        n = len(tokens.words)
+        ends = {i: tokens.candidates(i) for i in range(n)}
+        whole = [(i, j, y) for i, j, y in pii.decode(tokens, 0, n, ends, trained) if y]
+        assert ends == {i: [j for j in range(i + 1, tokens.stop[i] + 1) if tokens.possible(i, j)] if tokens.first[i] else [] for i in range(n)}
+        parts = [s for lo, hi, e in tokens.stretches() for s in pii.decode(tokens, lo, hi, e, trained) if s[2]]
+        assert parts == whole
+        got = pii.added_spans(text, [], trained)
+        assert got == [(tokens.spans[i][0], tokens.spans[j - 1][1], pii.LABELS[y]) for i, j, y in whole]
+        found += len(got)
+    assert found > 100
+    for line in ("mail john (AT) example (DOT) com today", "write JOHN AT HOST DOT COM now", "contact john at host.com please"):
+        assert [k for _, _, k in pii.added_spans(line, [], trained)] == ["email"], line
+    assert pii.added_spans("1 2 3 " * 5000, [], trained) is not None
+
+
+def test_decoding_and_gradient_against_enumeration():
+    rng = np.random.default_rng(2)
+    names: dict[str, int] = {}
+    text = "@ at a.b 12 345 67 8 at x.y"
+    tokens = pii.Tokens(text)
+    lattice = pii.Lattice(tokens, lambda x: names.setdefault(x, len(names)))
+    weights, moves = rng.normal(size=(len(names), len(pii.LABELS))), rng.normal(size=(len(pii.LABELS), len(pii.LABELS)))
+    score = lattice.scores(weights)
+    paths = []
+
+    def walk(at, last, value, path):
+        if at == lattice.n:
+            paths.append((value, path))
+            return
+        for k, (i, j) in enumerate(lattice.segments):
+            if i == at:
+                for y in range(1, len(pii.LABELS)) if lattice.kinds[k] else (0,):
+                    walk(j, y, value + score[k, y] + moves[last, y], [*path, (i, j, y)])
+
+    walk(0, 0, 0.0, [])
+    best = max(paths, key=lambda p: p[0])
+    ends = {i: tokens.candidates(i) for i in range(lattice.n)}
+    assert len(paths) > 40 and any(y for _, _, y in best[1])
+    assert pii.decode(tokens, 0, lattice.n, ends, pii.Trained(names, weights, moves)) == best[1]
+    total = np.logaddexp.reduce([p[0] for p in paths])
+    truth = paths[len(paths) // 3]
+    before, rate = weights.copy(), 1e-6
+    value = lattice.gradient(weights, moves.copy(), truth[1], rate)
+    assert value == pytest.approx(truth[0] - total)
+    # the step is the gradient: the truth's features less those expected
+    wanted = np.zeros_like(before)
+    rows = {(*s, k): r for s, k, r in zip(lattice.segments, lattice.kinds, lattice.rows, strict=True)}
+    for v, path in [(None, truth[1]), *paths]:
+        for i, j, y in path:
+            for f in rows[i, j, bool(y)]:
+                wanted[f, y] += 1 if v is None else -np.exp(v - total)
+    assert np.abs((weights - before) / rate - wanted).max() < 2e-3
+
+
 def test_pii_rows(spark, docs, nothing):
     rows = by_id(pii.annotate(docs))
     assert rows[0].spans == rows[1].spans == "" and rows[0].base_sha256 == hashlib.sha256(b"").hexdigest()
