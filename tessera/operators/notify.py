@@ -6,21 +6,43 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import times
-from tessera.operators.merge import insert_if_absent
+
+
+#: Jobs that count against a user's day.
+COUNTED = ("queued", "sending", "sent")
+
+
+def day_counts(jobs: DataFrame, prefs: DataFrame) -> DataFrame:
+    """(user_id, day, n): jobs that count, by the user's local day of their time."""
+    met = jobs.where(F.col("status").isin(*COUNTED)).join(prefs.select("user_id", "zone"), "user_id")
+    return met.groupBy("user_id", F.to_date(times.local(F.col("scheduled_for"), F.col("zone"))).alias("day")).agg(F.count("*").alias("n"))
+
+
+def day_bounds(day: Column, zone: Column) -> tuple[Column, Column]:
+    """The UTC times at which a local day begins and ends."""
+    start = day.cast("timestamp_ntz").cast("timestamp")
+    return F.to_utc_timestamp(start, zone), F.to_utc_timestamp(F.date_add(day, 1).cast("timestamp_ntz").cast("timestamp"), zone)
 
 
 def cluster_update_jobs(log: DataFrame, watches: DataFrame, prefs: DataFrame, now: Column, existing: DataFrame | None = None) -> DataFrame:
-    """(dedupe_key, user_id, cluster_id, seq, scheduled_for): a job for each log entry of a watched cluster.
+    """(dedupe_key, user_id, cluster_id, seq, scheduled_for, status): a job for each log entry of a watched cluster.
 
     prefs: user_id, zone, quiet_start, quiet_end (minutes), daily_limit, enabled. Users without prefs get none.
-    Of a user's entries the first ``daily_limit`` by (cluster, seq) become jobs.
+    A user's jobs of one local day, those there already (that are queued or sent) and the new ones by (cluster, seq), stay within
+    ``daily_limit``; entries that have a job take no place. Returns existing with the new jobs.
     """
     met = log.select("cluster_id", "seq").join(watches.select("user_id", "cluster_id"), "cluster_id").join(prefs.where("enabled"), "user_id")
-    order = Window.partitionBy("user_id").orderBy("cluster_id", "seq")
-    kept = met.withColumn("n", F.row_number().over(order)).where("n <= daily_limit")
     key = F.concat_ws(":", F.lit("update"), "user_id", "cluster_id", "seq")
-    jobs = kept.select(key.alias("dedupe_key"), "user_id", "cluster_id", "seq", times.schedule(now, F.col("zone"), F.col("quiet_start"), F.col("quiet_end")).alias("scheduled_for"))
-    return jobs if existing is None else insert_if_absent(existing, jobs, ["dedupe_key"])
+    jobs = met.withColumn("scheduled_for", times.schedule(now, F.col("zone"), F.col("quiet_start"), F.col("quiet_end"))).withColumn("dedupe_key", key)
+    jobs = jobs.withColumn("day", F.to_date(times.local(F.col("scheduled_for"), F.col("zone"))))
+    if existing is not None:
+        jobs = jobs.join(existing.select("dedupe_key"), "dedupe_key", "left_anti").join(day_counts(existing, prefs).withColumnRenamed("n", "had"), ["user_id", "day"], "left")
+    else:
+        jobs = jobs.withColumn("had", F.lit(0))
+    order = Window.partitionBy("user_id", "day").orderBy("cluster_id", "seq")
+    kept = jobs.withColumn("n", F.row_number().over(order)).where(F.coalesce("had", F.lit(0)) + F.col("n") <= F.col("daily_limit"))
+    fresh = kept.select("dedupe_key", "user_id", "cluster_id", "seq", "scheduled_for", F.lit("queued").alias("status"))
+    return fresh if existing is None else existing.unionByName(fresh)
 
 
 def topic_digests(follows: DataFrame, cluster_topics: DataFrame, clusters: DataFrame, begin: Column, end: Column, most: int = 50) -> DataFrame:

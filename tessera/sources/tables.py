@@ -76,6 +76,24 @@ VIEWS = {
         SELECT user_id, CASE user_id % 4 WHEN 0 THEN 'UTC' WHEN 1 THEN 'America/New_York' WHEN 2 THEN 'Asia/Tokyo' ELSE 'Europe/Paris' END AS zone,
                CASE user_id % 3 WHEN 0 THEN 1320 WHEN 1 THEN 60 ELSE 480 END AS quiet_start, CASE user_id % 3 WHEN 0 THEN 480 WHEN 1 THEN 300 ELSE 480 END AS quiet_end,
                CAST(1 + user_id % 5 AS bigint) AS daily_limit, user_id % 7 <> 3 AS enabled FROM (SELECT DISTINCT user_id FROM events) u""",
+    "papers": """
+        SELECT doc_id AS id, CASE doc_id % 4 WHEN 0 THEN 'preprint' WHEN 1 THEN 'peer_reviewed' WHEN 2 THEN 'news' ELSE 'report' END AS content_type,
+               CASE WHEN doc_id % 3 = 0 THEN text WHEN doc_id % 3 = 1 THEN '  ' END AS full_text, CASE WHEN doc_id % 5 = 0 THEN 'error' ELSE 'pending' END AS full_text_status,
+               CASE doc_id % 7 WHEN 0 THEN 'arxiv_pdf' WHEN 1 THEN 'crossref' WHEN 2 THEN 'landing_page' WHEN 3 THEN 'unheard of' END AS full_text_source,
+               CASE doc_id % 6 WHEN 0 THEN 'Fulltext' WHEN 1 THEN 'abstract' END AS full_text_kind,
+               CASE WHEN doc_id % 8 = 0 THEN NULL ELSE n_chars END AS published_at, n_chars % 1000 AS fetched_at, CASE WHEN doc_id % 2 = 0 THEN concat('https://img.example/', cast(doc_id AS string)) END AS image_url,
+               CASE doc_id % 9 WHEN 1 THEN concat('2402.', cast(10000 + doc_id AS string)) WHEN 3 THEN ' ' END AS arxiv_id, CASE WHEN doc_id % 10 < 7 THEN concat('https://site.example/', cast(doc_id AS string)) END AS url,
+               CASE WHEN doc_id % 10 < 3 THEN '' WHEN doc_id % 10 < 5 THEN concat('https://site.example/c/', cast(doc_id AS string)) END AS canonical_url, split_part(text, chr(10), 1) AS title, source AS source_name
+        FROM documents""",
+    "tries": """
+        SELECT doc_id AS item_id, 'arxiv_html' AS source, 1 AS place, substr(text, 1, 400) AS text, (doc_id % 50) / 100.0E0 AS quality, CAST(NULL AS string) AS license, CAST(NULL AS string) AS status FROM documents WHERE doc_id % 4 = 0
+        UNION ALL SELECT doc_id, 'arxiv_pdf', 1, substr(text, 1, 300), (doc_id % 41) / 100.0E0, NULL, NULL FROM documents WHERE doc_id % 4 = 0 AND doc_id % 3 > 0
+        UNION ALL SELECT doc_id, 'arxiv_eprint', 1, CASE WHEN doc_id % 5 > 0 THEN substr(text, 1, 200) END, (doc_id % 37) / 100.0E0, NULL, NULL FROM documents WHERE doc_id % 8 = 0
+        UNION ALL SELECT doc_id, 'arxiv_api', 1, substr(text, 1, 90), 0.0E0, NULL, NULL FROM documents WHERE doc_id % 8 < 2
+        UNION ALL SELECT doc_id, 'openalex_landing', 2, substr(text, 1, 80), 0.9E0, 'cc-by', NULL FROM documents WHERE doc_id % 8 IN (3, 5)
+        UNION ALL SELECT doc_id, 'openalex_landing', 1, substr(text, 1, 70), 0.1E0, 'cc0', NULL FROM documents WHERE doc_id % 16 = 3
+        UNION ALL SELECT doc_id, 'crossref', 1, '  ', 0.0E0, NULL, NULL FROM documents WHERE doc_id % 8 = 6
+        UNION ALL SELECT doc_id, 'landing_page', 1, CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, 60) END, 0.0E0, NULL, CASE WHEN doc_id % 5 = 0 THEN 'paywalled' END FROM documents WHERE doc_id % 8 > 5""",
     "redirects": "SELECT o_orderkey AS from_id, o_orderkey - 1 AS to_id FROM orders WHERE o_orderkey % 17 = 5",
 }
 
