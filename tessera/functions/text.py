@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -50,10 +52,26 @@ def doi(text: Column, trimmed: bool = True) -> Column:
     return F.nullif(F.regexp_replace(cut, r"[-_./]+$", ""), F.lit(""))
 
 
+#: What a whole query is when it is an identifier, in the order of trying; the second group is its value.
+IDENTIFIERS = {
+    "doi": r"(?i)^(doi:|https?://(?:dx\.)?doi\.org/)?(10\.\d{4,9}/\S+)$",
+    "arxiv": r"(?i)^(arxiv:)?\s*((?:\d{4}\.\d{4,5}|[a-z-]+/\d{7})(?:v\d+)?)$",
+    "pmid": r"(?i)^(pmid:\s*(?=\d+$)|(?=\d{7,8}$))(\d+)$",
+}
+
+
 def identifier_kind(query: Column) -> Column:
     """doi, arxiv or pmid where a query is one, else null."""
     q = F.trim(query)
-    return F.when(q.rlike(r"(?i)^(doi:|https?://(dx\.)?doi\.org/)?10\.\d{4,9}/\S+$"), "doi").when(q.rlike(r"(?i)^(arxiv:)?(\d{4}\.\d{4,5}|[a-z-]+/\d{7})(v\d+)?$"), "arxiv").when(q.rlike(r"(?i)^(pmid:\s*\d+|\d{7,8})$"), "pmid")
+    return F.coalesce(*[F.when(q.rlike(pattern), kind) for kind, pattern in IDENTIFIERS.items()])
+
+
+def identifier_of(query: str) -> tuple[str | None, str]:
+    """The same of one query, with the identifier in lower case."""
+    for kind, pattern in IDENTIFIERS.items():
+        if m := re.match(pattern, query.strip()):
+            return kind, m[2].lower()
+    return None, ""
 
 
 def canonical_url(url: Column) -> Column:

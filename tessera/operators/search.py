@@ -5,7 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import scores, text
+from tessera.functions import english, scores, text
+from tessera.operators.feeds import newest
 
 
 def stem(word: Column) -> Column:
@@ -33,7 +34,7 @@ def postings(docs: DataFrame, key: str, body: str) -> DataFrame:
 def match(index: DataFrame, key: str, query: str, most: int = 50) -> DataFrame:
     """(key, rank): documents with every lexeme of a query, best first.
 
-    Only the postings of the query's lexemes are read. The rank saturates in each lexeme's frequency and
+    The rank saturates in each lexeme's frequency and
     falls with the logarithm of the document's length.
     """
     q = index.sparkSession.range(1).select(F.explode(F.array_distinct(lexemes(F.lit(query)))).alias("lexeme"))
@@ -46,6 +47,63 @@ def match(index: DataFrame, key: str, query: str, most: int = 50) -> DataFrame:
     return out.where(F.col("n") == len(wanted)).select(key, F.round(rank, 6).alias("rank")).orderBy(F.col("rank").desc(), key).limit(most)
 
 
+def search_docs(docs: DataFrame, key: str, body: str) -> DataFrame:
+    """(key, search_text, lexemes): what full-text search looks up, kept with the documents as their text changes."""
+    return docs.select(key, F.col(body).alias("search_text"), english.lexemes(F.col(body)).alias("lexemes"))
+
+
+def full_text(docs: DataFrame, key: str, query: str, nearness: bool = False) -> DataFrame:
+    """(key, rank): of search_docs those with every lexeme of a query.
+
+    The query's lexemes are few and known on the driver; texts without them are filtered out where they lie, and only the places of these
+    lexemes reach the rank. A query of stop words alone matches nothing.
+    """
+    wanted = sorted(english.lexeme_places(query))
+    if not wanted:
+        return docs.select(key, F.lit(0.0).alias("rank")).limit(0)
+    own = F.transform(F.filter("lexemes", lambda x: x["lexeme"].isin(wanted)), lambda x: x["places"])
+    hit = docs.select(key, own.alias("__places")).where(F.size("__places") == len(wanted))
+    return hit.select(key, (english.rank_by_nearness if nearness else english.rank_by_covers)(F.col("__places")).alias("rank"))
+
+
+def staged(docs: DataFrame, clusters: DataFrame, items: DataFrame, members: DataFrame, query: str, most: int = 50, few: int = 5) -> DataFrame:
+    """(id, rank): active clusters for a query: by identifier where it is one, else by full text, else, where that finds few, by trigrams.
+
+    Which stage answers depends on how many rows the one before found, at most ``few`` of which are looked at.
+    """
+    q = query.strip()
+    active = clusters.where("status = 'active'").select("id", "updated_at")
+    order = F.col("rank").desc(), newest("updated_at"), F.col("id").desc()
+    kind = {"arxiv": "arxiv_id", "doi": "doi"}.get(text.identifier_of(q)[0] or "")
+    if kind and kind in items.columns:
+        own = items.where(F.col(kind) == q).select(F.col("id").alias("item_id"))
+        met = members.join(own, "item_id", "left_semi").select(F.col("cluster_id").alias("id"), "item_id")
+        found = active.join(met, "id").select("id", F.lit(None).cast("double").alias("rank"), "updated_at").orderBy(*order).limit(most)
+        if not found.isEmpty():
+            return found.select("id", "rank")
+    ranked = full_text(docs, "cluster_id", q).withColumnRenamed("cluster_id", "id")
+    found = active.join(ranked, "id").orderBy(*order).limit(most)
+    if len(found.limit(few).take(few)) >= few or not q:
+        return found.select("id", "rank")
+    near = docs.select(F.col("cluster_id").alias("id"), F.round(scores.jaccard(text.trigrams(F.col("search_text")), text.trigrams(F.lit(q))), 6).alias("rank")).where("rank >= 0.3")
+    return active.join(near, "id").orderBy(*order).limit(most).select("id", "rank")
+
+
+def enhanced(docs: DataFrame, clusters: DataFrame, items: DataFrame, members: DataFrame, query: str, most: int = 20) -> dict[str, DataFrame]:
+    """The first item that a query identifies (``hit``), and active clusters by nearness of its lexemes with their number of items (``clusters``)."""
+    named, value = text.identifier_of(query)
+    kind = {"arxiv": "arxiv_id", "doi": "doi", "pmid": "pmid"}.get(named or "")
+    active = clusters.where("status = 'active'").select("id", "canonical_title", "updated_at")
+    own = items.where(F.lower(kind) == value) if kind and kind in items.columns else items.limit(0)
+    met = members.select("cluster_id", "item_id").join(own.select(F.col("id").alias("item_id"), F.col("title").alias("item_title")), "item_id").join(active.withColumnRenamed("id", "cluster_id"), "cluster_id")
+    ranked = full_text(docs, "cluster_id", query, nearness=True).withColumnRenamed("cluster_id", "id")
+    first = active.join(ranked, "id").orderBy(F.col("rank").desc(), "id").limit(most)
+    sized = members.select("cluster_id", "item_id").join(F.broadcast(first.select(F.col("id").alias("cluster_id"))), "cluster_id").join(items.where("source_id IS NOT NULL").select(F.col("id").alias("item_id")), "item_id")
+    counts = sized.groupBy("cluster_id").agg(F.countDistinct("item_id").alias("n"))
+    listed = first.join(counts, first.id == counts.cluster_id, "left").select("id", "rank", F.coalesce("n", F.lit(0)).alias("n"))
+    return {"hit": met.orderBy("item_id", "cluster_id").limit(1), "clusters": listed}
+
+
 def by_identifier(items: DataFrame, members: DataFrame, clusters: DataFrame, column: str, value: str, dedupe: bool = False) -> DataFrame:
     """Active clusters with an item of that identifier; once for each such item unless dedupe."""
     own = items.where(F.col(column) == value).select(F.col("id").alias("item_id"))
