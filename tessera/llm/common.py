@@ -23,12 +23,14 @@ SPACES = b"\x20\x09\x0a\x0b\x0c\x0d"
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder that all executors share; one is made only where the session names none."""
+    """The folder that all executors share. Where the session names none, one is made in local mode; elsewhere that is an error."""
     folder = spark.conf.get("spark.checkpoint.dir", None)
     if not folder:
         found = spark.sparkContext._jsc.sc().getCheckpointDir()
         folder = found.get() if found.isDefined() else None
     if not folder:
+        if not spark.sparkContext.master.startswith("local") or spark.sparkContext.master.startswith("local-cluster"):
+            raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
         folder = f"file://{tempfile.mkdtemp(prefix='tessera-')}"
         spark.sparkContext.setCheckpointDir(folder)
     return folder.rstrip("/")
@@ -71,10 +73,10 @@ def importable(spark: SparkSession) -> None:
         spark.conf.set(key, "16m")
 
 
-def id_and_text(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    """Two columns, doc_id and text as bytes; a null text is empty. Other columns are dropped."""
+def id_and_text(df: DataFrame, id_col: str, text_col: str, *more: str) -> DataFrame:
+    """Columns doc_id, text as bytes and ``more``; a null text is empty. Other columns are dropped."""
     importable(df.sparkSession)
-    return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"))
+    return df.select(F.col(id_col).alias("doc_id"), F.coalesce(F.col(text_col).cast("binary"), F.lit(b"")).alias("text"), *more)
 
 
 def n_words(text: Column) -> Column:

@@ -22,7 +22,7 @@ letters alone skip the normaliser and the splitting pattern, which leave them as
 texts with "<|" are encoded whole, as added tokens are matched before the lower-casing used here.
 
 Defined results: null or empty texts have the end id alone; null doc ids come first; repeated rows and
-ids are all written; an empty table gives a table of ones, no blocks, and no rows; other columns
+ids are all written, equal ids by their tokens; an empty table gives a table of ones, no blocks, and no rows; other columns
 are ignored.
 """
 
@@ -39,7 +39,7 @@ from operator import not_
 import numpy as np
 import pyarrow as pa
 import zstandard
-from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tessera.llm.common import drop_written, id_and_text, importable, in_chunks, text_chunks, written
@@ -362,7 +362,7 @@ def unpacked(blob: bytes) -> np.ndarray:
     return out.view("<u4")[:, 0]
 
 
-STAGED = "part int, doc_id long, n long, ids binary, totals binary"
+STAGED = "part int, place long, doc_id long, n long, ids binary, totals binary"
 PLACED = STAGED + ", start long"
 
 
@@ -370,14 +370,16 @@ def arrow_schema(text: str) -> pa.Schema:
     return pa.schema([(n, {"int": pa.int32(), "long": pa.int64(), "binary": pa.binary()}[t]) for n, t in (x.split() for x in text.split(", "))])
 
 
-def stage(df: DataFrame, tokenizer: str, id_col: str, text_col: str, kept: int, chunk: int) -> DataFrame:
-    """A written table of PLACED: each part's documents in order of id, with the ids of those before them in the part.
+def stage(df: DataFrame, tokenizer: str, id_col: str, text_col: str, kept: int, chunk: int, place: Column | None) -> DataFrame:
+    """A written table of PLACED: each part's documents in order of place (of id, where none is given), with the ids of those before them in the part.
 
-    Parts are ranges of ids between quantiles. A task adds a row with how often each id occurs in its texts.
+    Parts are ranges of places between quantiles. A task adds a row with how often each id occurs in its texts.
     """
     spark = df.sparkSession
     parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    known = df.select(F.col(id_col).cast("double").alias("d")).where("d IS NOT NULL")
+    place = (F.col(id_col) if place is None else place).cast("long")
+    texts = id_and_text(df.withColumn("__place", place).select("__place", F.col(id_col).alias("doc_id"), F.col(text_col).alias("text")), "doc_id", "text", "__place")
+    known = df.select(place.cast("double").alias("d")).where("d IS NOT NULL")
     bounds = np.unique(known.approxQuantile("d", [k / parts for k in range(1, parts)], 0.2 / parts) if parts > 1 else [])
 
     def tokenised(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -386,29 +388,34 @@ def stage(df: DataFrame, tokenizer: str, id_col: str, text_col: str, kept: int,
         words = Words.at(tokenizer, kept)
         total, width, schema = np.zeros(words.size, np.int64), max(1, (words.size - 1).bit_length() + 7 >> 3), arrow_schema(STAGED)
         for b in batches:
+            at = 0
             for names, texts in text_chunks(b.column(0), b.column(1), chunk):
-                where = np.searchsorted(bounds, [-np.inf if x is None else x for x in names], side="right")
+                places = b.column(2).slice(at, len(names))
+                at += len(names)
+                where = np.searchsorted(bounds, [-np.inf if x is None else x for x in places.to_pylist()], side="right")
                 ids, sizes = words.encode(texts)
                 total += np.bincount(ids, minlength=words.size)
                 ends = np.cumsum(sizes)
                 found = [packed(ids[e - n : e], width) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
-                yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), pa.array(names, pa.int64()), pa.array(sizes), pa.array(found, pa.binary()), pa.nulls(len(names), pa.binary())], schema=schema)
+                yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), places, pa.array(names, pa.int64()), pa.array(sizes), pa.array(found, pa.binary()), pa.nulls(len(names), pa.binary())], schema=schema)
         words.forget()  # between tasks only words that recur stay in memory
         own = TaskContext.get().partitionId() % (len(bounds) + 1)
-        yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.nulls(1, pa.int64()), pa.array([0]), pa.nulls(1, pa.binary()), pa.array([packed(total.view("<u4"), 4)], pa.binary())], schema=schema)
+        yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([0]), pa.nulls(1, pa.binary()), pa.array([packed(total.view("<u4"), 4)], pa.binary())], schema=schema)
 
     def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, at = -1, 0
         for b in batches:
             starts = []
-            for p, n in zip(b.column(0).to_pylist(), b.column(2).to_pylist(), strict=True):
+            for p, n in zip(b.column(0).to_pylist(), b.column(3).to_pylist(), strict=True):
                 if p != part:
                     part, at = p, 0
                 starts.append(at)
                 at += n
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(starts, pa.int64())], schema=arrow_schema(PLACED))
 
-    dealt = id_and_text(df, id_col, text_col).mapInArrow(tokenised, STAGED).repartitionById(parts, F.col("part")).sortWithinPartitions("part", F.col("doc_id").asc_nulls_first())
+    # rows of one place and id are told apart by their ids, so that reruns agree
+    order = F.col("place").asc_nulls_first(), F.col("doc_id").asc_nulls_first(), "n", F.xxhash64("ids")
+    dealt = texts.mapInArrow(tokenised, STAGED).repartitionById(parts, F.col("part")).sortWithinPartitions("part", *order)
     # the shuffle's files go when the table is written, not when the driver next collects its garbage
     key = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
     before = spark.conf.get(key, "false")
@@ -437,14 +444,14 @@ def count_ids(staged: DataFrame, size: int) -> np.ndarray:
     return out
 
 
-def write(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", kept: int = WORDS_KEPT, chunk: int = CHUNK_BYTES) -> None:
-    """Encode every text of df and write table and blocks below path.
+def write(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text_col: str = "text", kept: int = WORDS_KEPT, chunk: int = CHUNK_BYTES, place: Column | None = None) -> None:
+    """Encode every text of df and write table and blocks below path, in ascending order of id, or of ``place`` (a long) where one is given.
 
     kept (words remembered) and chunk (bytes of text at once) trade a worker's memory, about 220 bytes a word
     and 40 bytes a byte, for time; the files are the same.
     """
     spark = df.sparkSession
-    staged = stage(df, tokenizer, id_col, text_col, kept, chunk)
+    staged = stage(df, tokenizer, id_col, text_col, kept, chunk, place)
     freq = frequencies(count_ids(staged, Words.at(tokenizer).size))
     spark.createDataFrame([(k, int(f)) for k, f in enumerate(freq)], "id int, freq int").coalesce(1).write.parquet(f"{path}/table")
     shared = spark.sparkContext.broadcast(freq)

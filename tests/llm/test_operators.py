@@ -302,6 +302,7 @@ def test_decoding_and_gradient_against_enumeration():
     tokens = pii.Tokens(text)
     lattice = pii.Lattice(tokens, lambda x: names.setdefault(x, len(names)))
     weights, moves = rng.normal(size=(len(names), len(pii.LABELS))), rng.normal(size=(len(pii.LABELS), len(pii.LABELS)))
+    weights[:, 1:] += 1.0
     score = lattice.scores(weights)
     paths = []
 
@@ -437,16 +438,91 @@ def test_mixing(spark, docs, nothing):
     mixed = mixing.mix(docs, shards=4)
     assert mixed.columns == docs.columns and mixed.rdd.getNumPartitions() == 4
     times = Counter(r.doc_id for r in mixed.collect())
-    for d, n in times.items():
-        assert n == sum((r.taken // r.size if r.size else 0) for r in found if r.doc_id == d) or any(r.size == 0 for r in found if r.doc_id == d)
+    shards = Counter()
+    for r in found:
+        shards[r.doc_id] += len(list(filter(None, r.shards.split(","))))
+    assert times == +shards
+    of = {(r.doc_id, r.size): r for r in found}
+    per = {s: max(sum(1 for _ in filter(None, r.shards.split(","))) for r in found if source[r.doc_id] == s) for s in names}
+    for r in of.values():
+        if r.size == 0:
+            # floor(t / s) times, never once more
+            assert shards[r.doc_id] == (int(r.target // r.source_size) if r.source_size else 0) <= per[source[r.doc_id]]
     assert mixing.taken(nothing).count() == mixing.mix(nothing).count() == 0
 
 
-def test_splitting_tree():
+def test_which_documents_are_taken_once_more(spark):
+    """Against a plain walk through the permutation, also where a repeated row holds a third of all rows and stands at the boundary."""
+    rng = random.Random(9)
+    for trial in range(3):
+        rows = [(k, " ".join(["w"] * rng.randrange(0, 30)), "abc"[k % 3]) for k in range(120)] + [(500, " ".join(["x"] * 7), "a")] * (60 if trial else 0) + [(None, "one two", "b")] * (40 if trial == 2 else 0)
+        found = mixing.taken(spark.createDataFrame(rows, "doc_id long, text string, source string").repartition(4)).collect()
+        took = Counter((r.doc_id, r.size, r.taken // r.size) for r in found if r.size)
+        wanted = Counter()
+        for s in "abc":
+            own = [(hashlib.md5(f"{'' if d is None else d}|{xxhash64_of(t)}".encode()).hexdigest(), d, len(t.split())) for d, t, x in rows if x == s]
+            target = next(r.target for r in found if r.doc_id == own[0][1])
+            size = sum(n for _, _, n in own)
+            full, left = int(target // size), target - int(target // size) * size
+            open_ = []
+            blocks = sorted(own, key=lambda x: x[0])
+            stopped, upto = False, 0
+            for key, d, n in blocks:
+                fits = not stopped and upto + n <= left
+                if not fits and n:
+                    stopped = True
+                if fits and n:
+                    upto += n
+                    wanted[d, n, full + 1] += 1
+                elif n:
+                    open_.append((key, d, n))
+            gap = left - upto
+            near = min(((abs(gap - n), key, d, n) for key, d, n in open_ if abs(gap - n) < gap), default=None)
+            for key, d, n in open_:
+                wanted[d, n, full] += 1
+            if near:
+                wanted[near[2], near[3], full] -= 1
+                wanted[near[2], near[3], full + 1] += 1
+            assert took == +wanted
+        mixed = Counter(r.doc_id for r in mixing.mix(spark.createDataFrame(rows, "doc_id long, text string, source string"), shards=3).collect())
+        assert {d: n for d, n in mixed.items() if d not in {k for k, t, _ in rows if not t}} == {d: n for d, n in Counter({d: sum(c * v for (e, _, c), v in took.items() if e == d) for d, _, _ in took}).items() if n}
+
+
+def xxhash64_of(text):
+    n = xxhash.xxh64(text.encode(), seed=42).intdigest()
+    return n - (1 << 64) if n >> 63 else n
+
+
+def test_splitting_tree(spark, monkeypatch):
     counts = np.array([1000, 10, 0, 333, 7])
     out = mixing.split(counts, 6)
     assert (out.sum(0) == counts).all() and out.sum(1).max() - out.sum(1).min() <= 1 and (out >= 0).all()
     assert (out == mixing.split(counts, 6)).all()
+    # tasks draw what the driver would, whatever the number of subtrees
+    for top in (1, 4, 1024):
+        monkeypatch.setattr(mixing, "TOP", top)
+        runs = mixing.tree_runs(spark, counts, 37).collect()
+        whole = mixing.split(counts, 37)
+        assert all(whole[r.shard, r.number] == r.end - r.begin for r in runs) and sum(r.end - r.begin for r in runs) == counts.sum()
+        for k in range(len(counts)):
+            own = sorted((r.begin, r.end) for r in runs if r.number == k)
+            assert [a for a, _ in own] == [0, *[b for _, b in own]][: len(own)]
+    # a million shards take no time on the driver
+    monkeypatch.setattr(mixing, "TOP", 1024)
+    tops = list(mixing.subtree(1, np.array([16**6] * 20), np.zeros(20, np.int64), 0, 1_000_000, -(-1_000_000 // mixing.TOP)))
+    assert len(tops) == 1024 and mixing.digits_for(1_000_000) == 6 and mixing.digits_for(1) == 3
+
+
+def test_draws_beyond_numpys_bound(monkeypatch):
+    """Inversion and numpy's sampler agree in distribution."""
+    rng = np.random.default_rng(1)
+    a = np.bincount([mixing.hypergeometric(rng, 30, 50, 20) for _ in range(20_000)], minlength=21)
+    monkeypatch.setattr(mixing, "NUMPY_DRAW", 0)
+    b = np.bincount([mixing.hypergeometric(rng, 30, 50, 20) for _ in range(20_000)], minlength=21)
+    some = a + b > 0
+    assert ((a - b)[some] ** 2 / (a + b)[some]).sum() < 50
+    assert abs(mixing.hypergeometric(rng, 10**12, 3 * 10**12, 10**10) - 2.5 * 10**9) < 10**6
+    assert mixing.hypergeometric(rng, 5, 7, 12) == 5 and mixing.hypergeometric(rng, 0, 7, 3) == 0
 
 
 # 10. Token ids
