@@ -1,11 +1,16 @@
 """From raw documents to token files: quality rules, near duplicates, decontamination, mixing, tokens.
 
 Each stage reads what the one before wrote. ``run`` applies them to the documents table below a folder.
+
+Defined results, in every stage: null or empty texts are documents without words (the quality rules reject them); rows with null ids stay
+rows of their own, and the near-duplicate stage keeps them all; of repeated rows that stage keeps one; an empty table stays empty; all columns are
+passed on, whatever their names, until the last stage, which has its own.
 """
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from tessera.llm import decontam, mixing, rans, repetition, simhash
 from tessera.llm.common import scratch, written
@@ -33,10 +38,10 @@ def mix(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The token files, read back: doc_id, start, n_tokens, ids_crc32 of each document."""
+    """The token files, read back: doc_id, start, n_tokens, ids_crc32 of each document. Documents keep the order that the mix gave them."""
     path = scratch(spark, "rans")
     # the executors' heaps are as large as they get by now, so the workers' memory is kept small
-    rans.write(docs, path, tokenizer_path(), kept=100_000, chunk=1_000_000)
+    rans.write(docs, path, tokenizer_path(), kept=100_000, chunk=1_000_000, place=F.monotonically_increasing_id())
     return rans.read(spark, path)
 
 
