@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import html, lines, scores, text
+from tessera.functions import html, lines, papers, scores, text
 from tessera.operators import clustering, search, topics
 from tessera.plans.catalog import query
 from tessera.sources.tables import Relations
@@ -93,9 +93,50 @@ def fulltext_quality(t: Relations) -> DataFrame:
 
 @query(why="an HTML parser; tests hold it against expected texts")
 def html_texts(t: Relations) -> DataFrame:
-    return t["pages"].select("page_id", html.html_text("html").alias("text"), html.html_image("html", "url").alias("image_url"))
+    return t["pages"].select("page_id", html.html_page("html", "url").alias("p")).select("page_id", "p.text", "p.image_url")
 
 
+@query(why="an HTML parser and line repairs; tests hold it against expected texts")
+def paper_texts(t: Relations) -> DataFrame:
+    return t["pages"].select("page_id", html.html_paper("html").alias("text"))
+
+
+@query(why="line joins in sequence; tests hold each against expected lines")
+def pdf_texts(t: Relations) -> DataFrame:
+    return t["documents"].select("doc_id", papers.pdf_cleaned("text").alias("text"))
+
+
+@query("""
+    SELECT n_nationkey AS id, CASE n_nationkey % 4 WHEN 0 THEN concat('Name | Key', chr(10), '--- | ---', chr(10), n_name, ' | ', n_nationkey) WHEN 1 THEN concat(n_name, ' | implementation | ', chr(10), '--- | --- | ---', chr(10), 'x |  | ', n_nationkey) END AS said FROM nation""")
+def tables_as_rows(t: Relations) -> DataFrame:
+    """A plain table, one with a torn word and short rows, one row alone, and prose torn into cells."""
+    n, k, none = F.col("n_name"), F.col("n_nationkey").cast("string"), F.lit(None).cast("string")
+    words = lambda *x: F.array(*map(F.lit, x))
+    tables = [F.array(F.array(F.lit("Name"), F.lit(" Key ")), F.array(n, k)), F.array(F.array(n, F.lit("imple- mentation")), F.array(none, none), F.array(F.lit("x"), none, k)), F.array(F.array(n, k)), F.array(words("some", "text", "that", "was", "torn"), words("into", "little", "cells", "like", "this"))]
+    table = F.when(F.col("n_nationkey") % 4 == 0, tables[0]).when(F.col("n_nationkey") % 4 == 1, tables[1]).when(F.col("n_nationkey") % 4 == 2, tables[2]).otherwise(tables[3])
+    return t["nation"].select(F.col("n_nationkey").alias("id"), papers.pipe_rows(table).alias("said"))
+
+
+@query(r"""SELECT n_nationkey AS id, concat('  ', n_name, '  kept 5\% ', chr(10), ' [MATH] ', chr(10), '[FIGURE]', chr(10), '  b ') AS said FROM nation""")
+def tex_as_text(t: Relations) -> DataFrame:
+    tex = F.concat(F.lit("\\section{"), F.col("n_name"), F.lit("} kept 5\\% % gone\n$x^2$\n\\begin{figure*}[t]\nall\n\\end{figure*}\n\\emph{b}"))
+    return t["nation"].select(F.col("n_nationkey").alias("id"), F.regexp_replace(papers.tex_text(tex), r"\n\n+", "\n").alias("said"))
+
+
+@query("""SELECT doc_id, concat('is < ', doc_id, ' here', chr(10), '> x') AS said FROM documents""")
+def comparisons_joined(t: Relations) -> DataFrame:
+    said = F.concat(F.lit("is <  \n "), F.col("doc_id").cast("string"), F.lit(" here\n> x"))
+    return t["documents"].select("doc_id", papers.split_comparisons_joined(said).alias("said"))
+
+
+@query("""SELECT n_nationkey AS id, CASE WHEN n_nationkey % 2 = 0 THEN concat('L0', chr(10), n_name, chr(10), 'L2', chr(10), chr(10), 'R0', chr(10), 'R1', chr(10), 'R2') ELSE concat('L0', chr(10), 'R0', chr(10), n_name, chr(10), 'R1', chr(10), 'L2', chr(10), 'R2') END AS said FROM nation""")
+def columns_in_order(t: Relations) -> DataFrame:
+    """Two columns with a gap between, and without one."""
+    block = lambda x, y, s: F.struct(F.lit(float(x)).alias("x0"), F.lit(float(y)).alias("y0"), F.when(F.col("n_nationkey") % 2 == 0, F.lit(x + 80.0)).otherwise(F.lit(x + 115.0)).alias("x1"), F.lit(y + 5.0).alias("y1"), s.alias("text"))
+    blocks = [block(110 * side, 10 * row, F.col("n_name") if side == 0 and row == 1 else F.lit(f"{'LR'[side]}{row}")) for side in (1, 0) for row in (2, 0, 1)]
+    pages = t["nation"].select("n_nationkey", F.array(*blocks).alias("blocks"), F.lit(200.0).alias("width"))
+    return pages.select(F.col("n_nationkey").alias("id"), papers.read_in_order("blocks", "width").alias("said"))
+
 @query(why="line repairs in sequence; tests hold each against expected lines")
 def clean_texts(t: Relations) -> DataFrame:
     return t["documents"].select("doc_id", lines.cleaned("text").alias("text"))

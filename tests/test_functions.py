@@ -72,10 +72,10 @@ def test_html():
 
 
 def test_lines():
-    assert lines.join_section_numbers(["1.", "", "Introduction", "text"]) == ["1. Introduction", "text"]
+    assert lines.join_section_numbers(["1", "", "Introduction", "text"]) == ["1 Introduction", "text"]
     assert lines.join_leading_marks(["as shown", ", and so"]) == ["as shown, and so"]
-    assert lines.stitch_brackets(["as in (", "Smith, 2020", ")", "next"]) == ["as in (Smith, 2020)", "next"]
-    assert lines.drop_adjacent_repeats(["A sentence that says it.", "", "A sentence, that says it"]) == ["A sentence that says it.", ""]
+    assert lines.stitch_citations(["as in", "(", "Smith, 2020", ")", "next"]) == ["as in", "(Smith, 2020)", "next"]
+    assert lines.drop_adjacent_repeats(["A sentence that says it.", "", "a sentence that says it"]) == ["A sentence that says it.", ""]
     assert lines.drop_early_repeats(["Journal of X", "text", "Journal of X"]) == ["Journal of X", "text"]
     assert lines.clean_lines(None) == "" and lines.clean_lines("ﬁne\x00\n\n\n\nend") == "fine\n\nend"
     assert lines.same_table("| a | b |", "a b c") and not lines.same_table("a b", "c d")
