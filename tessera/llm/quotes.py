@@ -19,7 +19,7 @@ turn of many conversations meets only its own conversation.
 
 Defined results: null text is empty; an empty text stays as an empty message; a message of quotes
 alone has empty text; rows with null conversation or turn are returned as roots of depth 0; repeated rows are
-returned once each, with equal results; an empty table gives an empty table; other columns are ignored.
+returned once each, and follow one another; messages of one turn are in order of a hash of their text and role; an empty table gives an empty table; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -75,17 +75,17 @@ def line_hashes(text: Column) -> Column:
 def runs(rows: DataFrame, quoted: DataFrame) -> DataFrame:
     """(row, level, size, parent, at): messages that hold the lines of a quoted passage of several lines in a row."""
     asked = quoted.where(F.size("lines") >= 2).select("row", "conv_id", "turn", "level", F.length("n").alias("size"), F.col("lines").alias("wanted"), F.xxhash64(F.get("lines", F.lit(0)), F.get("lines", F.lit(1))).alias("h"))
-    own = rows.join(asked.select("conv_id").distinct(), "conv_id", "left_semi").select(F.col("row").alias("parent"), "conv_id", F.col("turn").alias("at"), line_hashes(F.col("own")).alias("said"))
+    own = rows.join(asked.select("conv_id").distinct(), "conv_id", "left_semi").select(F.col("row").alias("parent"), "conv_id", F.col("turn").alias("at"), "tie", line_hashes(F.col("own")).alias("said"))
     pairs = F.when(F.size("said") >= 2, F.transform(F.sequence(F.lit(1), F.size("said") - 1), lambda i: F.struct(i.alias("pos"), F.xxhash64(F.get("said", i - 1), F.get("said", i)).alias("h"))))
-    held = own.select("parent", "conv_id", "at", F.explode(pairs).alias("x")).select("parent", "conv_id", "at", "x.*")
+    held = own.select("parent", "conv_id", "at", "tie", F.explode(pairs).alias("x")).select("parent", "conv_id", "at", "tie", "x.*")
     met = asked.join(held, ["conv_id", "h"]).where("at < turn").join(own.select("parent", "said"), "parent")
-    return met.where(F.slice("said", F.col("pos"), F.size("wanted")) == F.col("wanted")).select("row", "level", "size", "parent", "at")
+    return met.where(F.slice("said", F.col("pos"), F.size("wanted")) == F.col("wanted")).select("row", "level", "size", "parent", "at", "tie")
 
 
 def parents(rows: DataFrame) -> DataFrame:
     """(row, parent): the earlier row of the conversation that each row replies to; null for first turns.
 
-    rows: row, conv_id, turn, lines, own.
+    rows: row, conv_id, turn, tie, lines, own.
     """
     quoted = rows.where(F.exists("lines", lambda x: x["level"] > 0)).select("row", "conv_id", "turn", F.explode(passages(F.col("lines"))).alias("p"))
     quoted = quoted.select("row", "conv_id", "turn", F.col("p.level").alias("level"), normalised(F.col("p.text")).alias("n"), line_hashes(F.col("p.text")).alias("lines"))
@@ -93,28 +93,28 @@ def parents(rows: DataFrame) -> DataFrame:
     pieces = F.array_distinct(F.concat(F.array("own"), F.split("own", r"\n\x20*\n"), F.split("own", "\n")))
     # only conversations that quote have their messages hashed
     some = quoted.select("conv_id").distinct()
-    held = rows.join(some, "conv_id", "left_semi").select(F.col("row").alias("parent"), "conv_id", F.col("turn").alias("at"), F.explode(pieces).alias("piece"))
-    held = held.select("parent", "conv_id", "at", F.xxhash64(normalised(F.col("piece"))).alias("h")).distinct()
+    held = rows.join(some, "conv_id", "left_semi").select(F.col("row").alias("parent"), "conv_id", F.col("turn").alias("at"), "tie", F.explode(pieces).alias("piece"))
+    held = held.select("parent", "conv_id", "at", "tie", F.xxhash64(normalised(F.col("piece"))).alias("h")).distinct()
     asked = quoted.select("row", "conv_id", "turn", "level", F.length("n").alias("size"), F.xxhash64("n").alias("h"))
-    met = asked.join(held, ["conv_id", "h"]).where("at < turn").select("row", "level", "size", "parent", "at").union(runs(rows, quoted))
-    linked = met.groupBy("row").agg(F.max(F.struct((-F.col("level")).alias("near"), "size", "at", (-F.col("parent")).alias("p"))).alias("best"))
+    met = asked.join(held, ["conv_id", "h"]).where("at < turn").select("row", "level", "size", "parent", "at", "tie").union(runs(rows, quoted))
+    linked = met.groupBy("row").agg(F.max(F.struct((-F.col("level")).alias("near"), "size", "at", "tie", (-F.col("parent")).alias("p"))).alias("best"))
     linked = linked.select(F.col("row").alias("r"), (-F.col("best.p")).alias("linked"))
-    turns = rows.where("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", "turn").agg(F.min("row").alias("first"))
+    turns = rows.where("conv_id IS NOT NULL AND turn IS NOT NULL").groupBy("conv_id", "turn").agg(F.min(F.struct("tie", "row")).alias("f")).select("conv_id", "turn", F.col("f.row").alias("first"))
     before = turns.select("conv_id", "turn", F.lag("first").over(Window.partitionBy("conv_id").orderBy("turn")).alias("before"))
-    out = rows.select("row", "conv_id", "turn").join(before, ["conv_id", "turn"], "left").join(linked, F.col("row") == F.col("r"), "left")
-    return out.select("row", "conv_id", "turn", F.coalesce("linked", "before").alias("parent"), F.col("linked").isNotNull().alias("quoted"))
+    out = rows.select("row", "conv_id", "turn", "tie").join(before, ["conv_id", "turn"], "left").join(linked, F.col("row") == F.col("r"), "left")
+    return out.select("row", "conv_id", "turn", "tie", F.coalesce("linked", "before").alias("parent"), F.col("linked").isNotNull().alias("quoted"))
 
 
 def ranked(tree: DataFrame) -> DataFrame:
     """(row, after, depth): how many messages of the list come at or after row, and how deep it lies.
 
-    tree: row, conv_id, turn, parent. Rows without a parent follow one another in their conversation.
+    tree: row, conv_id, turn, tie, parent. Rows without a parent follow one another in their conversation.
     """
     alone = F.col("conv_id").isNull() | F.col("turn").isNull()
     group = F.coalesce(F.concat(F.lit("m"), F.col("parent")), F.when(alone, F.concat(F.lit("r"), F.col("row"))), F.concat(F.lit("c"), F.col("conv_id")))
-    order = Window.partitionBy("group").orderBy("turn", "row")
+    order = Window.partitionBy("group").orderBy("turn", "tie", "row")
     sides = tree.withColumn("group", group).withColumn("beside", F.lead("row").over(order))
-    below = tree.where("parent IS NOT NULL").groupBy("parent").agg(F.min(F.struct("turn", "row")).alias("child")).select(F.col("parent").alias("p"), F.col("child.row").alias("child"))
+    below = tree.where("parent IS NOT NULL").groupBy("parent").agg(F.min(F.struct("turn", "tie", "row")).alias("child")).select(F.col("parent").alias("p"), F.col("child.row").alias("child"))
     sides = sides.join(below, F.col("row") == F.col("p"), "left")
     enter = sides.select((F.col("row") * 2).alias("node"), F.coalesce(F.col("child") * 2, F.col("row") * 2 + 1).alias("next"), F.lit(1).cast("long").alias("after"), F.lit(1).cast("long").alias("open"))
     leave = sides.select((F.col("row") * 2 + 1).alias("node"), F.coalesce(F.col("beside") * 2, F.col("parent") * 2 + 1).alias("next"), F.lit(0).cast("long").alias("after"), F.lit(-1).cast("long").alias("open"))
@@ -133,10 +133,10 @@ def ranked(tree: DataFrame) -> DataFrame:
 def link(messages: DataFrame, conv_col: str = "conv_id", turn_col: str = "turn", text_col: str = "text", role_col: str = "role") -> DataFrame:
     """conv_id, turn, role, text (without quotes), parent_turn, quoted, depth, position (reply order in its conversation)."""
     lines = lines_of(F.coalesce(F.col(text_col), F.lit("")))
-    rows = messages.select(F.monotonically_increasing_id().alias("row"), F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), lines.alias("lines"))
+    rows = messages.select(F.monotonically_increasing_id().alias("row"), F.col(conv_col).alias("conv_id"), F.col(turn_col).alias("turn"), F.col(role_col).alias("role"), F.xxhash64(F.coalesce(F.col(text_col), F.lit("")), F.col(role_col)).alias("tie"), lines.alias("lines"))
     rows = written(rows.withColumn("own", own_text(F.col("lines"))), "messages")
     tree = written(parents(rows), "parents")
-    places = ranked(tree.select("row", "conv_id", "turn", "parent"))
+    places = ranked(tree.select("row", "conv_id", "turn", "tie", "parent"))
     longest = F.count(F.when(F.col("turn").isNotNull(), 1))
     sizes = rows.groupBy("conv_id").agg(longest.alias("n")).select(F.col("conv_id").alias("c"), "n")
     said = rows.select(F.col("row").alias("parent"), F.col("turn").alias("parent_turn"))

@@ -8,7 +8,8 @@ all paths. Raising a rule's version has that rule alone scanned again.
 
 All of it is DataFrame functions. Where matches lie follows from the pieces between them:
 ``split`` and ``regexp_extract_all`` of one pattern alternate, and character lengths add up to code
-points. A text is fetched by (blob, one path that has it), keys that spread over partitions
+points. What is due is found from digests alone. Where nothing is, no text is read again; up to BROADCAST_DUE blobs are broadcast, so that
+texts are scanned where they lie; beyond that a text is fetched by (blob, one path that has it), keys that spread over partitions
 although one blob may hold a third of all rows.
 
 Defined results: a null text is the empty blob; repeated rows are each returned; rows with
@@ -22,6 +23,9 @@ from typing import NamedTuple
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from tessera.llm.common import drop_written, written
+
+BROADCAST_DUE = 100_000
 LEDGER = "blob string, scanned array<string>, found array<struct<kind:string,start:int,end:int>>"
 
 
@@ -75,11 +79,14 @@ def found_by(text: Column, rule: Rule) -> Column:
     return F.when(there & text.rlike(rule.pattern), spans).otherwise(nothing)
 
 
+def ledger_there(spark: SparkSession, path: str) -> bool:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    return where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
+
+
 def read_ledger(spark: SparkSession, path: str) -> DataFrame:
     """The ledger at path; empty where there is none yet."""
-    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
-    there = where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).exists(where)
-    return spark.read.schema(LEDGER).parquet(path) if there else spark.createDataFrame([], LEDGER)
+    return spark.read.schema(LEDGER).parquet(path) if ledger_there(spark, path) else spark.createDataFrame([], LEDGER)
 
 
 def blob(text: Column) -> Column:
@@ -95,14 +102,24 @@ def update(versions: DataFrame, ledger: str, path_col: str = "doc_id", text_col:
     wanted = F.array(*[F.lit(r.key) for r in rules])
     first = rows.groupBy("blob").agg(F.min("path").alias("path"))
     due = first.join(seen, "blob", "left").select("blob", "path", F.array_except(wanted, F.coalesce("seen", F.array().cast("array<string>"))).alias("due")).where(F.size("due") > 0)
-    due = due.select(F.col("blob").alias("b"), F.col("path").alias("p"), "due")
-    texts = versions.select(F.xxhash64(F.col(path_col)).alias("path"), blob(F.col(text_col)).alias("blob"), text.alias("text"))
-    met = texts.join(due.hint("shuffle_hash"), (texts.path == due.p) & (texts.blob == due.b))
+    due = written(due.select(F.col("blob").alias("b"), F.col("path").alias("p"), "due"), "due")
+    n = due.count()
+    if n:
+        texts = versions.select(F.xxhash64(F.col(path_col)).alias("path"), blob(F.col(text_col)).alias("blob"), text.alias("text"))
+        met = texts.join(F.broadcast(due) if n <= BROADCAST_DUE else due, (texts.path == due.p) & (texts.blob == due.b))
+        scan(met, rules).write.mode("append").parquet(ledger)
+    elif not ledger_there(spark, ledger):
+        spark.createDataFrame([], LEDGER).write.parquet(ledger)
+    drop_written(due)
+
+
+def scan(met: DataFrame, rules: tuple[Rule, ...]) -> DataFrame:
+    """Rows of the ledger for texts (blob, text, due)."""
     none = F.array().cast("array<struct<kind:string,start:int,end:int>>")
     found = F.concat(*[F.when(F.array_contains("due", r.key), found_by(F.col("text"), r)).otherwise(none) for r in rules])
     scanned = met.select("blob", F.col("due").alias("scanned"), found.alias("found"))
     # rows that repeat both path and text met the same pair; the ledger gets one of them
-    scanned.dropDuplicates(["blob"]).write.mode("append").parquet(ledger)
+    return scanned.dropDuplicates(["blob"])
 
 
 def findings(versions: DataFrame, ledger: str, path_col: str = "doc_id", text_col: str = "text", rules: tuple[Rule, ...] = RULES) -> DataFrame:

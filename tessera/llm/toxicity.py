@@ -153,6 +153,6 @@ def score(docs: DataFrame, chain: list[np.ndarray], links: tuple[str, ...], id_c
 
 
 def annotate(docs: DataFrame, labels: DataFrame, links: tuple[str, ...] = ("quality", "toxic"), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, p_<link> for each link, and toxic (the last link at THRESHOLD or more)."""
+    """doc_id, p_<link> for each link, and toxic (the last link over THRESHOLD)."""
     found = score(docs, train(docs, labels, links, id_col, text_col), links, id_col, text_col)
     return found.withColumn("toxic", F.col(f"p_{links[-1]}") > THRESHOLD)

@@ -775,3 +775,62 @@ def test_rare_words_are_joined_and_held_out_texts_gain(spark, monkeypatch):
 
 def test_registered():
     assert sorted(int(re.match(r"op(\d+)_", n)[1]) for n in QUERIES) == list(range(1, 11))
+
+
+def test_chain_against_a_plain_model():
+    """Every link by a plain FTRL over dictionaries; a later link's extra value comes from models that did not see the row."""
+    rng = np.random.default_rng(7)
+    n = 60
+    ids = [np.unique(rng.integers(0, 40, rng.integers(1, 8))) for _ in range(n)]
+    labels = np.stack([np.array([5 in x or 7 in x for x in ids]), np.array([5 in x for x in ids]), rng.random(n) < 0.3], 1).astype(int)
+    folds = np.arange(n) % toxicity.FOLDS
+
+    def plain(dense, y, rows):
+        z, m = defaultdict(float), defaultdict(float)
+
+        def weight(k):
+            word = isinstance(k, (int, np.integer))
+            small = toxicity.L1 if word else 0.0
+            if abs(z[k]) <= small:
+                return 0.0
+            return -(z[k] - math.copysign(small, z[k])) / ((toxicity.BETA + math.sqrt(m[k])) / toxicity.ALPHA + toxicity.L2 * word)
+
+        for _ in range(toxicity.EPOCHS):
+            for r in rows:
+                x = {**{int(k): 1.0 for k in ids[r]}, **{f"d{j}": v for j, v in enumerate(dense[r])}, "bias": 1.0}
+                w = {k: weight(k) for k in x}
+                p = 1 / (1 + math.exp(-max(-30, min(30, sum(w[k] * v for k, v in x.items())))))
+                for k, v in x.items():
+                    g = (p - y[r]) * v
+                    z[k] += g - (math.sqrt(m[k] + g * g) - math.sqrt(m[k])) / toxicity.ALPHA * w[k]
+                    m[k] += g * g
+        return weight
+
+    def odds(weight, r, dense):
+        return max(-30, min(30, sum(weight(int(k)) for k in ids[r]) + weight("bias") + sum(weight(f"d{j}") * v for j, v in enumerate(dense))))
+
+    chain = toxicity.fit_chain(ids, labels, folds)
+    given = [[] for _ in range(n)]
+    for c in range(3):
+        whole = plain(given, labels[:, c], range(n))
+        got = chain[c]
+        assert [got[k] for k in range(40)] == pytest.approx([whole(k) for k in range(40)])
+        assert got[1 << toxicity.BITS :] == pytest.approx([*[whole(f"d{j}") for j in range(c)], whole("bias")])
+        unseen = [0.0] * n
+        for fold in range(toxicity.FOLDS):
+            w = plain(given, labels[:, c], [r for r in range(n) if folds[r] != fold])
+            for r in range(n):
+                if folds[r] == fold:
+                    unseen[r] = odds(w, r, given[r])
+        given = [[*g, u] for g, u in zip(given, unseen, strict=True)]
+
+
+def test_nothing_due_reads_no_text(spark, tmp_path):
+    df = spark.createDataFrame([(k, f"token=abcdef{k:02d}") for k in range(20)], "doc_id long, text string")
+    ledger = f"file://{tmp_path}/l"
+    secret_ledger.update(df, ledger)
+    files = set((tmp_path / "l").glob("*.parquet"))
+    secret_ledger.update(df.union(df), ledger)
+    assert set((tmp_path / "l").glob("*.parquet")) == files
+    secret_ledger.update(df.union(spark.createDataFrame([(99, "secret: zyxwvu")], df.schema)), ledger)
+    assert secret_ledger.read_ledger(spark, ledger).count() == 21
