@@ -399,6 +399,7 @@ def stage(df: DataFrame, tokenizer: str, id_col: str, text_col: str, kept: int,
                 found = [packed(ids[e - n : e], width) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), places, pa.array(names, pa.int64()), pa.array(sizes), pa.array(found, pa.binary()), pa.nulls(len(names), pa.binary())], schema=schema)
         words.forget()  # between tasks only words that recur stay in memory
+        pa.default_memory_pool().release_unused()
         own = TaskContext.get().partitionId() % (len(bounds) + 1)
         yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([0]), pa.nulls(1, pa.binary()), pa.array([packed(total.view("<u4"), 4)], pa.binary())], schema=schema)
 
