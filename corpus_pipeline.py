@@ -41,7 +41,7 @@ def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """The token files, read back: doc_id, start, n_tokens, ids_crc32 of each document. Documents keep the order that the mix gave them."""
     path = scratch(spark, "rans")
     # the executors' heaps are as large as they get by now, so the workers' memory is kept small
-    rans.write(docs, path, tokenizer_path(), kept=100_000, chunk=1_000_000, place=F.monotonically_increasing_id())
+    rans.write(docs, path, tokenizer_path(), kept=60_000, chunk=500_000, place=F.monotonically_increasing_id())
     return rans.read(spark, path)
 
 
