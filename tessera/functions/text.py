@@ -75,7 +75,7 @@ def identifier_of(query: str) -> tuple[str | None, str]:
 
 
 def canonical_url(url: Column) -> Column:
-    """Scheme and host in lower case, no credentials, default port, fragment or tracking; parameters sorted."""
+    """Scheme and host in lower case, no credentials, default port, fragment or tracking; parameters decoded, sorted and encoded again."""
     u = F.trim(url)
     scheme = F.lower(F.coalesce(found(u, r"^([A-Za-z][A-Za-z0-9+.-]*)://", 1), F.lit("https")))
     rest = F.regexp_replace(F.regexp_replace(u, r"^[A-Za-z][A-Za-z0-9+.-]*://", ""), r"#.*$", "")
@@ -88,8 +88,9 @@ def canonical_url(url: Column) -> Column:
     parts = F.filter(F.split(query, "&"), lambda p: p != "")
     key = lambda p: F.lower(F.trim(F.substring_index(p, "=", 1)))
     kept = F.filter(parts, lambda p: ~F.startswith(key(p), F.lit("utm_")) & ~key(p).isin(*TRACKING))
-    pairs = F.array_sort(F.transform(kept, lambda p: F.struct(F.trim(F.substring_index(p, "=", 1)).alias("k"), F.when(F.contains(p, F.lit("=")), F.regexp_replace(p, "^[^=]*=", "")).otherwise("").alias("v"))))
-    joined = F.array_join(F.transform(pairs, lambda x: F.concat(x["k"], F.lit("="), x["v"])), "&")
+    read = lambda x: F.coalesce(F.try_url_decode(x), x)
+    pairs = F.array_sort(F.transform(kept, lambda p: F.struct(read(F.trim(F.substring_index(p, "=", 1))).alias("k"), F.when(F.contains(p, F.lit("=")), read(F.regexp_replace(p, "^[^=]*=", ""))).otherwise("").alias("v"))))
+    joined = F.array_join(F.transform(pairs, lambda x: F.concat(F.url_encode(x["k"]), F.lit("="), F.url_encode(x["v"]))), "&")
     return F.concat(scheme, F.lit("://"), host, path, F.when(joined == "", "").otherwise(F.concat(F.lit("?"), joined)))
 
 

@@ -67,7 +67,7 @@ def attachable(rows: DataFrame) -> DataFrame:
 
 
 def assign(rows: pd.DataFrame) -> pd.DataFrame:
-    """The ordered loop over one group. rows: item_id, at (seconds), source_id, ident, tokens."""
+    """The ordered loop over one group. rows: item_id, at (seconds), source_id, ident, tokens, founder (always founds a cluster)."""
     rows = rows.sort_values(["at", "item_id"], kind="stable")
     found: list[dict] = []
     named: dict[str, dict] = {}  # the newest cluster of each identifier
@@ -75,10 +75,10 @@ def assign(rows: pd.DataFrame) -> pd.DataFrame:
     out = []
     for r in rows.itertuples():
         mine, best, best_score = set(r.tokens), None, -1.0
-        if isinstance(r.ident, str):
+        if isinstance(r.ident, str) and not r.founder:
             best = named.get(r.ident)
             best_score = 1.0
-        if best is None:
+        if best is None and not r.founder:
             best_score = -1.0
             rarest = min((holding.get(w, []) for w in mine), key=len, default=[])
             near = [c for c in rarest if mine <= c["tokens"] and r.at - c["at"] <= WINDOW_DAYS * 86400][-CANDIDATES:]
@@ -105,11 +105,32 @@ def assign(rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def cluster(items: DataFrame) -> DataFrame:
-    """(item_id, cluster_id, decision): items (item_id, at timestamp, source_id, title, ident) in clusters named by their founder."""
-    rows = items.select("item_id", F.unix_timestamp(F.col("at").cast("timestamp")).cast("double").alias("at"), "source_id", "ident", text.title_tokens(F.col("title")).alias("tokens"))
+    """(item_id, cluster_id, decision): items (item_id, at timestamp, source_id, title, ident) in clusters named by their founder.
+
+    Items with a true ``founder``, if there is such a column, stand for clusters that exist and join none.
+    """
+    founder = F.coalesce("founder", F.lit(False)) if "founder" in items.columns else F.lit(False)
+    rows = items.select("item_id", F.unix_timestamp(F.col("at").cast("timestamp")).cast("double").alias("at"), "source_id", "ident", text.title_tokens(F.col("title")).alias("tokens"), founder.alias("founder"))
     links = attachable(rows)
     # a star to the first item of each identifier
     first = rows.where("ident IS NOT NULL").groupBy("ident").agg(F.min("item_id").alias("v"))
     links = links.union(rows.join(first, "ident").where("item_id <> v").select(F.col("item_id").alias("u"), "v"))
     of = groups(links, rows.select(F.col("item_id").alias("node"))).withColumnRenamed("node", "item_id")
-    return rows.join(of, "item_id").groupBy("group").applyInPandas(lambda p: assign(p), "item_id long, cluster_id long, decision string")
+    kind = dict(rows.dtypes)["item_id"]
+    return rows.join(of, "item_id").groupBy("group").applyInPandas(lambda p: assign(p), f"item_id {kind}, cluster_id {kind}, decision string")
+
+
+def assign_to_stories(clusters: DataFrame, members: DataFrame, items: DataFrame) -> DataFrame:
+    """(item_id, cluster_id, decision) of items that no cluster holds: to open clusters (id, canonical_title, updated_at, status), else to new ones.
+
+    A cluster stands by its title, its last update and the newest identifier and source of its items. New clusters are named "n" and their founder's id.
+    """
+    known = members.select("cluster_id", "item_id").join(items.select(F.col("id").alias("item_id"), "arxiv_id", "source_id"), "item_id").groupBy("cluster_id").agg(F.max("arxiv_id").alias("ident"), F.max("source_id").alias("source_id"))
+    open_ = clusters.where(F.col("status").isin("active", "pending")).join(known, clusters.id == known.cluster_id, "left")
+    name = lambda prefix, c: F.concat(F.lit(prefix), F.col(c).cast("string"))
+    founders = open_.select(name("c", "id").alias("item_id"), F.col("updated_at").cast("timestamp").alias("at"), F.col("source_id").cast("string").alias("source_id"), F.col("canonical_title").alias("title"), "ident", F.lit(True).alias("founder"))
+    free = items.join(members.select(F.col("item_id").alias("id")).distinct(), "id", "left_anti")
+    fresh = free.select(name("i", "id").alias("item_id"), F.coalesce("published_at", "fetched_at").cast("timestamp").alias("at"), F.col("source_id").cast("string").alias("source_id"), "title", F.col("arxiv_id").alias("ident"), F.lit(False).alias("founder"))
+    found = cluster(founders.union(fresh)).where(F.startswith("item_id", F.lit("i")))
+    named = F.when(F.startswith("cluster_id", F.lit("c")), F.substring("cluster_id", 2, 1000)).otherwise(F.concat(F.lit("n"), F.substring("cluster_id", 2, 1000)))
+    return found.select(F.substring("item_id", 2, 1000).alias("item_id"), named.alias("cluster_id"), "decision")

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from tessera.functions import scores
 
 DEFAULT = 0.95
+LOOK_BACK = 180
 RATE_BAND = (0.007, 0.013)
 
 
@@ -15,14 +16,19 @@ def age_bucket(days: Column) -> Column:
     return F.when(days <= 30, "0_30d").when(days <= 90, "31_90d").otherwise("91_365d")
 
 
-def thresholds(rows: DataFrame, score: str, topic: str, age: str, least: int = 100, q: float = 0.99) -> DataFrame:
-    """rows with threshold and bucket: the percentile of (topic, age) where it has enough rows, else of age, else of all."""
+def thresholds(rows: DataFrame, score: str, topic: str, age: str, least: int = 100, q: float = 0.99, history: DataFrame | None = None) -> DataFrame:
+    """rows with threshold and bucket: the percentile of (topic, age) where it has enough rows, else of age, else of all.
+
+    Percentiles are those of ``history`` where it is given (see ``looked_back``). They are aggregates over distinct values, of which scores
+    of six digits have a million at most.
+    """
+    asked, rows = rows, rows if history is None else history
     cut = F.percentile(score, q)
     fine = rows.groupBy(topic, age).agg(F.count("*").alias("__n1"), cut.alias("__q1"))
     broad = rows.groupBy(age).agg(F.count("*").alias("__n2"), cut.alias("__q2"))
     whole = rows.agg(F.count("*").alias("__n3"), cut.alias("__q3"))
     # one row, so this is a broadcast of a constant
-    out = rows.join(fine, [topic, age], "left").join(broad, age, "left").crossJoin(F.broadcast(whole))
+    out = asked.join(fine, [topic, age], "left").join(broad, age, "left").crossJoin(F.broadcast(whole))
     enough = [F.col("__n1") >= least, F.col("__n2") >= least, F.col("__n3") > 0]
     pick = lambda *x: F.when(enough[0], x[0]).when(enough[1], x[1]).when(enough[2], x[2]).otherwise(x[3])
     out = out.withColumn("threshold", pick(F.col("__q1"), F.col("__q2"), F.col("__q3"), F.lit(DEFAULT)))
@@ -30,6 +36,11 @@ def thresholds(rows: DataFrame, score: str, topic: str, age: str, least: int = 1
     return out.drop("__n1", "__q1", "__n2", "__q2", "__n3", "__q3")
 
 
+def looked_back(rows: DataFrame, assessed: str, now: Column, days: int = LOOK_BACK) -> DataFrame:
+    """Rows assessed within the days before now."""
+    return rows.where((F.col(assessed) >= now.cast("timestamp") - F.make_dt_interval(F.lit(days))) & (F.col(assessed) <= now))
+
+
 def labels(rows: DataFrame, score: str, topic: str, age: str, least: int = 100) -> DataFrame:
     """rows (with eligible, confidence, evidence) with threshold and label. All scores are computed before thresholds are."""
     final = F.when(F.col("eligible"), F.col(score))

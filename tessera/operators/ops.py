@@ -42,3 +42,22 @@ def rate_limits(requests: DataFrame, subject: str, width_s: int, limit: int) ->
     """Fixed windows in which a subject made requests: (subject, window_start, n, over)."""
     start = F.floor(F.unix_timestamp(F.col("ts").cast("timestamp")) / width_s) * width_s
     return requests.groupBy(subject, start.alias("window_start")).agg(F.count("*").alias("n")).withColumn("over", F.col("n") > limit)
+
+
+def metric_lines(counts: DataFrame, histogram: DataFrame, prefix: str) -> DataFrame:
+    """(metric, line): lines of a monitoring service's text format. counts: method, endpoint, status, n; histogram: of latency_histogram by method and endpoint."""
+    labels = lambda *names: F.array_join(F.array(*[F.concat(F.lit(f'{n}="'), F.col(n).cast("string"), F.lit('"')) for n in names]), ",")
+    line = lambda name, inside, value: F.concat(F.lit(f"{prefix}_{name}{{"), inside, F.lit("} "), value.cast("string"))
+    total, seconds = "http_requests_total", "http_request_duration_seconds"
+    own = labels("method", "endpoint")
+    rows = [counts.select(F.lit(total).alias("metric"), line(total, labels("method", "endpoint", "status"), F.col("n")).alias("line"))]
+    rows.append(histogram.select(F.lit(seconds).alias("metric"), line(f"{seconds}_bucket", F.concat(own, F.lit(',le="'), F.col("le").cast("string"), F.lit('"')), F.col("n")).alias("line")))
+    once = histogram.dropDuplicates(["method", "endpoint"])
+    rows.append(once.select(F.lit(seconds), line(f"{seconds}_bucket", F.concat(own, F.lit(',le="+Inf"')), F.col("samples"))))
+    rows.append(once.select(F.lit(seconds), line(f"{seconds}_sum", own, F.format_string("%.4f", F.col("total")))))
+    rows.append(once.select(F.lit(seconds), line(f"{seconds}_count", own, F.col("samples"))))
+    out = rows[0]
+    for r in rows[1:]:
+        out = out.union(r)
+    heads = counts.sparkSession.createDataFrame([(m, f"# TYPE {prefix}_{m} {kind}") for m, kind in ((total, "counter"), (seconds, "histogram"))], "metric string, line string")
+    return out.union(heads)

@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import english, scores, text
 from tessera.operators.feeds import newest
 
+PART_VECTORS, BLOCK_QUERIES = 20_000, 2_000
+
 
 def stem(word: Column) -> Column:
     """Plurals dropped."""
@@ -25,10 +28,22 @@ def lexemes(body: Column) -> Column:
     return F.transform(words, stem)
 
 
-def postings(docs: DataFrame, key: str, body: str) -> DataFrame:
-    """The inverted index: (lexeme, key, tf, size)."""
+def query_lexemes(docs: DataFrame, query: str) -> list[str]:
+    return [r.x for r in docs.sparkSession.range(1).select(F.explode(F.array_distinct(lexemes(F.lit(query)))).alias("x")).collect()]
+
+
+def postings(docs: DataFrame, key: str, body: str, query: str | None = None) -> DataFrame:
+    """The inverted index: (lexeme, key, tf, size); with a query only what it looks up.
+
+    A text without the beginning of each lexeme (but for its last letter, which an ending may have changed) is passed over before it is taken apart.
+    """
+    wanted = query_lexemes(docs, query) if query is not None else []
+    low = F.lower(F.col(body))
+    for w in wanted:
+        docs = docs.where(low.contains(w[:-1]))
     rows = docs.select(key, lexemes(F.col(body)).alias("l"))
-    return rows.select(key, F.size("l").alias("size"), F.explode("l").alias("lexeme")).groupBy("lexeme", key, "size").agg(F.count("*").alias("tf"))
+    kept = F.filter("l", lambda w: w.isin(wanted)) if query is not None else F.col("l")
+    return rows.select(key, F.size("l").alias("size"), F.explode(kept).alias("lexeme")).groupBy("lexeme", key, "size").agg(F.count("*").alias("tf"))
 
 
 def match(index: DataFrame, key: str, query: str, most: int = 50) -> DataFrame:
@@ -37,8 +52,7 @@ def match(index: DataFrame, key: str, query: str, most: int = 50) -> DataFrame:
     The rank saturates in each lexeme's frequency and
     falls with the logarithm of the document's length.
     """
-    q = index.sparkSession.range(1).select(F.explode(F.array_distinct(lexemes(F.lit(query)))).alias("lexeme"))
-    wanted = [r.lexeme for r in q.collect()]
+    wanted = query_lexemes(index, query)
     if not wanted:
         return index.select(key, F.lit(0.0).alias("rank")).limit(0)
     hit = index.where(F.col("lexeme").isin(wanted))
@@ -128,12 +142,36 @@ def nearest(vectors: DataFrame, key: str, vector: str, query: list[float], most:
 def nearest_to_each(vectors: DataFrame, queries: DataFrame, key: str, vector: str, most: int = 5) -> DataFrame:
     """(query, key, similarity): the nearest vectors of each of a stated set of queries, itself left out.
 
-    The queries are a stated set (nested in one broadcast row block), every vector is scored against
-    all of them where it lies, and partial winners meet by query.
+    A block join: vectors lie in parts and queries in blocks of bounded size, a task scores one block against one part as a product of
+    matrices and keeps the ``most`` best of each query; these meet by query. Vectors without a norm have similarity 0.
     """
-    block = queries.select(F.collect_list(F.struct(F.col(key).alias("q"), F.col(vector).alias("v"))).alias("block"))
-    met = vectors.crossJoin(F.broadcast(block)).select(key, vector, F.explode("block").alias("b")).where(F.col(key) != F.col("b.q"))
-    scored = met.select(F.col("b.q").alias("query"), key, F.round(scores.cosine(F.col(vector), F.col("b.v")), 6).alias("similarity"))
+    parts, blocks = (max(1, -(-df.count() // n)) for df, n in ((vectors, PART_VECTORS), (queries, BLOCK_QUERIES)))
+    numbered = lambda df, n, name: df.select(key, vector, F.pmod(F.xxhash64(key), F.lit(n)).cast("int").alias(name))
+    every = lambda n, name: F.explode(F.sequence(F.lit(0), F.lit(n - 1))).alias(name)
+    left = numbered(vectors, parts, "part").select("*", every(blocks, "block"))
+    right = numbered(queries, blocks, "block").select("*", every(parts, "part"))
+    kind = dict(vectors.dtypes)[key]
+
+    def best(v: pd.DataFrame, q: pd.DataFrame) -> pd.DataFrame:
+        import numpy as np
+
+        if v.empty or q.empty:
+            return pd.DataFrame({"query": [], key: [], "similarity": []})
+        unit = lambda m: m / np.where((norm := np.linalg.norm(m, axis=1, keepdims=True)) == 0, 1, norm)
+        ids, asked = v[key].to_numpy(), q[key].to_numpy()
+        order = np.argsort(ids, kind="stable")
+        ids, all_vectors = ids[order], unit(np.array(v[vector].tolist(), np.float64))[order]
+        found = []
+        for at in range(0, len(asked), 256):
+            near = np.round(unit(np.array(q[vector].tolist()[at : at + 256], np.float64)) @ all_vectors.T, 6)
+            near[asked[at : at + 256, None] == ids[None, :]] = -np.inf
+            # stable, so that of equal ones the least key comes first
+            first = np.argsort(-near, axis=1, kind="stable")[:, :most]
+            found.append(pd.DataFrame({"query": np.repeat(asked[at : at + 256], first.shape[1]), key: ids[first].ravel(), "similarity": np.take_along_axis(near, first, 1).ravel()}))
+        out = pd.concat(found)
+        return out[np.isfinite(out["similarity"])]
+
+    scored = left.groupBy("part", "block").cogroup(right.groupBy("part", "block")).applyInPandas(best, f"query {kind}, {key} {kind}, similarity double")
     order = Window.partitionBy("query").orderBy(F.col("similarity").desc(), key)
     return scored.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most).drop("rn")
 

@@ -31,6 +31,16 @@ def page(clusters: DataFrame, cluster_topics: DataFrame, topics: DataFrame, topi
     return top.select(F.row_number().over(order).cast("long").alias("rn"), "id", "topic_id")
 
 
+def page_lists(clusters: DataFrame, cluster_topics: DataFrame, topics: DataFrame, topic_id: int, size: int = 20) -> DataFrame:
+    """(list, rn, id, topic_id): the latest active clusters of a topic, and those of greatest impact."""
+    latest = page(clusters, cluster_topics, topics, topic_id, size).select(F.lit("latest").alias("list"), "rn", "id", "topic_id")
+    wanted = topics.where((F.col("id") == topic_id) | (F.col("parent_id") == topic_id)).select(F.col("id").alias("topic_id"))
+    met = clusters.where("status = 'active'").join(cluster_topics.join(wanted, "topic_id", "left_semi"), F.col("id") == F.col("cluster_id"))
+    order = F.col("impact_score").desc_nulls_last(), newest("updated_at"), F.col("id"), F.col("topic_id")
+    top = met.orderBy(*order).limit(size)
+    return latest.union(top.select(F.lit("impact"), F.row_number().over(Window.orderBy(*order)).cast("long"), "id", "topic_id"))
+
+
 def match_aliases(texts: DataFrame, topics: DataFrame, key: str = "cluster_id", text: str = "search_text", most: int = 3, least: float = 0.6) -> DataFrame:
     """(key, topic_id, score): topics whose name or alias (column ``alias``, one word) a text holds.
 

@@ -21,6 +21,9 @@ def cleaned_answers(r: Relations) -> DataFrame:
     return r["documents"].select("doc_id", answers.unquoted(raw).alias("clean"))
 
 
+CUT = "CASE WHEN length({text}) <= 280 THEN {text} WHEN length({ends}) - 1 > 140 THEN {ends} ELSE concat(regexp_replace(substr({text}, 1, 280), '\\s+$', ''), '...') END"
+
+
 @query("""
     WITH h AS (SELECT doc_id, text, length(text) AS n, substr(text, 1, 280) AS head FROM documents),
     e AS (SELECT *, regexp_extract(head, '(?s)^(.*[.?!])', 1) AS ends FROM h)
@@ -31,10 +34,10 @@ def cut_at_sentence(r: Relations) -> DataFrame:
 
 
 @query("""
-    SELECT doc_id, list_has_any(list_distinct(regexp_extract_all(substr(text, 201, 400), '[0-9]')), list_filter(['0','1','2','3','4','5','6','7','8','9'], lambda x: strpos(substr(text, 1, 200), x) = 0)) AS fresh FROM documents
+    SELECT doc_id, list_has_any(list_distinct(regexp_extract_all(text, '[0-9]')), list_filter(['0','1','2','3','4','5','6','7','8','9'], lambda x: strpos(split_part(text, chr(10), 1), x) = 0)) AS fresh FROM documents
 """)
 def new_digits(r: Relations) -> DataFrame:
-    return r["documents"].select("doc_id", answers.new_digits(F.substring("text", 1, 200), F.substring("text", 201, 400)).alias("fresh"))
+    return r["documents"].select("doc_id", answers.new_digits(F.substring_index("text", "\n", 1), F.col("text")).alias("fresh"))
 
 
 @query("""
@@ -50,12 +53,12 @@ def json_in_answers(r: Relations) -> DataFrame:
 
 @query("""
     WITH s AS (SELECT doc_id, len(list_filter(string_split_regex(a, '\\s+'), lambda x: x <> '')) AS n, len(list_filter(string_split_regex(b, '\\s+'), lambda x: x <> '')) AS m
-               FROM (SELECT doc_id, substr(text, 1, 900) AS a, substr(text, 1, 500) AS b FROM documents))
+               FROM (SELECT doc_id, text AS a, split_part(text, chr(10), 1) AS b FROM documents))
     SELECT doc_id, round(least(1, greatest(0, 0.75 + CASE WHEN n BETWEEN 100 AND 150 THEN 0.1 WHEN n > 250 OR n < 50 THEN -0.1 ELSE 0 END + CASE WHEN m BETWEEN 60 AND 100 THEN 0.1 WHEN m > 250 OR m < 30 THEN -0.1 ELSE 0 END
       - CASE WHEN doc_id % 2 = 0 THEN 0.1 ELSE 0 END - CASE WHEN doc_id % 3 = 0 THEN 0.1 ELSE 0 END)), 6) AS confidence FROM s
 """)
 def intuition_confidence(r: Relations) -> DataFrame:
-    c = answers.intuition_confidence(F.substring("text", 1, 900), F.substring("text", 1, 500), F.col("doc_id") % 2 == 0, F.col("doc_id") % 3 == 0)
+    c = answers.intuition_confidence(F.col("text"), F.substring_index("text", "\n", 1), F.col("doc_id") % 2 == 0, F.col("doc_id") % 3 == 0)
     return r["documents"].select("doc_id", F.round(c, 6).alias("confidence"))
 
 
@@ -110,10 +113,10 @@ def impact_rated(r: Relations) -> DataFrame:
 
 
 STORIES = """
-    stories AS (SELECT doc_id AS id, CASE WHEN doc_id % 40 = 1 THEN '' ELSE substr(split_part(text, chr(10), 1), 1, 60) END AS canonical_title, CASE WHEN doc_id % 6 <> 0 THEN 'known' END AS takeaway, CASE WHEN doc_id % 11 = 0 THEN 'deep' END AS deep_dive
+    stories AS (SELECT doc_id AS id, CASE WHEN doc_id % 40 = 1 THEN '' ELSE split_part(text, chr(10), 1) END AS canonical_title, CASE WHEN doc_id % 6 <> 0 THEN 'known' END AS takeaway, CASE WHEN doc_id % 11 = 0 THEN 'deep' END AS deep_dive
                 FROM documents WHERE doc_id % 2 = 0),
-    parts AS (SELECT doc_id - doc_id % 4 AS cluster_id, doc_id AS item_id, CASE WHEN doc_id % 3 = 0 THEN 'primary' ELSE 'supporting' END AS role FROM documents WHERE doc_id % 4 < 3),
-    evidence AS (SELECT id AS item_id, split_part(title, chr(9), 1) AS title, CASE WHEN id % 3 = 0 THEN substr(full_text, 1, 40) ELSE substr(concat(title, ' ', coalesce(full_text, '')), 1, 400) END AS snippet, full_text, full_text_kind, full_text_source, source_name, content_type, published_at FROM papers),
+    parts AS (SELECT doc_id - doc_id % 4 AS cluster_id, doc_id AS item_id, CASE WHEN doc_id % 3 = 0 THEN 'primary' ELSE 'supporting' END AS role FROM documents),
+    evidence AS (SELECT id AS item_id, split_part(title, chr(9), 1) AS title, CASE WHEN id % 3 = 0 THEN source_name ELSE concat(title, ' ', coalesce(full_text, '')) END AS snippet, full_text, full_text_kind, full_text_source, source_name, content_type, published_at FROM papers),
     kinds AS (SELECT *, content_type IN ('preprint', 'peer_reviewed') AS is_paper, CASE WHEN trim(coalesce(full_text, '')) = '' THEN 'missing' WHEN lower(full_text_kind) IN ('fulltext', 'abstract') THEN lower(full_text_kind)
               WHEN full_text_source IN ('arxiv_pdf', 'landing_page') THEN 'fulltext' ELSE 'abstract' END AS kind FROM evidence)"""
 
@@ -130,10 +133,10 @@ def stories(r: Relations) -> tuple[DataFrame, DataFrame, DataFrame]:
                  string_agg(concat_ws(chr(10), k.title, concat('Source: ', k.source_name), concat('Summary: ', CASE WHEN length(k.snippet) > 300 THEN concat(substr(k.snippet, 1, 300), '...') ELSE k.snippet END)), '' ORDER BY p.role) AS all_text
           FROM stories s LEFT JOIN parts p ON p.cluster_id = s.id LEFT JOIN kinds k ON k.item_id = p.item_id GROUP BY s.id, s.canonical_title),
     g AS (SELECT *, CASE WHEN items = 0 THEN 'no_items' WHEN canonical_title = '' THEN 'no_title' WHEN size + length(canonical_title) < 80 THEN 'insufficient_content' END AS refusal FROM n)
-    SELECT id, refusal, CASE WHEN refusal IS NULL THEN regexp_replace(canonical_title, '^\s+|\s+$', '', 'g') END AS takeaway FROM g
+    SELECT id, refusal, CASE WHEN refusal IS NULL THEN {CUT.format(text="t", ends="regexp_extract(substr(t, 1, 280), '(?s)^(.*[.?!])', 1)")} END AS takeaway FROM (SELECT *, regexp_replace(canonical_title, '^\s+|\s+$', '', 'g') AS t FROM g) h
 """)
 def takeaways(r: Relations) -> DataFrame:
-    """The mock model answers with the title in quotes; 60 characters are never cut."""
+    """The mock model answers with the title in quotes."""
     return enrichment.takeaways(*stories(r), enrichment.mock_model)
 
 
@@ -205,9 +208,9 @@ def lineage_connections(r: Relations) -> DataFrame:
 
 
 @query("""
-    WITH n AS (SELECT doc_id, substr(text, 1, 250) AS s, len(list_filter(string_split_regex(substr(text, 1, 250), '\\s+'), lambda x: x <> '')) AS n, substr(text, 251, 200) AS src FROM documents)
+    WITH n AS (SELECT doc_id, text AS s, len(list_filter(string_split_regex(text, '\\s+'), lambda x: x <> '')) AS n, split_part(text, chr(10), 1) AS src FROM documents)
     SELECT doc_id, round(0.70 + CASE WHEN n BETWEEN 30 AND 60 THEN 0.1 WHEN n > 100 OR n < 15 THEN -0.15 ELSE 0 END
       - CASE WHEN list_has_any(list_distinct(regexp_extract_all(s, '[0-9]')), list_filter(['0','1','2','3','4','5','6','7','8','9'], lambda x: strpos(src, x) = 0)) THEN 0.15 ELSE 0 END, 6) AS confidence FROM n
 """)
 def news_confidence(r: Relations) -> DataFrame:
-    return r["documents"].select("doc_id", F.round(answers.news_confidence(F.substring("text", 1, 250), F.substring("text", 251, 200)), 6).alias("confidence"))
+    return r["documents"].select("doc_id", F.round(answers.news_confidence(F.col("text"), F.substring_index("text", "\n", 1)), 6).alias("confidence"))

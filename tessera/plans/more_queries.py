@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import scores, text, times
-from tessera.operators import feeds, governance, graph, ingest, metrics, topics, worklists
+from tessera.functions import payloads, scores, text, times
+from tessera.operators import feeds, governance, graph, impact, ingest, metrics, ops, topics, worklists
 from tessera.plans.catalog import query
 from tessera.sources.tables import Relations
 
@@ -159,3 +159,78 @@ def classification_parsed(t: Relations) -> DataFrame:
 def explainer_fields(t: Relations) -> DataFrame:
     said = F.when(F.col("id") % 2 == 0, F.concat(F.lit(' {"markdown": "md '), F.col("id").cast("string"), F.lit('", "eli20": "twenty"} '))).otherwise(F.concat(F.lit("plain "), F.col("id").cast("string")))
     return t["clusters"].select("id", *[c.alias(k) for k, c in feeds.explainers(said).items()])
+
+
+@query("""SELECT doc_id, CASE doc_id % 4 WHEN 0 THEN 'https://x.example/own' WHEN 1 THEN 'https://x.example/alt' WHEN 2 THEN 'https://x.example/bare' END AS url,
+    CASE doc_id % 5 WHEN 0 THEN 'media' WHEN 1 THEN 'thumb' WHEN 2 THEN 'enclosed' WHEN 3 THEN 'field' END AS image FROM documents""")
+def entry_links(t: Relations) -> DataFrame:
+    d, none = F.col("doc_id"), F.lit(None).cast("string")
+    link = lambda href, rel, kind=None: F.struct(F.lit(href).alias("href"), F.lit(rel).cast("string").alias("rel"), F.lit(kind).cast("string").alias("type"))
+    links = F.array(link("https://x.example/self", "self"), F.when(d % 4 == 1, link(" https://x.example/alt ", "Alternate")).when(d % 4 == 2, link("https://x.example/bare", None)).otherwise(link("", "alternate")), F.when(d % 5 == 2, link("enclosed", "enclosure", "image/png")).otherwise(link("no", "enclosure", "audio/mp3")))
+    media = lambda url, medium, kind: F.struct(F.lit(url).alias("url"), F.lit(medium).cast("string").alias("medium"), F.lit(kind).cast("string").alias("type"))
+    content = F.array(media("video", "video", "video/mp4"), F.when(d % 5 == 0, media(" media", None, None)).otherwise(media(" ", "image", None)))
+    thumbs = F.when(d % 5 == 1, F.array(media("thumb", None, None)))
+    return t["documents"].select("doc_id", payloads.entry_url(F.when(d % 4 == 0, " https://x.example/own "), links).alias("url"), payloads.entry_image(content, thumbs, links, F.when(d % 5 == 3, "field").otherwise(none)).alias("image"))
+
+
+@query("""SELECT c_custkey AS id, lower(c_name) AS mail, concat('search:', sha256(lower(c_name))) AS key, concat('W/"', c_custkey, '"') AS etag FROM customer""")
+def lookup_keys(t: Relations) -> DataFrame:
+    name = F.concat(F.lit("  "), "c_name", F.lit(" "))
+    return t["customer"].select(F.col("c_custkey").alias("id"), payloads.mail_key(name).alias("mail"), payloads.cache_key(name).alias("key"), payloads.weak_etag(F.col("c_custkey").cast("string")).alias("etag"))
+
+
+@query("""SELECT doc_id, CASE WHEN doc_id % 3 = 0 THEN NULL ELSE concat('A & B > ', doc_id, ' é end') END AS said FROM documents""")
+def cleaned_payloads(t: Relations) -> DataFrame:
+    raw = F.when(F.col("doc_id") % 3 == 0, " <br/> ").otherwise(F.concat(F.lit("<p>A &amp; B</p>\n &gt; "), F.col("doc_id").cast("string"), F.lit(" &#233; <b x='1'>end")))
+    return t["documents"].select("doc_id", payloads.clean(raw).alias("said"))
+
+
+@query("""SELECT n_nationkey AS id, CASE n_nationkey % 4 WHEN 0 THEN concat(n_name, '|x') ELSE '' END AS listed, CASE n_nationkey % 3 WHEN 0 THEN concat(n_name, '|a, b|q"t') WHEN 1 THEN '' ELSE n_name END AS members FROM nation""")
+def lists_in_payloads(t: Relations) -> DataFrame:
+    n, k = F.col("n_name"), F.col("n_nationkey")
+    listed = F.when(k % 4 == 0, F.concat(F.lit('["'), n, F.lit('","x"]'))).when(k % 4 == 1, '{"a":1}').when(k % 4 == 2, "no json")
+    text_ = F.when(k % 3 == 0, F.concat(F.lit("{"), n, F.lit(',"a, b","q\\"t",NULL}'))).when(k % 3 == 1, "{}").otherwise(F.concat(F.lit("{"), n, F.lit("}")))
+    return t["nation"].select(k.alias("id"), F.array_join(payloads.json_list(listed), "|").alias("listed"), F.array_join(payloads.array_text(text_), "|").alias("members"))
+
+
+@query("""SELECT n_nationkey AS id, n_name AS markdown, CASE n_nationkey % 3 WHEN 0 THEN 'then' ELSE '' END AS generated_at, CASE n_nationkey % 3 WHEN 0 THEN 7 ELSE 2 END AS source_count, CASE WHEN n_nationkey % 2 = 0 THEN 'new' WHEN n_nationkey % 3 = 0 THEN 'old' END AS eli20, CASE WHEN n_nationkey % 3 = 0 THEN 'old5' END AS eli5 FROM nation""")
+def explainers_merged(t: Relations) -> DataFrame:
+    k = F.col("n_nationkey")
+    stored = F.when(k % 3 == 0, '{"markdown":"m","generated_at":"then","source_count":7,"eli20":"old","eli5":"old5"}').when(k % 3 == 1, "plain text").otherwise('{"source_count":0}')
+    return t["nation"].select(k.alias("id"), payloads.merged_explainers(stored, F.col("n_name"), F.lit(2), F.when(k % 2 == 0, "new").otherwise(""), F.lit(None).cast("string")).alias("e")).select("id", "e.*")
+
+
+@query("""
+    WITH p AS (SELECT id FROM topics WHERE id = 1 OR parent_id = 1), m AS (SELECT c.*, topic_id FROM clusters c JOIN cluster_topics ct ON ct.cluster_id = c.id WHERE status = 'active' AND topic_id IN (SELECT id FROM p))
+    SELECT * FROM (SELECT 'latest' AS list, row_number() OVER (ORDER BY updated_at DESC, id, topic_id) AS rn, id, topic_id FROM m) WHERE rn <= 20
+    UNION ALL SELECT * FROM (SELECT 'impact' AS list, row_number() OVER (ORDER BY final_score DESC NULLS LAST, updated_at DESC, id, topic_id) AS rn, id, topic_id FROM m) WHERE rn <= 20""")
+def topic_page_lists(t: Relations) -> DataFrame:
+    return topics.page_lists(t["clusters"].withColumnRenamed("final_score", "impact_score"), t["cluster_topics"], t["topics"], 1)
+
+
+@query("""
+    WITH e AS (SELECT event_id, event_type AS topic, user_id % 3 AS age, round(value / 1000, 6) AS score, ts FROM events), h AS (SELECT * FROM e WHERE ts >= TIMESTAMP '2024-01-20' - INTERVAL 7 DAY AND ts <= TIMESTAMP '2024-01-20'),
+    b1 AS (SELECT topic, age, count(*) AS n, quantile_cont(score, 0.99) AS q FROM h GROUP BY topic, age), b2 AS (SELECT age, count(*) AS n, quantile_cont(score, 0.99) AS q FROM h GROUP BY age), b3 AS (SELECT count(*) AS n, quantile_cont(score, 0.99) AS q FROM h)
+    SELECT event_id, CASE WHEN b1.n >= 20 THEN 'topic_age' WHEN b2.n >= 20 THEN 'age_global' WHEN b3.n > 0 THEN 'global' ELSE 'default' END AS bucket, round(CASE WHEN b1.n >= 20 THEN b1.q WHEN b2.n >= 20 THEN b2.q WHEN b3.n > 0 THEN b3.q ELSE 0.95 END, 6) AS threshold
+    FROM e LEFT JOIN b1 ON b1.topic = e.topic AND b1.age = e.age LEFT JOIN b2 ON b2.age = e.age, b3""")
+def impact_thresholds_looked_back(t: Relations) -> DataFrame:
+    rows = t["events"].select("event_id", F.col("event_type").alias("topic"), (F.col("user_id") % 3).alias("age"), F.round(F.col("value") / 1000, 6).alias("score"), F.col("ts").cast("timestamp").alias("ts"))
+    recent = impact.looked_back(rows, "ts", F.lit("2024-01-20").cast("timestamp"), 7)
+    return impact.thresholds(rows, "score", "topic", "age", 20, history=recent).select("event_id", "bucket", F.round("threshold", 6).alias("threshold"))
+
+
+@query("""
+    WITH c AS (SELECT method, concat('/v1/', event_type) AS endpoint, status, count(*) AS n FROM (SELECT event_type, CASE WHEN user_id % 2 = 0 THEN 'GET' ELSE 'PUT' END AS method, CASE WHEN event_type = 'error' THEN '500' ELSE '200' END AS status FROM events) e GROUP BY ALL),
+    h AS (SELECT CASE WHEN user_id % 2 = 0 THEN 'GET' ELSE 'PUT' END AS method, concat('/v1/', event_type) AS endpoint, value / 50 AS s, row_number() OVER (PARTITION BY user_id % 2, event_type ORDER BY ts DESC, event_id DESC) AS rn FROM events),
+    r AS (SELECT method, endpoint, s FROM h WHERE rn <= 1000), b AS (SELECT unnest([0.5, 2.5]) AS le)
+    SELECT 'http_requests_total' AS metric, concat('app_http_requests_total{method="', method, '",endpoint="', endpoint, '",status="', status, '"} ', n) AS line FROM c
+    UNION ALL SELECT 'http_request_duration_seconds', concat('app_http_request_duration_seconds_bucket{method="', method, '",endpoint="', endpoint, '",le="', le, '"} ', count(*) FILTER (WHERE s <= le)) FROM r, b GROUP BY method, endpoint, le
+    UNION ALL SELECT 'http_request_duration_seconds', concat('app_http_request_duration_seconds_bucket{method="', method, '",endpoint="', endpoint, '",le="+Inf"} ', count(*)) FROM r GROUP BY method, endpoint
+    UNION ALL SELECT 'http_request_duration_seconds', concat('app_http_request_duration_seconds_count{method="', method, '",endpoint="', endpoint, '"} ', count(*)) FROM r GROUP BY method, endpoint
+    UNION ALL SELECT 'http_requests_total', '# TYPE app_http_requests_total counter' UNION ALL SELECT 'http_request_duration_seconds', '# TYPE app_http_request_duration_seconds histogram'""")
+def metric_lines(t: Relations) -> DataFrame:
+    """The sums are left out, whose last digit depends on the order of adding."""
+    e = t["events"].select("event_id", "ts", F.when(F.col("user_id") % 2 == 0, "GET").otherwise("PUT").alias("method"), F.concat(F.lit("/v1/"), "event_type").alias("endpoint"), F.when(F.col("event_type") == "error", "500").otherwise("200").alias("status"), (F.col("value") / 50).alias("seconds"))
+    counts = e.groupBy("method", "endpoint", "status").agg(F.count("*").alias("n"))
+    out = ops.metric_lines(counts, ops.latency_histogram(e, ["method", "endpoint"], F.col("seconds"), (0.5, 2.5)), "app")
+    return out.where("NOT contains(line, 'seconds_sum')")

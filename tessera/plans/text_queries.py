@@ -157,10 +157,10 @@ def token_containment(t: Relations) -> DataFrame:
         round(CASE WHEN len(list_intersect(a, b)) >= 2 AND len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) >= 0.42 THEN
             0.65 * len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b))) + 0.25 * exp(-d / 7) + 0.10 * least(len(list_intersect(a, b)) / 6.0, 1.0) + CASE WHEN source_id % 2 = 0 THEN 0.0 ELSE 0.04 END END, 6) AS score FROM x""")
 def candidate_scores(t: Relations) -> DataFrame:
-    i = t["items"].select(F.col("id").alias("item_id"), "title", F.coalesce("published_at", "fetched_at").alias("at"))
-    c = t["clusters"].select(F.col("id").alias("cluster_id"), "canonical_title", "updated_at")
-    x = t["members"].select("item_id", "cluster_id", "source_id").join(i, "item_id").join(c, "cluster_id")
-    x = x.withColumn("a", text.title_tokens(F.col("title"))).withColumn("b", text.title_tokens(F.concat("canonical_title", F.lit(" "), "title", F.lit(" extra"))))
+    # titles become tokens before they are joined, once each; the tokens of joined titles are the union of theirs
+    i = t["items"].select(F.col("id").alias("item_id"), text.title_tokens(F.col("title")).alias("a"), F.coalesce("published_at", "fetched_at").alias("at"))
+    c = t["clusters"].select(F.col("id").alias("cluster_id"), text.title_tokens(F.concat("canonical_title", F.lit(" extra"))).alias("c"), "updated_at")
+    x = t["members"].select("item_id", "cluster_id", "source_id").join(i, "item_id").join(c, "cluster_id").withColumn("b", F.array_union("c", "a"))
     jac, overlap = scores.jaccard(F.col("a"), F.col("b")), F.size(F.array_intersect("a", "b"))
     score = scores.candidate(jac, overlap, scores.time_proximity(F.col("at"), F.col("updated_at")), F.col("source_id") % 2 == 0)
     return x.select("item_id", "cluster_id", F.round(jac, 6).alias("jaccard"), F.round(score, 6).alias("score"))
@@ -176,7 +176,7 @@ LEX = f"list_transform(list_filter(regexp_split_to_array(lower(text), '[^a-z0-9]
     SELECT doc_id, round(sum(1.0E0 - 1.0E0 / (1 + tf)) / (1 + ln(1 + max(size))), 6) AS rank FROM q WHERE x IN ('ha', 'rely') GROUP BY doc_id HAVING count(*) = 2
     ORDER BY rank DESC, doc_id LIMIT 50""")
 def lexical_search(t: Relations) -> DataFrame:
-    return search.match(search.postings(t["documents"], "doc_id", "text"), "doc_id", "the HA of relies")
+    return search.match(search.postings(t["documents"], "doc_id", "text", "the HA of relies"), "doc_id", "the HA of relies")
 
 
 @query("""SELECT c.id, canonical_title, i.id AS item_id FROM clusters c JOIN members m ON m.cluster_id = c.id JOIN items i ON i.id = m.item_id WHERE c.status = 'active' AND i.arxiv_id = '2401.10022'""")

@@ -86,14 +86,14 @@ VIEWS = {
                CASE WHEN doc_id % 10 < 3 THEN '' WHEN doc_id % 10 < 5 THEN concat('https://site.example/c/', cast(doc_id AS string)) END AS canonical_url, split_part(text, chr(10), 1) AS title, source AS source_name
         FROM documents""",
     "tries": """
-        SELECT doc_id AS item_id, 'arxiv_html' AS source, 1 AS place, substr(text, 1, 400) AS text, (doc_id % 50) / 100.0E0 AS quality, CAST(NULL AS string) AS license, CAST(NULL AS string) AS status FROM documents WHERE doc_id % 4 = 0
-        UNION ALL SELECT doc_id, 'arxiv_pdf', 1, substr(text, 1, 300), (doc_id % 41) / 100.0E0, NULL, NULL FROM documents WHERE doc_id % 4 = 0 AND doc_id % 3 > 0
-        UNION ALL SELECT doc_id, 'arxiv_eprint', 1, CASE WHEN doc_id % 5 > 0 THEN substr(text, 1, 200) END, (doc_id % 37) / 100.0E0, NULL, NULL FROM documents WHERE doc_id % 8 = 0
-        UNION ALL SELECT doc_id, 'arxiv_api', 1, substr(text, 1, 90), 0.0E0, NULL, NULL FROM documents WHERE doc_id % 8 < 2
-        UNION ALL SELECT doc_id, 'openalex_landing', 2, substr(text, 1, 80), 0.9E0, 'cc-by', NULL FROM documents WHERE doc_id % 8 IN (3, 5)
-        UNION ALL SELECT doc_id, 'openalex_landing', 1, substr(text, 1, 70), 0.1E0, 'cc0', NULL FROM documents WHERE doc_id % 16 = 3
+        SELECT doc_id AS item_id, 'arxiv_html' AS source, 1 AS place, text AS text, (doc_id % 50) / 100.0E0 AS quality, CAST(NULL AS string) AS license, CAST(NULL AS string) AS status FROM documents WHERE doc_id % 4 = 0
+        UNION ALL SELECT doc_id, 'arxiv_pdf', 1, text, (doc_id % 41) / 100.0E0, NULL, NULL FROM documents WHERE doc_id % 4 = 0 AND doc_id % 3 > 0
+        UNION ALL SELECT doc_id, 'arxiv_eprint', 1, CASE WHEN doc_id % 5 > 0 THEN text END, (doc_id % 37) / 100.0E0, NULL, NULL FROM documents WHERE doc_id % 8 = 0
+        UNION ALL SELECT doc_id, 'arxiv_api', 1, split_part(text, chr(10), 1), 0.0E0, NULL, NULL FROM documents WHERE doc_id % 8 < 2
+        UNION ALL SELECT doc_id, 'openalex_landing', 2, split_part(text, chr(10), 1), 0.9E0, 'cc-by', NULL FROM documents WHERE doc_id % 8 IN (3, 5)
+        UNION ALL SELECT doc_id, 'openalex_landing', 1, split_part(text, chr(10), 1), 0.1E0, 'cc0', NULL FROM documents WHERE doc_id % 16 = 3
         UNION ALL SELECT doc_id, 'crossref', 1, '  ', 0.0E0, NULL, NULL FROM documents WHERE doc_id % 8 = 6
-        UNION ALL SELECT doc_id, 'landing_page', 1, CASE WHEN doc_id % 3 = 0 THEN substr(text, 1, 60) END, 0.0E0, NULL, CASE WHEN doc_id % 5 = 0 THEN 'paywalled' END FROM documents WHERE doc_id % 8 > 5""",
+        UNION ALL SELECT doc_id, 'landing_page', 1, CASE WHEN doc_id % 3 = 0 THEN split_part(text, chr(10), 1) END, 0.0E0, NULL, CASE WHEN doc_id % 5 = 0 THEN 'paywalled' END FROM documents WHERE doc_id % 8 > 5""",
     "redirects": "SELECT o_orderkey AS from_id, o_orderkey - 1 AS to_id FROM orders WHERE o_orderkey % 17 = 5",
 }
 

@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.types import StructType
 
-from tessera.functions import text
+from tessera.functions import payloads, text
 from tessera.operators.merge import upsert_items
 
+#: Whole versions of a table that stay.
+KEPT = 3
+
 
 def read_items(spark: SparkSession, path: str, schema: StructType, per_trigger: int | None = None) -> DataFrame:
     """A stream of the Parquet files that arrive in a folder."""
@@ -31,14 +34,24 @@ def current(spark: SparkSession, table: str, schema: StructType) -> DataFrame:
     return spark.read.schema(schema).parquet(f"{table}/v{found[-1]}") if found else spark.createDataFrame([], schema)
 
 
-def upsert_into(table: str, schema: StructType):
-    """A foreachBatch function. Batch n writes version n from the one before, so a batch that is run again gives the same."""
+def drop_version(spark: SparkSession, table: str, number: int) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(f"{table}/v{number}")
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
+def upsert_into(table: str, schema: StructType, kept: int = KEPT):
+    """A foreachBatch function. Each batch writes the version after the last whole one, whatever its own number.
+
+    An upsert that is run again changes nothing, so neither a batch run twice nor a stream begun anew over the same files (a fresh checkpoint)
+    loses or doubles rows. The last ``kept`` versions stay for those who read them.
+    """
 
     def run(batch: DataFrame, number: int) -> None:
         spark = batch.sparkSession
-        before = [v for v in versions(spark, table) if v < number]
-        stored = spark.read.schema(schema).parquet(f"{table}/v{before[-1]}") if before else spark.createDataFrame([], schema)
-        upsert_items(stored, batch).write.mode("overwrite").parquet(f"{table}/v{number}")
+        before = versions(spark, table)
+        upsert_items(current(spark, table, schema), batch).write.mode("overwrite").parquet(f"{table}/v{before[-1] + 1 if before else 0}")
+        for old in before[: -(kept - 1)]:
+            drop_version(spark, table, old)
 
     return run
 
@@ -66,3 +79,18 @@ def read_rss(spark: SparkSession, path: str) -> DataFrame:
     """Entries of RSS files: link, title, summary, published."""
     rows = spark.read.format("xml").option("rowTag", "item").schema("link string, title string, description string, pubDate string").load(path)
     return rows.select(F.trim("link").alias("link"), "title", F.col("description").alias("summary"), F.col("pubDate").alias("published"))
+
+
+def read_atom(spark: SparkSession, path: str) -> DataFrame:
+    """Entries of Atom files: link, title, summary, published, image."""
+    link = "array<struct<_href:string,_rel:string,_type:string>>"
+    rows = spark.read.format("xml").option("rowTag", "entry").option("valueTag", "_text").schema(f"title string, link {link}, summary string, content string, published string, updated string").load(path)
+    links = F.transform("link", lambda x: F.struct(x["_href"].alias("href"), x["_rel"].alias("rel"), x["_type"].alias("type")))
+    none = F.lit(None)
+    image = payloads.entry_image(none.cast(f"array<{payloads.MEDIA}>"), none.cast(f"array<{payloads.MEDIA}>"), links, none.cast("string"))
+    return rows.select(payloads.entry_url(none.cast("string"), links).alias("link"), "title", F.coalesce("summary", "content").alias("summary"), F.coalesce("published", "updated").alias("published"), image.alias("image"))
+
+
+def expire(seen: DataFrame, at: str, keep: str) -> DataFrame:
+    """A stream of sightings whose state lasts no longer than the watermark: one row a key and window, then forgotten."""
+    return seen.withWatermark(at, keep).groupBy(F.window(at, keep), "key").agg(F.count("*").alias("n"), F.max(at).alias("last")).select("key", F.col("window.start").alias("window_start"), "n", "last")

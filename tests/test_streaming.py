@@ -29,6 +29,33 @@ def test_upsert_stream_is_batch(spark, tmp_path):
     assert {r[0]: r[2] for r in got} == {"a": "one!", "b": "two", "c": "three"}
 
 
+def test_fresh_checkpoint_over_an_existing_table(spark, tmp_path):
+    """A stream begun anew replays all files; nothing is lost or doubled, and old versions go."""
+    day = datetime(2024, 1, 1)
+    schema = spark.createDataFrame([], ITEMS).schema
+    run = lambda ck: ingest.ingest(ingest.read_items(spark, f"{tmp_path}/in/*", schema), f"{tmp_path}/table", f"{tmp_path}/{ck}").awaitTermination()
+    for k in range(4):
+        spark.createDataFrame([(f"k{k}", 1, f"t{k}", "news", None, day + timedelta(k), None, None), ("same", k, f"s{k}", "news", None, day + timedelta(k), None, None)], ITEMS).coalesce(1).write.parquet(f"{tmp_path}/in/{k}")
+        run("one")
+    before = sorted(map(tuple, ingest.current(spark, f"{tmp_path}/table", schema).collect()), key=str)
+    assert {r[0]: r[2] for r in before} == {"k0": "t0", "k1": "t1", "k2": "t2", "k3": "t3", "same": "s3"}
+    run("two")
+    assert sorted(map(tuple, ingest.current(spark, f"{tmp_path}/table", schema).collect()), key=str) == before
+    assert len(ingest.versions(spark, f"{tmp_path}/table")) <= ingest.KEPT
+
+
+def test_atom_entries(spark, tmp_path):
+    (tmp_path / "a.xml").write_text(
+        '<feed xmlns="http://www.w3.org/2005/Atom"><entry><title>An atom</title><link rel="self" href="https://x.example/self"/><link rel="alternate" href=" https://x.example/a?utm_id=1 "/>'
+        '<link rel="enclosure" type="image/png" href="https://x.example/i.png"/><summary>short</summary><updated>2024-02-03T04:05:06Z</updated></entry></feed>'
+    )
+    rows = ingest.read_atom(spark, str(tmp_path))
+    r = rows.first()
+    assert (r.link, r.title, r.image) == ("https://x.example/a?utm_id=1", "An atom", "https://x.example/i.png")
+    p = ingest.parse_entries(rows).first()
+    assert (p.url, p.published_at) == ("https://x.example/a", datetime(2024, 2, 3, 4, 5, 6))
+
+
 def test_windows(spark, tmp_path):
     day = datetime(2024, 1, 1)
     rows = [(k, k % 2, day + timedelta(seconds=20 * k)) for k in range(12)] + [(99, 0, day + timedelta(hours=1))]
@@ -50,7 +77,7 @@ def test_feed_entries(spark, tmp_path):
 def model(rows):
     import pandas as pd
 
-    return clustering.assign(pd.DataFrame(rows, columns=["item_id", "at", "source_id", "ident", "tokens"]))
+    return clustering.assign(pd.DataFrame(rows, columns=["item_id", "at", "source_id", "ident", "tokens"]).assign(founder=False))
 
 
 def test_greedy_clusters_equal_the_plain_loop(spark):
