@@ -63,6 +63,28 @@ def clean(text: Column, most: int = MOST) -> Column:
     return F.nullif(F.left(squeeze(F.regexp_replace(F.regexp_replace(unescaped(text), "\\x00", " "), "<[^>]+>", " ")), F.lit(most)), F.lit(""))
 
 
+@F.pandas_udf(StringType())
+def archived_tex(content: pd.Series) -> pd.Series:
+    """The longest TeX file of a source archive (tar, gzipped or not) or a gzipped single file; null where there is none."""
+    return content.map(_longest_tex)
+
+
+def _longest_tex(content: bytes | None) -> str | None:
+    import gzip
+    import io
+    import tarfile
+
+    try:
+        with tarfile.open(fileobj=io.BytesIO(content or b""), mode="r:*") as archive:
+            found = [archive.extractfile(m).read() for m in archive.getmembers() if m.isfile() and m.name.lower().endswith(".tex")]
+    except tarfile.TarError:
+        try:
+            found = [gzip.decompress(content or b"")]
+        except OSError:
+            found = []
+    return max(found, key=len).decode("utf-8", "replace") if found else None
+
+
 def json_list(value: Column) -> Column:
     """The strings of a JSON array; empty for null, other JSON and what is no JSON."""
     return F.coalesce(F.when(F.trim(value).startswith("["), F.from_json(value, "array<string>")), F.array().cast("array<string>"))

@@ -120,6 +120,22 @@ def cluster(items: DataFrame) -> DataFrame:
     return rows.join(of, "item_id").groupBy("group").applyInPandas(lambda p: assign(p), f"item_id {kind}, cluster_id {kind}, decision string")
 
 
+def candidates_by_identifier(asked: DataFrame, items: DataFrame, members: DataFrame, clusters: DataFrame, most: int = 10) -> DataFrame:
+    """(item_id, cluster_id, rn): open clusters with an item of the same arXiv id or DOI as each asked one, newest first.
+
+    Two joins on one identifier each, so neither is a join on "either".
+    """
+    held = items.select(F.col("id").alias("m"), "arxiv_id", "doi").join(members.select(F.col("item_id").alias("m"), "cluster_id"), "m")
+    pairs = None
+    for c in ("arxiv_id", "doi"):
+        one = asked.where(F.col(c).isNotNull()).select(F.col("id").alias("item_id"), c).join(held.select(c, "cluster_id"), c).select("item_id", "cluster_id")
+        pairs = one if pairs is None else pairs.union(one)
+    open_ = clusters.where(F.col("status").isin("active", "pending")).select(F.col("id").alias("cluster_id"), "updated_at")
+    met = pairs.distinct().join(open_, "cluster_id")
+    order = Window.partitionBy("item_id").orderBy(F.col("updated_at").desc(), "cluster_id")
+    return met.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most).select("item_id", "cluster_id", "rn")
+
+
 def assign_to_stories(clusters: DataFrame, members: DataFrame, items: DataFrame) -> DataFrame:
     """(item_id, cluster_id, decision) of items that no cluster holds: to open clusters (id, canonical_title, updated_at, status), else to new ones.
 

@@ -7,8 +7,8 @@ import json
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.functions import times
-from tessera.operators import editorial, merge, notify
+from tessera.functions import text, times
+from tessera.operators import clustering, editorial, merge, notify, tagging, worklists
 from tessera.plans.catalog import query
 from tessera.sources.tables import Relations
 
@@ -308,3 +308,56 @@ def clusters_patched(t: Relations) -> DataFrame:
     """Setting the takeaway to null clears the explanation that rests on it; columns not named stay."""
     out = merge.patch(t["clusters"], F.col("id") % 9 == 1, {"takeaway": None, "canonical_title": "edited"}, {"takeaway": ["summary_intuition"]})
     return out.select("id", "takeaway", "summary_intuition", "canonical_title")
+
+
+@query("""
+    WITH x AS (SELECT doc_id AS id, CASE WHEN doc_id % 3 = 0 THEN CAST(doc_id % 50 AS string) END AS arxiv_id, CASE WHEN doc_id % 4 = 0 THEN CAST(doc_id % 40 AS string) END AS doi FROM documents),
+    m AS (SELECT x.id, arxiv_id, doi, o.id AS cluster_id, updated_at FROM x JOIN clusters o ON o.id = x.id WHERE status IN ('active', 'pending')),
+    p AS (SELECT a.id AS item_id, m.cluster_id, updated_at FROM x a JOIN m ON a.arxiv_id = m.arxiv_id UNION SELECT a.id, m.cluster_id, updated_at FROM x a JOIN m ON a.doi = m.doi)
+    SELECT item_id, cluster_id, rn FROM (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY updated_at DESC, cluster_id) AS rn FROM p) WHERE rn <= 10""")
+def identifier_candidates(t: Relations) -> DataFrame:
+    d = F.col("doc_id")
+    items = t["documents"].select(d.alias("id"), F.when(d % 3 == 0, (d % 50).cast("string")).alias("arxiv_id"), F.when(d % 4 == 0, (d % 40).cast("string")).alias("doi"))
+    members = items.select(F.col("id").alias("item_id"), F.col("id").alias("cluster_id"))
+    return clustering.candidates_by_identifier(items, items, members, t["clusters"])
+
+
+
+@query("""
+    WITH s AS (SELECT id AS cluster_id, unnest([id % 25, (id + 1) % 25, (id + 2) % 25]) AS n, unnest([0.9E0, 0.8E0, 0.7E0]) AS score FROM clusters),
+    k AS (SELECT cluster_id, t.id AS topic_id, score FROM s JOIN topics t ON t.name = concat('NATION_', n))
+    SELECT cluster_id, topic_id, score FROM (SELECT *, row_number() OVER (PARTITION BY cluster_id ORDER BY score DESC, topic_id) AS rn FROM k) WHERE rn <= 3""")
+def topics_by_model(t: Relations) -> DataFrame:
+    """The model answers with three subtopics, in lower case and with spaces."""
+    n = F.element_at(F.split("search_text", " "), -1).cast("long")
+    part = lambda k, s: F.concat(F.lit('{"name":" nation_'), ((n + k) % 25).cast("string"), F.lit(f'","score":{s}}}'))
+    answer = F.concat(F.lit('{"topics":['), F.concat_ws(",", part(0, 0.9), part(1, 0.8), part(2, 0.7)), F.lit("]}"))
+    texts = t["clusters"].select(F.col("id").alias("cluster_id"), F.col("canonical_title").alias("search_text"))
+    return tagging.by_model(texts, t["topics"], lambda prompt: answer)
+
+
+@query("""
+    WITH d AS (SELECT id AS cluster_id, canonical_title FROM clusters), o AS (SELECT c.id FROM clusters c WHERE status IN ('active', 'pending')),
+    w AS (SELECT cluster_id, unnest(regexp_split_to_array(lower(canonical_title), '[^a-z0-9]+')) AS word FROM d JOIN o ON o.id = d.cluster_id),
+    m AS (SELECT cluster_id, CASE word WHEN 'urgent' THEN 101 WHEN 'low' THEN 102 END AS topic_id, least(1.0, 0.5 + 0.1 * count(*)) AS score FROM w WHERE word IN ('urgent', 'low') GROUP BY ALL),
+    k AS (SELECT * FROM ({ASSIGNED}) a WHERE locked OR (source <> 'auto' AND cluster_id NOT IN (SELECT id FROM o)))
+    SELECT coalesce(k.cluster_id, m.cluster_id) AS cluster_id, coalesce(k.topic_id, m.topic_id) AS topic_id, CASE WHEN m.cluster_id IS NOT NULL AND NOT coalesce(k.locked, false) THEN m.score ELSE k.score END AS score,
+           CASE WHEN m.cluster_id IS NOT NULL AND NOT coalesce(k.locked, false) THEN 'auto' ELSE k.source END AS source, coalesce(k.locked, false) AS locked
+    FROM k FULL JOIN m ON k.cluster_id = m.cluster_id AND k.topic_id = m.topic_id""".replace("{ASSIGNED}", ASSIGNED))
+def topics_backfilled(t: Relations) -> DataFrame:
+    docs = t["clusters"].select(F.col("id").alias("cluster_id"), F.col("canonical_title").alias("search_text"))
+    aliases = t.spark.createDataFrame([(101, "urgent"), (102, "LOW")], "id int, alias string")
+    return tagging.backfilled(t["clusters"], docs, of(t, ASSIGNED), aliases, 10_000_000)["cluster_topics"]
+
+
+@query("""SELECT id, CASE WHEN id % 2 = 0 THEN concat('new ', name) ELSE name END AS name, source_type FROM sources""")
+def sources_patched(t: Relations) -> DataFrame:
+    """Columns that a patch leaves null stay."""
+    patches = t["sources"].select("id", F.when(F.col("id") % 2 == 0, F.concat(F.lit("new "), "name")).alias("name"), F.lit(None).cast("string").alias("source_type"))
+    return tagging.described(t["sources"], patches).select("id", "name", "source_type")
+
+
+@query("""SELECT doc_id, coalesce(length(trim(text)) >= 100, false) AS enough FROM documents""")
+def texts_sufficient(t: Relations) -> DataFrame:
+    return t["documents"].select("doc_id", F.coalesce(worklists.sufficient(F.col("text")), F.lit(False)).alias("enough"))
+

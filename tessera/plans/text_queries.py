@@ -79,18 +79,31 @@ N = lambda p, x="text": f"len(regexp_extract_all({x}, '{p}'))"
 HITS = " + ".join(f"contains(lower(text), '{w}')::int" for w in text.SECTIONS)
 
 
-@query(rf"""
+QUALITY = rf"""
     WITH x AS (SELECT doc_id, text, lower(text) AS lo, list_filter(list_transform(string_split(text, chr(10)), lambda l: trim(l)), lambda l: l <> '') AS ls, {N("[^\\t\\n\\v\\f\\r ]+")} AS nw FROM documents),
     y AS (SELECT *, greatest(1, len(ls)) AS nl, list_position(list_transform(ls[1:260], lambda l: lower(l)), 'abstract') - 1 AS head FROM x)
     SELECT doc_id, round(CAST(CASE WHEN coalesce(text, '') = '' THEN 0.0 ELSE greatest(0.0, least(1.0, least(length(text) / 18000.0, 1.0) * 0.35 + least(nw / 2200.0, 1.0) * 0.35 + least(({HITS}) / 5.0, 1.0) * 0.30
         - least(({N("figure", "lo")} + {N("fig\\.", "lo")} + {N("table", "lo")}) / 120.0, 0.20) - least(len(list_filter(ls, lambda l: length(l) <= 2)) / nl * 1.8, 0.22)
         - least(len(list_filter(regexp_extract_all(text, '[\pL\pN_]+'), lambda w: regexp_full_match(w, '[A-Za-z]{{20,}}'))) / greatest(1, nw) * 8.0, 0.22) - least({N("[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]")} / 40.0, 0.18)
         - least(len(list_filter(ls, lambda l: length(l) - length(replace(l, '|', '')) >= 2)) / nl * 1.5, 0.15) - least({N("Table \\(PDF p\\.")} / 20.0, 0.10)
-        - CASE WHEN head > 10 AND len(list_filter(ls[1:head], lambda l: regexp_matches(l, '(?i)\b(department|university|institute|center|centre|observatory|fellow|preprint)\b|@|^\[?\d+\]?\s'))) >= 4 THEN 0.12 ELSE 0.0 END)) END AS double) + 1e-8, 5) AS score FROM y""")
+        - CASE WHEN head > 10 AND len(list_filter(ls[1:head], lambda l: regexp_matches(l, '(?i)\b(department|university|institute|center|centre|observatory|fellow|preprint)\b|@|^\[?\d+\]?\s'))) >= 4 THEN 0.12 ELSE 0.0 END)) END AS double) + 1e-8, 5) AS score FROM y"""
+#: Texts of which half have section names added.
+SECTIONED = "(SELECT doc_id, CASE WHEN doc_id % 2 = 0 THEN concat(text, ' introduction methods results discussion references') ELSE text END AS text FROM documents)"
+
+
+@query(QUALITY)
 def fulltext_quality(t: Relations) -> DataFrame:
     return t["documents"].select("doc_id", F.round(text.fulltext_score(F.col("text")) + 1e-8, 5).alias("score"))
 
 
+@query(f"""
+    WITH s AS ({QUALITY.replace("FROM documents", f"FROM {SECTIONED} d")})
+    SELECT s.doc_id, coalesce(score >= 0.4 AND length(text) >= 2500 AND {N("[^\\t\\n\\v\\f\\r ]+")} >= 400 AND {" + ".join(f"contains(lower(text), '{w}')::int" for w in text.GATE_SECTIONS)} >= 2, false) AS ok FROM s JOIN {SECTIONED} d ON d.doc_id = s.doc_id""")
+def fulltext_gate(t: Relations) -> DataFrame:
+    body = F.when(F.col("doc_id") % 2 == 0, F.concat("text", F.lit(" introduction methods results discussion references"))).otherwise(F.col("text"))
+    return t["documents"].select("doc_id", text.fulltext_ok(body).alias("ok"))
+
+
 @query(why="an HTML parser; tests hold it against expected texts")
 def html_texts(t: Relations) -> DataFrame:
     return t["pages"].select("page_id", html.html_page("html", "url").alias("p")).select("page_id", "p.text", "p.image_url")

@@ -107,3 +107,38 @@ def test_explainers(spark):
 def test_in_focus_has_at_least_one(spark):
     c = spark.createDataFrame([(k, "active", float(k), datetime(2024, 1, 1)) for k in range(5)], "id long, status string, impact_score double, updated_at timestamp")
     assert [r.id for r in metrics.in_focus(c).where("in_focus_label").collect()] == [4]
+
+
+def test_source_archives(spark):
+    import gzip
+    import io
+    import tarfile
+
+    from pyspark.sql import functions as F
+    from tessera.functions import payloads
+
+    out = io.BytesIO()
+    with tarfile.open(fileobj=out, mode="w:gz") as archive:
+        for name, body in (("short.tex", b"x"), ("main.tex", b"\\section{Introduction}"), ("fig.png", b"0" * 99)):
+            info = tarfile.TarInfo(name)
+            info.size = len(body)
+            archive.addfile(info, io.BytesIO(body))
+    rows = [(1, out.getvalue()), (2, gzip.compress(b"alone")), (3, b"no archive"), (4, None)]
+    found = {r.k: r.t for r in spark.createDataFrame(rows, "k int, c binary").select("k", payloads.archived_tex(F.col("c")).alias("t")).collect()}
+    assert found == {1: "\\section{Introduction}", 2: "alone", 3: None, 4: None}
+
+
+def test_tagging_upkeep(spark):
+    from pyspark.sql import functions as F
+    from tessera.operators import tagging
+
+    clusters = spark.createDataFrame([(1, "Lasers", "active"), (2, "untitled", "active"), (3, "Tagged", "active")], "id long, canonical_title string, status string").withColumn("updated_at", F.lit("2024-01-01").cast("timestamp"))
+    items = spark.createDataFrame([("a", "a long title about lasers and light")], "id string, title string").withColumn("published_at", F.lit("2024-01-01").cast("timestamp")).withColumn("fetched_at", F.col("published_at"))
+    members = spark.createDataFrame([(1, "a", 1)], "cluster_id long, item_id string, source_id long")
+    docs = spark.createDataFrame([(3, "long enough to stay as it is, surely")], "cluster_id long, search_text string").withColumn("updated_at", F.lit("2024-01-01").cast("timestamp"))
+    topics = spark.createDataFrame([(3, 9, 1.0, "editor", True)], "cluster_id long, topic_id long, score double, source string, locked boolean")
+    out = tagging.maintained(clusters, members, items, docs, topics, spark.createDataFrame([(7, "lasers")], "id long, alias string"), F.lit("2024-02-01").cast("timestamp"), least=20)
+    assert {(r.cluster_id, r.topic_id) for r in out["cluster_topics"].collect()} == {(3, 9), (1, 7)}
+    assert {r.id: r.status for r in out["clusters"].collect()} == {1: "active", 2: "quarantined", 3: "active"}
+    assert {r.cluster_id: r.reason for r in out["reasons"].collect()} == {2: "placeholder_title"}
+    assert {r.cluster_id for r in out["docs"].collect()} == {1, 3}
