@@ -49,11 +49,6 @@ def open_access(answer: Column) -> Column:
     return F.when(parsed["is_oa"], F.array_distinct(F.filter(flat, lambda x: x["url"].isNotNull() & (x["url"] != "")))).otherwise(F.array().cast("array<struct<url:string,kind:string>>"))
 
 
-def text_kind(text: Column, kind: Column, source: Column) -> Column:
-    """missing, fulltext or abstract."""
-    return F.when(F.coalesce(F.trim(text), F.lit("")) == "", "missing").when(F.coalesce(kind, F.lit("")) != "", kind).when(source.like("%abstract%"), "abstract").otherwise("fulltext")
-
-
 def run_totals(stored: DataFrame, batch: DataFrame, key: str) -> DataFrame:
     """One row: rows seen, keys inserted, keys updated."""
     keys = batch.groupBy(key).agg(F.count("*").alias("n"))

@@ -6,7 +6,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import payloads, scores, text, times
-from tessera.operators import feeds, governance, graph, impact, ingest, metrics, ops, topics, worklists
+from tessera.operators import enrichment, feeds, governance, graph, impact, ingest, metrics, ops, topics, worklists
 from tessera.plans.catalog import query
 from tessera.sources.tables import Relations
 
@@ -54,7 +54,7 @@ def open_access_places(t: Relations) -> DataFrame:
 @query("""SELECT doc_id, CASE WHEN trim(coalesce(CASE WHEN doc_id % 5 <> 0 THEN text END, '')) = '' THEN 'missing' WHEN doc_id % 3 = 0 THEN 'abstract' WHEN doc_id % 2 = 0 THEN 'abstract' ELSE 'fulltext' END AS kind FROM documents""")
 def paper_text_kind(t: Relations) -> DataFrame:
     d = F.col("doc_id")
-    return t["documents"].select("doc_id", ingest.text_kind(F.when(d % 5 != 0, F.col("text")), F.when(d % 3 == 0, "abstract"), F.when(d % 2 == 0, "arxiv_abstract").otherwise("pdf")).alias("kind"))
+    return t["documents"].select("doc_id", enrichment.paper_kind(F.when(d % 5 != 0, F.col("text")), F.when(d % 3 == 0, " Abstract"), F.when(d % 2 == 0, F.when(d % 4 == 0, "arxiv_api").otherwise("unheard of")).otherwise("arxiv_pdf")).alias("kind"))
 
 
 @query("""

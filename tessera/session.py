@@ -28,11 +28,14 @@ def importable(spark: SparkSession) -> None:
 
 
 def checkpoint_folder(spark: SparkSession) -> None:
-    """Give checkpoints a folder where the session names none."""
+    """Give checkpoints a folder where the session names none; outside local mode that is an error, as executors wouldn't share it."""
     if spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
         if not spark.sparkContext._jsc.sc().getCheckpointDir().isDefined():
             spark.sparkContext.setCheckpointDir(spark.conf.get("spark.checkpoint.dir"))
         return
+    master = spark.sparkContext.master
+    if not master.startswith("local") or master.startswith("local-cluster"):
+        raise RuntimeError("set spark.checkpoint.dir to a folder that driver and executors share")
     import tempfile
 
     spark.sparkContext.setCheckpointDir(f"file://{tempfile.mkdtemp(prefix='tessera-')}")

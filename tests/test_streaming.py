@@ -66,6 +66,16 @@ def test_windows(spark, tmp_path):
     assert spark.sql("SELECT sum(n), count_if(over) FROM rate").first() == (12, 4)
 
 
+def test_state_expires(spark, tmp_path):
+    """A key seen again after its window counts anew; windows are final once the watermark has passed."""
+    day = datetime(2024, 1, 1)
+    rows = [("a", day), ("a", day + timedelta(minutes=5)), ("a", day + timedelta(hours=2)), ("b", day + timedelta(hours=5))]
+    spark.createDataFrame(rows, "key string, ts timestamp").coalesce(1).write.parquet(f"{tmp_path}/e")
+    stream = spark.readStream.schema("key string, ts timestamp").parquet(f"{tmp_path}/e")
+    ingest.expire(stream, "ts", "1 hour").writeStream.format("memory").queryName("seen").outputMode("append").option("checkpointLocation", f"{tmp_path}/c").trigger(availableNow=True).start().awaitTermination()
+    assert {(r.key, r.window_start.hour, r.n) for r in spark.table("seen").collect()} == {("a", 0, 2), ("a", 2, 1)}
+
+
 def test_feed_entries(spark, tmp_path):
     (tmp_path / "f.xml").write_text(
         '<rss><channel><item><title>AI  model improves</title><link>https://example.com/story?utm_source=test</link><description><![CDATA[<p>See arXiv 2401.01234 &amp; more</p>]]></description><pubDate>Mon, 1 Jan 2024 10:00:00 +0000</pubDate></item></channel></rss>'
