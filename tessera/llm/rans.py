@@ -42,7 +42,7 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.llm.common import drop_written, id_and_text, importable, in_chunks, text_chunks, written
+from tessera.llm.common import drop_written, give_back, id_and_text, importable, in_chunks, text_chunks, written
 
 SCALE = 20
 LOW = 1 << 31
@@ -399,7 +399,7 @@ def stage(df: DataFrame, tokenizer: str, id_col: str, text_col: str, kept: int,
                 found = [packed(ids[e - n : e], width) for e, n in zip(ends.tolist(), sizes.tolist(), strict=True)]
                 yield pa.RecordBatch.from_arrays([pa.array(where, pa.int32()), places, pa.array(names, pa.int64()), pa.array(sizes), pa.array(found, pa.binary()), pa.nulls(len(names), pa.binary())], schema=schema)
         words.forget()  # between tasks only words that recur stay in memory
-        pa.default_memory_pool().release_unused()
+        give_back()
         own = TaskContext.get().partitionId() % (len(bounds) + 1)
         yield pa.RecordBatch.from_arrays([pa.array([own], pa.int32()), pa.nulls(1, pa.int64()), pa.nulls(1, pa.int64()), pa.array([0]), pa.nulls(1, pa.binary()), pa.array([packed(total.view("<u4"), 4)], pa.binary())], schema=schema)
 
@@ -471,6 +471,7 @@ def write(df: DataFrame, path: str, tokenizer: str, id_col: str = "doc_id", text
                         found.append((parts[lo], start, n_docs, *rest))
                         start += rest[2]
                     yield pa.RecordBatch.from_pylist([dict(zip(names, x, strict=True)) for x in found], arrow_schema(BLOCKS))
+        give_back()
 
     staged.where("ids IS NOT NULL").select("part", "doc_id", "n", "ids", "start").mapInArrow(rows, BLOCKS).write.parquet(f"{path}/blocks")
     drop_written(staged)
@@ -496,6 +497,7 @@ def read(spark: SparkSession, path: str) -> DataFrame:
                     sums += [zlib.crc32(raw[4 * (e - n) : 4 * e]) for e, n in zip(ends.tolist(), lengths.tolist(), strict=True)]
                     parts += [r["part"]] * len(names)
                 yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(parts, pa.int32()), pa.array(np.concatenate(starts)), pa.array(np.concatenate(counts)), pa.array(sums, pa.int64())], [x.split()[0] for x in DECODED.split(", ")])
+        give_back()
 
     # one row a part of the file, so the window and the broadcast are as small as the list of files
     parts = blocks.groupBy("part").agg(F.sum("n_tokens").alias("n"))

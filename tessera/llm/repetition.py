@@ -22,7 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 
-from tessera.llm.common import SPACES, as_bytes, id_and_text, importable, in_chunks, text_chunks
+from tessera.llm.common import as_bytes, give_back, id_and_text, importable, in_chunks, SPACES, text_chunks
 
 CHUNK_BYTES = 1_500_000
 SYMBOLS = b"#*$%&|<>"
@@ -189,5 +189,6 @@ def keep_documents(df: DataFrame, text_col: str = "text", max_covered: float = M
         for b in batches:
             chunks = text_chunks(b.column(at), as_bytes(b.column(at)), CHUNK_BYTES)
             yield b.filter(pa.array([x[6] for _, texts in chunks for x in measure(texts, max_covered, max_longest)], pa.bool_()))
+        give_back()
 
     return df.mapInArrow(rows, df.schema)

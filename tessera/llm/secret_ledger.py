@@ -25,7 +25,7 @@ from pyspark.sql import functions as F
 
 from tessera.llm.common import drop_written, written
 
-BROADCAST_DUE = 100_000
+BROADCAST_DUE = 1_000
 LEDGER = "blob string, scanned array<string>, found array<struct<kind:string,start:int,end:int>>"
 
 

@@ -29,7 +29,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from xxhash import xxh64_intdigest
 
-from tessera.llm.common import id_and_text, written
+from tessera.llm.common import give_back, id_and_text, written
 from tessera.llm.components import connected
 
 SHINGLE = 3
@@ -73,6 +73,7 @@ def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text",
         for b in batches:
             found = np.fromiter((fingerprint(x.as_py(), shingle) for x in b.column(1)), np.uint64, b.num_rows)
             yield pa.RecordBatch.from_arrays([b.column(0).cast(pa.int64()), pa.array(found.view(np.int64))], ["doc_id", "fp"])
+        give_back()
 
     return id_and_text(df, id_col, text_col).mapInArrow(rows, "doc_id long, fp long")
 
