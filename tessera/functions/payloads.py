@@ -74,12 +74,14 @@ def _longest_tex(content: bytes | None) -> str | None:
     import io
     import tarfile
 
+    if not content:
+        return None
     try:
-        with tarfile.open(fileobj=io.BytesIO(content or b""), mode="r:*") as archive:
+        with tarfile.open(fileobj=io.BytesIO(content), mode="r:*") as archive:
             found = [archive.extractfile(m).read() for m in archive.getmembers() if m.isfile() and m.name.lower().endswith(".tex")]
     except tarfile.TarError:
         try:
-            found = [gzip.decompress(content or b"")]
+            found = [gzip.decompress(content)]
         except OSError:
             found = []
     return max(found, key=len).decode("utf-8", "replace") if found else None

@@ -88,14 +88,14 @@ def cascade(items: DataFrame, candidates: DataFrame, quality: Column) -> DataFra
     """(item_id, text, status, source, kind, license): of each item's candidate texts the first of the earliest step.
 
     candidates: item_id, source, place (order within a source), text, license, and status of a landing page without text. Texts of the
-    first step compete by quality and bonus. An aggregate, so candidates combine before they are shuffled.
+    first step compete by quality and bonus, the one listed first wins a tie. An aggregate, so candidates combine before they are shuffled.
     """
     step = looked_up({k: v[0] for k, v in CASCADE.items()}, F.col("source"))
     score = F.when(step == 1, F.round(quality + F.coalesce(looked_up(BONUS, F.col("source")), F.lit(0.0)), 6)).otherwise(0.0)
-    found = candidates.withColumn("__step", step).withColumn("__score", score)
+    found = candidates.withColumn("__order", looked_up({k: n for n, k in enumerate(CASCADE)}, F.col("source"))).withColumn("__step", step).withColumn("__score", score)
     best = F.struct(F.col("text"), F.col("source"), F.when(F.col("__step") <= 2, "arxiv").otherwise(F.col("license")).alias("license"))
     chosen = found.groupBy("item_id").agg(
-        F.min_by(F.when(~blank(F.col("text")), best), F.when(~blank(F.col("text")), F.struct("__step", -F.col("__score"), "place"))).alias("best"),
+        F.min_by(F.when(~blank(F.col("text")), best), F.when(~blank(F.col("text")), F.struct("__step", -F.col("__score"), "__order", "place"))).alias("best"),
         F.max(F.when((F.col("source") == "landing_page") & blank(F.col("text")), F.coalesce("status", F.lit("not_found")))).alias("landed"),
     )
     met = items.select("item_id").join(chosen, "item_id", "left")

@@ -198,12 +198,12 @@ def embeddings_changed(r: Relations) -> DataFrame:
 
 
 @query("""
-    WITH c AS (SELECT user_id AS target, event_id AS place, event_type <> 'error' AS connected, round(value / 1000, 4) AS confidence FROM events),
+    WITH c AS (SELECT user_id AS target, event_id AS place, event_type <> 'error' AS connected, value AS confidence FROM events),
     f AS (SELECT *, row_number() OVER (PARTITION BY target ORDER BY place) AS rn FROM c WHERE connected)
     SELECT target, place, confidence, row_number() OVER (PARTITION BY target ORDER BY confidence DESC, place) AS rank FROM f WHERE rn <= 5
 """)
 def lineage_connections(r: Relations) -> DataFrame:
-    found = r["events"].select(F.col("user_id").alias("target"), F.col("event_id").alias("place"), (F.col("event_type") != "error").alias("connected"), F.round(F.col("value") / 1000, 4).alias("confidence"))
+    found = r["events"].select(F.col("user_id").alias("target"), F.col("event_id").alias("place"), (F.col("event_type") != "error").alias("connected"), F.col("value").alias("confidence"))
     return enrichment.connections(found).select("target", "place", "confidence", "rank")
 
 

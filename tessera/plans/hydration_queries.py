@@ -85,7 +85,7 @@ def places_in_order(r: Relations) -> DataFrame:
     WITH steps AS (
       SELECT *, CASE source WHEN 'arxiv_api' THEN 2 WHEN 'openalex_landing' THEN 6 WHEN 'crossref' THEN 9 WHEN 'landing_page' THEN 11 ELSE 1 END AS step,
              CASE source WHEN 'arxiv_html' THEN round(quality + 0.12, 6) WHEN 'arxiv_pdf' THEN round(quality + 0.08, 6) WHEN 'arxiv_eprint' THEN round(quality + 0.18, 6) ELSE 0 END AS score FROM tries),
-    best AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY step, score DESC, place) AS rn FROM steps WHERE trim(coalesce(text, '')) <> ''),
+    best AS (SELECT *, row_number() OVER (PARTITION BY item_id ORDER BY step, score DESC, CASE source WHEN 'arxiv_html' THEN 0 WHEN 'arxiv_pdf' THEN 1 ELSE 2 END, place) AS rn FROM steps WHERE trim(coalesce(text, '')) <> ''),
     landed AS (SELECT item_id, coalesce(status, 'not_found') AS status FROM tries WHERE source = 'landing_page' AND trim(coalesce(text, '')) = '')
     SELECT d.doc_id AS item_id, b.text AS text, CASE WHEN b.item_id IS NOT NULL THEN 'ok' ELSE coalesce(l.status, 'not_found') END AS status,
            coalesce(b.source, CASE WHEN l.item_id IS NOT NULL THEN 'landing_page' END) AS source,
