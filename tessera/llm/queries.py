@@ -7,17 +7,18 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tessera.llm import decontam, lm, mixing, pii, quotes, rans, repetition, secret_ledger, simhash, toxicity
+from tessera.llm import decontam, divergence, lm, mixing, pieces, pii, quotes, rans, repetition, resampling, secret_ledger, simhash, toxicity
 from tessera.llm.common import scratch
 
 TOKENIZER = "word_bpe_49k.json"
+PIECES = "piece_bpe_32k.model"
 
 
-def tokenizer_path() -> str:
+def tokenizer_path(name: str = TOKENIZER) -> str:
     """Where the public tokenizer's file lies on this machine."""
     import public_tokenizers
 
-    return public_tokenizers.path(TOKENIZER)
+    return public_tokenizers.path(name)
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -73,6 +74,21 @@ def op10_rans_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rans.read(spark, path)
 
 
+def op11_bucket_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resampling.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_source_divergence(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return divergence.audit(table(spark, sf_dir, "documents"))
+
+
+def op13_piece_codec(spark: SparkSession, sf_dir: str) -> DataFrame:
+    model = tokenizer_path(PIECES)
+    found = pieces.decode(pieces.encode(table(spark, sf_dir, "documents"), model), model)
+    listed = F.array_join(F.col("ids").cast("array<string>"), ",")
+    return found.select("doc_id", F.size("ids").cast("long").alias("n_tokens"), F.sha2(listed, 256).alias("ids_sha256"), F.sha2("text", 256).alias("decoded_sha256"))
+
+
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_gated_lm": op1_gated_lm,
     "op2_semicrf_pii": op2_semicrf_pii,
@@ -84,6 +100,9 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_source_mix": op8_source_mix,
     "op9_classifier_chain": op9_classifier_chain,
     "op10_rans_tokens": op10_rans_tokens,
+    "op11_bucket_resampling": op11_bucket_resampling,
+    "op12_source_divergence": op12_source_divergence,
+    "op13_piece_codec": op13_piece_codec,
 }
 
-ORACLES: dict[str, str] = {}
+ORACLES: dict[str, str] = {"op12_source_divergence": divergence.ORACLE}
