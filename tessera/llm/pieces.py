@@ -28,6 +28,7 @@ from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 
 from tessera.llm.common import give_back, id_and_text, importable, text_chunks
@@ -35,26 +36,32 @@ from tessera.llm.common import give_back, id_and_text, importable, text_chunks
 SPACE = "▁"
 CHUNK_BYTES = 2_000_000
 CHUNK_IDS = 1_000_000
-WORDS_KEPT = 300_000
+WORDS_KEPT = 500_000
 LONGEST = 4096
 NONE = np.iinfo(np.int32).max
+APART = -2
+POINTS = 0x110000
 
 codecs.register_error("each_byte", lambda e: ("�" * (e.end - e.start), e.end))
 
 
 @dataclass
 class Pieces:
-    """The tables of a model. Symbols are ids of pieces, then the characters that occur in pieces but are none; -1 is any other character."""
+    """The tables of a model. Symbols are ids of pieces, then the characters that occur in pieces but are none; -1 is any other character.
+
+    ``number`` numbers the characters of pieces of two or more (0: any other), ``meet`` has for two such numbers the piece that they make, -1
+    where they only stand side by side in longer pieces, APART where they do in none.
+    """
 
-    chars: np.ndarray
     char_symbols: np.ndarray
+    number: np.ndarray
+    meet: np.ndarray
     pairs: np.ndarray
     made: np.ndarray
     ranks: np.ndarray
-    touching: np.ndarray
     byte_ids: np.ndarray
     spelled: list[bytes | None]
-    spaced: set[int]
+    spaced: np.ndarray
     words: re.Pattern
     lines: bool
     kept: dict[str, bytes] = field(default_factory=dict)
@@ -81,14 +88,22 @@ class Pieces:
         symbol = dict(normal)
         for c in sorted({c for p in normal for c in p}):
             symbol.setdefault(c, size + len(symbol) - len(normal))
-        chars = sorted(c for c in symbol if len(c) == 1)
         # dense ranks: the highest score first
         order = np.unique([-model.pieces[k].score for k in normal.values()])
         splits = sorted((symbol[p[:i]] << 32 | symbol[p[i:]], k) for p, k in normal.items() for i in range(1, len(p)) if p[:i] in symbol and p[i:] in symbol)
         ranks = np.full(size, NONE, np.int32)
         for k in normal.values():
             ranks[k] = np.searchsorted(order, -model.pieces[k].score)
-        touching = np.unique([ord(p[i - 1]) << 32 | ord(p[i]) for p in normal for i in range(1, len(p))])
+        char_symbols, number = np.full(POINTS, -1, np.int32), np.zeros(POINTS, np.int32)
+        for c, k in symbol.items():
+            if len(c) == 1:
+                char_symbols[ord(c)] = k
+        joined = sorted({ord(c) for p in normal if len(p) > 1 for c in p})
+        number[joined] = np.arange(1, len(joined) + 1)
+        meet = np.full((len(joined) + 1, len(joined) + 1), APART, np.int32)
+        for p in normal:
+            for a, b in zip(p, p[1:], strict=False):
+                meet[number[ord(a)], number[ord(b)]] = normal.get(a + b, -1)
         crossed = any(SPACE in p.lstrip(SPACE) for p in normal)
         # no piece holds a line's end in most models; lines are then cut apart before words are looked up
         stop = "" if any("\n" in p for p in normal) else "\n"
@@ -104,8 +119,8 @@ class Pieces:
             else:
                 spelled.append(None if p.type == kinds.CONTROL else p.piece.replace(SPACE, " ").encode())
         return Pieces(
-            np.array([ord(c) for c in chars], np.int64), np.array([symbol[c] for c in chars], np.int64), np.array([x for x, _ in splits], np.int64),
-            np.array([k for _, k in splits], np.int64), ranks, touching, byte_ids, spelled, {k for p, k in normal.items() if p.startswith(SPACE)}, words, not crossed and bool(stop),
+            char_symbols, number, meet, np.array([x for x, _ in splits], np.int64), np.array([k for _, k in splits], np.int64), ranks, byte_ids, spelled,
+            np.isin(np.arange(size), [k for p, k in normal.items() if p.startswith(SPACE)]), words, not crossed and bool(stop),
         )
 
     def pair(self, left: np.ndarray, right: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -118,13 +133,12 @@ class Pieces:
 
     def merge(self, points: np.ndarray, starts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Symbols left after all merges, and the place of each one's first character. points: characters of all words; starts: where words begin."""
-        at = np.minimum(np.searchsorted(self.chars, points), len(self.chars) - 1)
-        symbols = np.where(self.chars[at] == points, self.char_symbols[at], -1)
+        symbols, number = self.char_symbols[points].astype(np.int64), self.number[points]
         fresh = np.zeros(len(points), bool)
-        fresh[starts] = True
-        bigram = (points[:-1] << 32) | points[1:]
-        near = np.minimum(np.searchsorted(self.touching, bigram), len(self.touching) - 1)
-        fresh[1:] |= self.touching[near] != bigram
+        fresh[starts[starts < len(points)]] = True
+        made = np.full(len(points), -1)
+        made[:-1] = self.meet[number[:-1], number[1:]]
+        fresh[1:] |= made[:-1] == APART
         word, place = np.cumsum(fresh), np.arange(len(points))
         out = []
         sizes = np.diff(np.append(np.flatnonzero(fresh), len(points)))
@@ -133,10 +147,10 @@ class Pieces:
             for k in np.flatnonzero(sizes > LONGEST).tolist():
                 out.append(self.merge_long(symbols[first[k] : first[k] + sizes[k]], int(first[k])))
             short = np.repeat(sizes <= LONGEST, sizes)
-            symbols, word, place = symbols[short], word[short], place[short]
-        after = np.full(len(symbols), -1)
-        after[:-1][word[1:] == word[:-1]] = symbols[1:][word[1:] == word[:-1]]
-        made, rank = self.pair(symbols, after)
+            symbols, word, place, made = symbols[short], word[short], place[short], made[short]
+        rank = np.where(made >= 0, self.ranks[made], NONE)
+        rank[:-1][word[1:] != word[:-1]] = NONE
+        rank[-1:] = NONE
         while len(symbols):
             begins = np.flatnonzero(np.append(True, word[1:] != word[:-1]))
             sizes = np.diff(np.append(begins, len(word)))
@@ -228,11 +242,28 @@ class Pieces:
         blobs = [b"".join(map(self.kept.__getitem__, words)) for words in split]
         return np.frombuffer(b"".join(blobs), "<i4"), np.array([len(b) // 4 for b in blobs], np.int64)
 
-    def decode(self, ids: list[int | None]) -> str:
-        """The text of ids; control ids have none, and the first piece's leading space sign goes."""
-        first = next((i for i in ids if i is not None and self.spelled[i] is not None), None)
-        text = b"".join([self.spelled[i] or b"" for i in ids if i is not None])
-        return (text[1:] if first in self.spaced else text).decode("utf-8", "each_byte")
+    def decode(self, ids: np.ndarray, sizes: np.ndarray) -> list[bytes]:
+        """The texts, in UTF-8, of ids that lie one after another; control ids have no text, and a text's first piece loses its leading space."""
+        if len(ids) and not 0 <= ids.min() <= ids.max() < len(self.spelled):
+            raise IndexError("an id is out of range")
+        ends = np.cumsum(sizes)
+        parts = list(map(self.spelled.__getitem__, ids.tolist()))
+        control = np.array([x is None for x in self.spelled])[ids]
+        strange = np.append(0, np.cumsum(np.isin(ids, self.byte_ids[128:])))
+        out = []
+        for lo, hi in zip((ends - sizes).tolist(), ends.tolist(), strict=True):
+            own = parts[lo:hi]
+            if control[lo:hi].any():
+                shown = np.flatnonzero(~control[lo:hi])
+                own, first = [own[k] for k in shown.tolist()], ids[lo + shown[0]] if len(shown) else None
+            else:
+                first = ids[lo] if hi > lo else None
+            text = b"".join(own)
+            if first is not None and self.spaced[first]:
+                text = text[1:]
+            # only bytes of their own can be no UTF-8
+            out.append(text.decode("utf-8", "each_byte").encode() if strange[hi] > strange[lo] else text)
+        return out
 
 
 def encode(df: DataFrame, model: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -266,8 +297,11 @@ def decode(df: DataFrame, model: str, id_col: str = "doc_id", ids_col: str = "id
             step = max(1, b.num_rows * CHUNK_IDS // max(1, len(b.column(1).values)))
             for k in range(0, b.num_rows, step):
                 part = b.slice(k, step)
-                texts = [pieces.value.decode(x or []) for x in part.column(1).to_pylist()]
-                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.string())], ["doc_id", "ids", "text"])
+                ids, owner = part.column(1).flatten(), pc.list_parent_indices(part.column(1))
+                here = ids.is_valid().to_numpy(zero_copy_only=False)
+                sizes = np.bincount(owner.to_numpy()[here], minlength=part.num_rows)
+                texts = pieces.value.decode(ids.drop_null().to_numpy(), sizes)
+                yield pa.RecordBatch.from_arrays([*part.columns, pa.array(texts, pa.binary()).cast(pa.string())], ["doc_id", "ids", "text"])
         give_back()
 
     kind = source.schema["doc_id"].dataType.simpleString()
