@@ -24,7 +24,7 @@ def merge(target: DataFrame, source: DataFrame, keys: list[str], policy: dict[st
 
     Where both have a key, each column follows its policy: "overwrite" (default), "keep_first" (the target's value
     unless it is null), "overwrite_if_given" (the source's value unless it is null), "keep" (the target's), or
-    a function of (target, source). Keys of source are unique.
+    a function of (target, source), which may look at other columns of both as t.x and s.x. Keys of source are unique.
     """
     policy = policy or {}
     names = target.columns
@@ -65,12 +65,20 @@ def patch(target: DataFrame, where: Column, values: dict[str, object], clears: d
     return target.withColumns({c: F.when(where, F.lit(v).cast(types[c])).otherwise(F.col(c)) for c, v in todo.items()})
 
 
-#: How a feed item that is seen again changes the stored one.
+#: How a feed item that is seen again changes the stored one. An item stays with the source that showed it first; texts are fetched elsewhere.
 ITEM_POLICY: dict[str, Policy] = {
-    "title": "overwrite", "content_type": "overwrite", "fetched_at": "overwrite", "published_at": "keep_first", "arxiv_id": "keep_first", "image_url": "keep_first", "source_id": "overwrite",
+    "url": "overwrite", "canonical_url": "overwrite", "title": "overwrite", "title_hash": "overwrite", "content_type": "overwrite", "fetched_at": "overwrite",
+    "published_at": "keep_first", "author": "keep_first", "snippet": "keep_first", "arxiv_id": "keep_first", "doi": "keep_first", "image_url": "keep_first", "source_id": "keep", "full_text": "keep",
 }
+ITEM_ORDER = ("fetched_at", "source_id", "title")
+
+
+def item_policy(columns: list[str]) -> dict[str, Policy]:
+    """ITEM_POLICY, and the status of an item's text: "ok" where one is stored, else what is known of it, else "pending"."""
+    has_text = F.trim(F.coalesce("t.full_text", F.lit(""))) != "" if "full_text" in columns else F.lit(False)
+    return ITEM_POLICY | {"full_text_status": lambda old, new: F.when(has_text, "ok").otherwise(F.coalesce(old, new, F.lit("pending")))}
 
 
 def upsert_items(items: DataFrame, batch: DataFrame, key: str = "id") -> DataFrame:
-    """Feed items by key: the batch's last row of a key wins, then columns follow ITEM_POLICY."""
-    return merge(items, last_per_key(batch, [key], [F.col("fetched_at").desc(), F.col("source_id").desc(), F.col("title").desc()]), [key], ITEM_POLICY)
+    """Feed items by key: the batch's last row of a key wins, then columns follow ``item_policy``."""
+    return merge(items, last_per_key(batch, [key], [F.col(c).desc() for c in ITEM_ORDER]), [key], item_policy(items.columns))

@@ -7,7 +7,9 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from tessera.functions import english, scores, text
+from tessera.operators.clustering import kept
 from tessera.operators.feeds import newest
+from tessera.operators.inverted import InvertedIndex
 
 PART_VECTORS, BLOCK_QUERIES = 20_000, 2_000
 
@@ -80,9 +82,11 @@ def full_text(docs: DataFrame, key: str, query: str, nearness: bool = False) ->
     return hit.select(key, (english.rank_by_nearness if nearness else english.rank_by_covers)(F.col("__places")).alias("rank"))
 
 
-def staged(docs: DataFrame, clusters: DataFrame, items: DataFrame, members: DataFrame, query: str, most: int = 50, few: int = 5) -> DataFrame:
+def staged(docs: DataFrame, clusters: DataFrame, items: DataFrame, members: DataFrame, query: str, most: int = 50, few: int = 5, index: InvertedIndex | None = None) -> DataFrame:
     """(id, rank): active clusters for a query: by identifier where it is one, else by full text, else, where that finds few, by trigrams.
 
+    Full text is looked up in ``index`` where one is kept, else in the lexemes of docs. What it finds is written once, as small as it is.
+
     Which stage answers depends on how many rows the one before found, at most ``few`` of which are looked at.
     """
     q = query.strip()
@@ -95,22 +99,22 @@ def staged(docs: DataFrame, clusters: DataFrame, items: DataFrame, members: Data
         found = active.join(met, "id").select("id", F.lit(None).cast("double").alias("rank"), "updated_at").orderBy(*order).limit(most)
         if not found.isEmpty():
             return found.select("id", "rank")
-    ranked = full_text(docs, "cluster_id", q).withColumnRenamed("cluster_id", "id")
-    found = active.join(ranked, "id").orderBy(*order).limit(most)
-    if len(found.limit(few).take(few)) >= few or not q:
+    ranked = (index.search(q) if index else full_text(docs, "cluster_id", q)).withColumnRenamed("cluster_id", "id")
+    found = kept(active.join(ranked, "id").orderBy(*order).limit(most))
+    if found.count() >= few or not q:
         return found.select("id", "rank")
     near = docs.select(F.col("cluster_id").alias("id"), F.round(scores.jaccard(text.trigrams(F.col("search_text")), text.trigrams(F.lit(q))), 6).alias("rank")).where("rank >= 0.3")
     return active.join(near, "id").orderBy(*order).limit(most).select("id", "rank")
 
 
-def enhanced(docs: DataFrame, clusters: DataFrame, items: DataFrame, members: DataFrame, query: str, most: int = 20) -> dict[str, DataFrame]:
+def enhanced(docs: DataFrame, clusters: DataFrame, items: DataFrame, members: DataFrame, query: str, most: int = 20, index: InvertedIndex | None = None) -> dict[str, DataFrame]:
     """The first item that a query identifies (``hit``), and active clusters by nearness of its lexemes with their number of items (``clusters``)."""
     named, value = text.identifier_of(query)
     kind = {"arxiv": "arxiv_id", "doi": "doi", "pmid": "pmid"}.get(named or "")
     active = clusters.where("status = 'active'").select("id", "canonical_title", "updated_at")
     own = items.where(F.lower(kind) == value) if kind and kind in items.columns else items.limit(0)
     met = members.select("cluster_id", "item_id").join(own.select(F.col("id").alias("item_id"), F.col("title").alias("item_title")), "item_id").join(active.withColumnRenamed("id", "cluster_id"), "cluster_id")
-    ranked = full_text(docs, "cluster_id", query, nearness=True).withColumnRenamed("cluster_id", "id")
+    ranked = (index.search(query, nearness=True) if index else full_text(docs, "cluster_id", query, nearness=True)).withColumnRenamed("cluster_id", "id")
     first = active.join(ranked, "id").orderBy(F.col("rank").desc(), "id").limit(most)
     sized = members.select("cluster_id", "item_id").join(F.broadcast(first.select(F.col("id").alias("cluster_id"))), "cluster_id").join(items.where("source_id IS NOT NULL").select(F.col("id").alias("item_id")), "item_id")
     counts = sized.groupBy("cluster_id").agg(F.countDistinct("item_id").alias("n"))
