@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import scores
+from tessera.operators.percentiles import percentiles
 
 DEFAULT = 0.95
 LOOK_BACK = 180
@@ -19,16 +20,12 @@ def age_bucket(days: Column) -> Column:
 def thresholds(rows: DataFrame, score: str, topic: str, age: str, least: int = 100, q: float = 0.99, history: DataFrame | None = None) -> DataFrame:
     """rows with threshold and bucket: the percentile of (topic, age) where it has enough rows, else of age, else of all.
 
-    Percentiles are those of ``history`` where it is given (see ``looked_back``). They are aggregates over distinct values, of which scores
-    of six digits have a million at most.
+    Percentiles are those of ``history`` where it is given (see ``looked_back``). They are exact, and found when this is called (see ``percentiles``).
     """
-    asked, rows = rows, rows if history is None else history
-    cut = F.percentile(score, q)
-    fine = rows.groupBy(topic, age).agg(F.count("*").alias("__n1"), cut.alias("__q1"))
-    broad = rows.groupBy(age).agg(F.count("*").alias("__n2"), cut.alias("__q2"))
-    whole = rows.agg(F.count("*").alias("__n3"), cut.alias("__q3"))
-    # one row, so this is a broadcast of a constant
-    out = asked.join(fine, [topic, age], "left").join(broad, age, "left").crossJoin(F.broadcast(whole))
+    found = percentiles(rows if history is None else history, [[topic, age], [age], []], score, q)
+    of = lambda k, *keys: found.where(F.col("g.level") == k - 1).select(*[F.col(f"g.{c}").alias(c) for c in keys], F.col("n").alias(f"__n{k}"), F.col("q").alias(f"__q{k}"))
+    # of all: one row or none, so this is a broadcast of a constant
+    out = rows.join(of(1, topic, age), [topic, age], "left").join(of(2, age), age, "left").join(F.broadcast(of(3)), F.lit(True), "left")
     enough = [F.col("__n1") >= least, F.col("__n2") >= least, F.col("__n3") > 0]
     pick = lambda *x: F.when(enough[0], x[0]).when(enough[1], x[1]).when(enough[2], x[2]).otherwise(x[3])
     out = out.withColumn("threshold", pick(F.col("__q1"), F.col("__q2"), F.col("__q3"), F.lit(DEFAULT)))

@@ -52,7 +52,7 @@ class BucketedTable:
 
     def overwrite(self, df: DataFrame, where: str) -> None:
         # bucket is last, as partition columns are read
-        dealt = df.select(*self.stored.names).hint("rebalance", "bucket").sortWithinPartitions(*self.keys)
+        dealt = df.select(*self.stored.names).hint("rebalance", "bucket").sortWithinPartitions("bucket", *self.keys)
         dealt.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("bucket").parquet(where)
 
     def recover(self) -> bool:
