@@ -2,14 +2,19 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from tessera.functions import times
 from tessera.operators import governance, graph, merge, notify, ops, topics
+from tessera.operators.clustering import kept
 from tessera.plans.catalog import query
 from tessera.plans.cluster_queries import now
+from tessera.sources import folders
 from tessera.sources.tables import Relations
+from tessera.streaming.bucketed import BucketedTable, append_by_day, drop_days
 
 
 def stamp() -> Column:
@@ -17,15 +22,46 @@ def stamp() -> Column:
 
 
 
-@query("""
+UPSERTED = """
     WITH a AS (SELECT id, source_id, title, content_type, published_at, fetched_at, arxiv_id, image_url FROM items WHERE source_id % 2 = 0),
     b AS (SELECT id, source_id, title || ' (rev)' AS title, content_type, published_at, fetched_at, CAST(NULL AS varchar) AS arxiv_id, coalesce(image_url, 'https://img.example/none.png') AS image_url FROM items WHERE source_id % 3 = 0)
     SELECT coalesce(a.id, b.id) AS id, coalesce(b.title, a.title) AS title, coalesce(a.published_at, b.published_at) AS published_at, coalesce(a.arxiv_id, b.arxiv_id) AS arxiv_id, coalesce(a.image_url, b.image_url) AS image_url
-    FROM a FULL JOIN b ON a.id = b.id""")
-def items_upsert(t: Relations) -> DataFrame:
+    FROM a FULL JOIN b ON a.id = b.id"""
+
+
+def stored_and_batch(t: Relations) -> tuple[DataFrame, DataFrame]:
     stored = t["items"].where("source_id % 2 = 0")
     batch = t["items"].where("source_id % 3 = 0").withColumns({"title": F.concat("title", F.lit(" (rev)")), "arxiv_id": F.lit(None).cast("string"), "image_url": F.coalesce("image_url", F.lit("https://img.example/none.png"))})
-    return merge.upsert_items(stored, batch).select("id", "title", "published_at", "arxiv_id", "image_url")
+    return stored, batch
+
+
+@query(UPSERTED)
+def items_upsert(t: Relations) -> DataFrame:
+    return merge.upsert_items(*stored_and_batch(t)).select("id", "title", "published_at", "arxiv_id", "image_url")
+
+
+@query(UPSERTED)
+def items_upserted_in_buckets(t: Relations) -> DataFrame:
+    """The same over a table in key buckets; the first batch comes once more after the second and changes nothing."""
+    stored, batch = stored_and_batch(t)
+    where = folders.shared(t.spark, f"items-{uuid.uuid4().hex}")
+    table = BucketedTable(t.spark, where, stored.schema, ["id"], merge.item_policy(stored.columns), [F.col(c).desc() for c in merge.ITEM_ORDER], buckets=16)
+    for number, rows in ((0, stored), (1, batch), (0, stored)):
+        table.upsert(rows, "feeds", number)
+    found = kept(table.read().select("id", "title", "published_at", "arxiv_id", "image_url"))
+    folders.remove(t.spark, where)
+    return found
+
+
+@query("SELECT event_type, count(*) AS n, min(event_id) AS first_id FROM events WHERE CAST(ts AS date) >= DATE '2024-01-17' GROUP BY event_type")
+def events_kept_by_day(t: Relations) -> DataFrame:
+    """A log in partitions of days, from which whole days are dropped."""
+    where = folders.shared(t.spark, f"events-{uuid.uuid4().hex}")
+    append_by_day(t["events"], where, "ts")
+    drop_days(t.spark, where, "2024-01-17")
+    found = kept(t.spark.read.parquet(where).groupBy("event_type").agg(F.count("*").alias("n"), F.min("event_id").alias("first_id")))
+    folders.remove(t.spark, where)
+    return found
 
 
 @query("SELECT s.id, CASE WHEN s.id % 2 = 0 THEN s.name || ' Inc' ELSE s.name END AS name, CASE WHEN s.id % 2 = 0 THEN 'tier1' ELSE s.reliability_tier END AS reliability_tier, s.active FROM sources s UNION ALL SELECT 1000, 'new Inc', 'tier1', true")
