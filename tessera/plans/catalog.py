@@ -31,4 +31,4 @@ def query(oracle: str | None = None, why: str = "") -> Callable[[Callable[[Relat
 
 def load() -> None:
     """Import the modules that register queries."""
-    from tessera.plans import cluster_queries, editorial_queries, enrichment_queries, governance_queries, hydration_queries, more_queries, search_queries, text_queries  # noqa: F401
+    from tessera.plans import cluster_queries, editorial_queries, enrichment_queries, governance_queries, hydration_queries, more_queries, search_queries, story_queries, text_queries  # noqa: F401

@@ -94,6 +94,8 @@ VIEWS = {
         UNION ALL SELECT doc_id, 'openalex_landing', 1, split_part(text, chr(10), 1), 0.1E0, 'cc0', NULL FROM documents WHERE doc_id % 16 = 3
         UNION ALL SELECT doc_id, 'crossref', 1, '  ', 0.0E0, NULL, NULL FROM documents WHERE doc_id % 8 = 6
         UNION ALL SELECT doc_id, 'landing_page', 1, CASE WHEN doc_id % 3 = 0 THEN split_part(text, chr(10), 1) END, 0.0E0, NULL, CASE WHEN doc_id % 5 = 0 THEN 'paywalled' END FROM documents WHERE doc_id % 8 > 5""",
+    "glossary_terms": "SELECT n_nationkey AS id, n_name AS term FROM nation",
+    "glossary_links": "SELECT o_orderkey AS cluster_id, o_custkey % 25 AS term_id, (o_orderkey % 50) / 50.0E0 AS score FROM orders WHERE o_orderkey % 3 = 1 UNION ALL SELECT o_orderkey, (o_custkey + 7) % 25, (o_custkey % 50) / 50.0E0 FROM orders WHERE o_orderkey % 3 < 2",
     "redirects": "SELECT o_orderkey AS from_id, o_orderkey - 1 AS to_id FROM orders WHERE o_orderkey % 17 = 5",
 }
 
