@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import re
+from collections.abc import Iterable
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -129,10 +130,14 @@ def snippet(html: Column, most: int = 500) -> Column:
     return F.when(F.length(s) > most, F.concat(F.rtrim(F.left(s, F.lit(most - 1))), F.lit("…"))).otherwise(s)
 
 
-def title_tokens(title: Column) -> Column:
+def title_words(title: Column) -> Column:
+    """All words of a title in order, in lower case."""
+    return F.filter(F.split(F.regexp_replace(F.lower(title), "[^a-z0-9]+", " "), " "), lambda w: w != "")
+
+
+def title_tokens(title: Column, stopwords: Iterable[str] = STOPWORDS, short: Iterable[str] = SHORT_TOKENS, shortest: int = 3) -> Column:
     """Distinct words that tell a title, in order of appearance."""
-    words = F.split(F.regexp_replace(F.lower(title), "[^a-z0-9]+", " "), " ")
-    return F.array_distinct(F.filter(words, lambda w: (w != "") & ~w.isin(*STOPWORDS) & ((F.length(w) >= 3) | w.isin(*SHORT_TOKENS))))
+    return F.array_distinct(F.filter(title_words(title), lambda w: ~w.isin(*stopwords) & ((F.length(w) >= shortest) | w.isin(*short))))
 
 
 def endpoint(path: Column) -> Column:

@@ -3,23 +3,83 @@
 Items that could ever meet are those whose titles are linked by containment of tokens or by a shared
 identifier; such groups don't affect one another. They are found by joins, and the ordered loop
 runs over each group alone. Titles are read whole. An item links only to earlier items of its time window that
-hold all its tokens, and, where these are no more than CANDIDATES, so that the loop leaves none out, only to
-those that can reach ATTACH; the loop's decisions are the same as over all items at once.
+hold all its tokens, and, where these are no more than ``candidates``, so that the loop leaves none out, only to
+those that can reach ``attach``; the loop's decisions are the same as over all items at once.
+
+Where more clusters hold an item's tokens than ``candidates``, the best ranked are scored: by how near their titles hold the tokens together,
+then the newest. Each decision comes with the parts of the best score and the clusters that were scored.
 """
 
 from __future__ import annotations
 
+import heapq
+import json
 import math
 import uuid
+from dataclasses import dataclass
 
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from tessera.functions import text
+from tessera.functions import english, text
 from tessera.session import checkpoint_folder
 
-WINDOW_DAYS, CANDIDATES, ATTACH = 14, 200, 0.72
+
+
+@dataclass(frozen=True)
+class Settings:
+    """What decides whether an item joins a cluster. The defaults are fixed values."""
+
+    window_days: int = 14
+    candidates: int = 200
+    attach: float = 0.72
+    least_overlap: int = 2
+    least_jaccard: float = 0.42
+    single_token_guard: bool = True
+    by_jaccard: float = 0.65
+    by_time: float = 0.25
+    by_overlap: float = 0.10
+    new_source: float = 0.04
+    decay_days: int = 7
+    stopwords: tuple[str, ...] = tuple(text.STOPWORDS)
+    short_tokens: tuple[str, ...] = tuple(text.SHORT_TOKENS)
+    shortest: int = 3
+
+    @property
+    def fewest(self) -> int:
+        """The least number of tokens that an item shares with a cluster it joins."""
+        return max(self.least_overlap, 2 if self.single_token_guard else 1)
+
+
+#: Settings by their place in a settings file.
+PLACES = {
+    "window_days": ("timeWindowDays",), "candidates": ("maxCandidates",), "attach": ("thresholds", "attachScore"), "least_overlap": ("thresholds", "minTokenOverlap"), "least_jaccard": ("thresholds", "minTitleJaccard"),
+    "single_token_guard": ("thresholds", "singleTokenGuard"), "by_jaccard": ("scoringWeights", "titleJaccard"), "by_time": ("scoringWeights", "timeProximity"), "by_overlap": ("scoringWeights", "tokenOverlap"),
+    "new_source": ("bonuses", "newSourceBonus"), "decay_days": ("timeDecayDays",), "stopwords": ("stopwords",), "short_tokens": ("allowShortTokens",), "shortest": ("rareTokenMinLength",),
+}
+
+
+def settings_of(document: str) -> Settings:
+    """Settings from a JSON object; what it leaves out keeps its default. A value of another type or a negative weight is an error."""
+    raw, given = json.loads(document), {}
+    for name, path in PLACES.items():
+        value = raw
+        for step in path:
+            value = value.get(step) if isinstance(value, dict) else None
+        if value is None:
+            continue
+        default = getattr(Settings, name)
+        value = tuple(map(str, value)) if isinstance(default, tuple) else float(value) if type(default) is float else value
+        if type(value) is not type(default) or (type(value) in (int, float) and value < 0):
+            raise ValueError(f"clustering setting {'.'.join(path)} can't be {value!r}")
+        given[name] = value
+    return Settings(**given)
+
+
+def read_settings(spark: SparkSession, path: str) -> Settings:
+    """Settings from a JSON file in any storage that Spark reads."""
+    return settings_of(spark.read.text(path, wholetext=True).first().value)
 
 
 def kept(df: DataFrame) -> DataFrame:
@@ -46,10 +106,10 @@ def groups(links: DataFrame, nodes: DataFrame, rounds: int = 30) -> DataFrame:
     raise RuntimeError(f"groups did not settle in {rounds} rounds")
 
 
-def attachable(rows: DataFrame) -> DataFrame:
-    """(u, v): item u could attach to a cluster that v founds. rows: item_id, at (seconds), tokens."""
-    span, size = WINDOW_DAYS * 86400, F.size("tokens")
-    rows = rows.where(size >= 2).select("item_id", "at", "tokens", size.alias("size"), F.floor(F.col("at") / span).alias("span"))
+def attachable(rows: DataFrame, how: Settings = Settings(), logged: bool = False) -> DataFrame:
+    """(u, v): item u could attach to a cluster that v founds; where logged, also where it would only be scored. rows: item_id, at (seconds), tokens."""
+    span, size = how.window_days * 86400, F.size("tokens")
+    rows = rows.where(size >= how.fewest).select("item_id", "at", "tokens", size.alias("size"), F.floor(F.col("at") / span).alias("span"))
     spread = rows.select("item_id", "at", "size", "span", F.explode("tokens").alias("token"))
     rarity = spread.groupBy("token").agg(F.count("*").alias("df"))
     # items meet on the rarest token alone, in their own span of time and the one before
@@ -60,64 +120,101 @@ def attachable(rows: DataFrame) -> DataFrame:
     met = pairs.join(rows.select(F.col("item_id").alias("u"), F.col("tokens").alias("wanted")), "u").join(rows.select(F.col("item_id").alias("v"), "tokens"), "v")
     met = met.where(F.size(F.array_except("wanted", "tokens")) == 0)
     shared = F.col("size_u") / F.col("size_v")
-    most = 0.65 * shared + 0.25 * F.exp((F.col("at_v") - F.col("at_u")) / 86400 / 7) + 0.10 * F.least(F.col("size_u") / 6, F.lit(1.0)) + 0.04
-    can = (shared >= 0.42 - 1e-9) & (most >= ATTACH - 1e-9)
+    most = how.by_jaccard * shared + how.by_time * F.exp((F.col("at_v") - F.col("at_u")) / 86400 / how.decay_days) + how.by_overlap * F.least(F.col("size_u") / 6, F.lit(1.0)) + how.new_source
+    can = (shared >= how.least_jaccard - 1e-9) & (F.lit(logged) | (most >= how.attach - 1e-9))
     met = met.select("u", "v", can.alias("can"), F.count("*").over(Window.partitionBy("u")).alias("n"))
-    return met.where(F.col("can") | (F.col("n") > CANDIDATES)).select("u", "v").distinct()
+    return met.where(F.col("can") | (F.col("n") > how.candidates)).select("u", "v").distinct()
+
+
+PARTS = "overlap int, jaccard double, time_prox double, base_score double, new_source_bonus double, total_score double"
+
 
+def standing(tokens: set[str], cluster: dict) -> tuple:
+    """The rank of a cluster among those that hold all tokens: how near together its title's words hold them, then the newest."""
+    places: dict[str, list[int]] = {}
+    for at, w in enumerate(cluster["words"], 1):
+        if w in tokens:
+            places.setdefault(w, []).append(at)
+    return english.cover_density(list(places.values())), cluster["at"], cluster["id"]
 
-def assign(rows: pd.DataFrame) -> pd.DataFrame:
-    """The ordered loop over one group. rows: item_id, at (seconds), source_id, ident, tokens, founder (always founds a cluster)."""
+
+def score(r, mine: set[str], cluster: dict, how: Settings) -> tuple | None:
+    """The parts of an item's score with a cluster that holds all its tokens, total last; null where too little is shared."""
+    overlap, union = len(mine), len(mine | cluster["tokens"])
+    if overlap < how.fewest or overlap / union < how.least_jaccard:
+        return None
+    near = math.exp(-abs(r.at - cluster["at"]) / 86400 / how.decay_days)
+    base = how.by_jaccard * overlap / union + how.by_time * near + how.by_overlap * min(overlap / 6, 1.0)
+    bonus = 0.0 if r.source_id in cluster["sources"] else how.new_source
+    return overlap, overlap / union, near, base, bonus, base + bonus
+
+
+def assign(rows: pd.DataFrame, how: Settings = Settings()) -> pd.DataFrame:
+    """The ordered loop over one group. rows: item_id, at (seconds), source_id, ident, tokens, words, founder (always founds a cluster)."""
     rows = rows.sort_values(["at", "item_id"], kind="stable")
-    found: list[dict] = []
     named: dict[str, dict] = {}  # the newest cluster of each identifier
     holding: dict[str, list[dict]] = {}  # clusters by token, in order of founding
-    out = []
+    out, founded = [], 0
     for r in rows.itertuples():
-        mine, best, best_score = set(r.tokens), None, -1.0
-        if isinstance(r.ident, str) and not r.founder:
-            best = named.get(r.ident)
-            best_score = 1.0
-        if best is None and not r.founder:
-            best_score = -1.0
-            rarest = min((holding.get(w, []) for w in mine), key=len, default=[])
-            near = [c for c in rarest if mine <= c["tokens"] and r.at - c["at"] <= WINDOW_DAYS * 86400][-CANDIDATES:]
+        mine, best, parts, scored = set(r.tokens), None, None, []
+        by_identifier = isinstance(r.ident, str) and not r.founder and r.ident in named
+        if by_identifier:
+            best = named[r.ident]
+            scored = [best["id"]]
+        elif not r.founder and mine:
+            rarest = min((holding.get(w, []) for w in mine), key=len)
+            near = [c for c in rarest if mine <= c["tokens"] and r.at - c["at"] <= how.window_days * 86400]
+            if len(near) > how.candidates:
+                near = heapq.nlargest(how.candidates, near, key=lambda c: standing(mine, c))
             for c in near:
-                overlap, union = len(mine & c["tokens"]), len(mine | c["tokens"])
-                if overlap < 2 or overlap / union < 0.42:
+                found = score(r, mine, c, how)
+                if found is None:
                     continue
-                s = 0.65 * overlap / union + 0.25 * math.exp(-abs(r.at - c["at"]) / 86400 / 7) + 0.10 * min(overlap / 6, 1.0) + (0.0 if r.source_id in c["sources"] else 0.04)
-                if s > best_score:
-                    best, best_score = c, s
-            if best_score < ATTACH:
+                scored.append(c["id"])
+                if parts is None or found[-1] > parts[-1] or (found[-1] == parts[-1] and standing(mine, c) > standing(mine, best)):
+                    best, parts = c, found
+            if parts is not None and parts[-1] < how.attach:
                 best = None
         decision = "attached" if best else "new"
         if best is None:
-            best = {"id": r.item_id, "n": len(found), "tokens": mine, "at": r.at, "sources": set()}
-            found.append(best)
+            best = {"id": r.item_id, "n": founded, "tokens": mine, "words": r.words, "at": r.at, "sources": set()}
+            founded += 1
             for w in mine:
                 holding.setdefault(w, []).append(best)
         best["sources"].add(r.source_id)
         if isinstance(r.ident, str) and (r.ident not in named or named[r.ident]["n"] < best["n"]):
             named[r.ident] = best
-        out.append((r.item_id, best["id"], decision))
-    return pd.DataFrame(out, columns=["item_id", "cluster_id", "decision"])
+        out.append((r.item_id, best["id"], decision, by_identifier, *(parts or (None,) * 6), sorted(scored)))
+    names = ["item_id", "cluster_id", "decision", "by_identifier", *[p.split()[0] for p in PARTS.split(", ")], "scored"]
+    return pd.DataFrame(out, columns=names).astype({"overlap": "Int32"})
 
 
-def cluster(items: DataFrame) -> DataFrame:
+def cluster(items: DataFrame, how: Settings = Settings(), logged: bool = False) -> DataFrame:
     """(item_id, cluster_id, decision): items (item_id, at timestamp, source_id, title, ident) in clusters named by their founder.
 
+    Where logged, also by_identifier, PARTS of the best score, be it too low (null where none was scored), and scored, the clusters that were scored;
+    then items that were only scored together share a group, so groups are larger. The decisions are the same.
     Items with a true ``founder``, if there is such a column, stand for clusters that exist and join none.
     """
     founder = F.coalesce("founder", F.lit(False)) if "founder" in items.columns else F.lit(False)
-    rows = items.select("item_id", F.unix_timestamp(F.col("at").cast("timestamp")).cast("double").alias("at"), "source_id", "ident", text.title_tokens(F.col("title")).alias("tokens"), founder.alias("founder"))
-    links = attachable(rows)
+    rows = items.select("item_id", F.unix_timestamp(F.col("at").cast("timestamp")).cast("double").alias("at"), "source_id", "ident", text.title_tokens(F.col("title"), how.stopwords, how.short_tokens, how.shortest).alias("tokens"), text.title_words(F.col("title")).alias("words"), founder.alias("founder"))
+    links = attachable(rows, how, logged)
     # a star to the first item of each identifier
     first = rows.where("ident IS NOT NULL").groupBy("ident").agg(F.min("item_id").alias("v"))
     links = links.union(rows.join(first, "ident").where("item_id <> v").select(F.col("item_id").alias("u"), "v"))
     of = groups(links, rows.select(F.col("item_id").alias("node"))).withColumnRenamed("node", "item_id")
     kind = dict(rows.dtypes)["item_id"]
-    return rows.join(of, "item_id").groupBy("group").applyInPandas(lambda p: assign(p), f"item_id {kind}, cluster_id {kind}, decision string")
+    found = rows.join(of, "item_id").groupBy("group").applyInPandas(lambda p: assign(p, how), f"item_id {kind}, cluster_id {kind}, decision string, by_identifier boolean, {PARTS}, scored array<{kind}>")
+    return found if logged else found.select("item_id", "cluster_id", "decision")
+
+
+def assignment_log(found: DataFrame, how: Settings = Settings()) -> DataFrame:
+    """A log row for each logged decision of ``cluster`` or ``assign_to_stories``: candidates and the parts of the score as JSON, and the threshold where a score decided."""
+    parts = F.to_json(F.struct(*[p.split()[0] for p in PARTS.split(", ")]))
+    return found.select(
+        "item_id", F.col("cluster_id").alias("decided_cluster_id"), F.when(F.col("decision") == "attached", "attached_existing").otherwise("created_new").alias("decision"), F.to_json("scored").alias("candidate_cluster_ids"),
+        F.when(F.col("by_identifier"), F.lit('{"external_id_match":true}')).otherwise(parts).alias("score_breakdown"), F.when(~F.col("by_identifier"), F.lit(how.attach)).alias("threshold_used"),
+    )
 
 
 def candidates_by_identifier(asked: DataFrame, items: DataFrame, members: DataFrame, clusters: DataFrame, most: int = 10) -> DataFrame:
@@ -136,8 +233,8 @@ def candidates_by_identifier(asked: DataFrame, items: DataFrame, members: DataFr
     return met.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most).select("item_id", "cluster_id", "rn")
 
 
-def assign_to_stories(clusters: DataFrame, members: DataFrame, items: DataFrame) -> DataFrame:
-    """(item_id, cluster_id, decision) of items that no cluster holds: to open clusters (id, canonical_title, updated_at, status), else to new ones.
+def assign_to_stories(clusters: DataFrame, members: DataFrame, items: DataFrame, how: Settings = Settings(), logged: bool = False) -> DataFrame:
+    """What ``cluster`` tells of items that no cluster holds: to open clusters (id, canonical_title, updated_at, status), else to new ones.
 
     A cluster stands by its title, its last update and the newest identifier and source of its items. New clusters are named "n" and their founder's id.
     """
@@ -147,6 +244,7 @@ def assign_to_stories(clusters: DataFrame, members: DataFrame, items: DataFrame)
     founders = open_.select(name("c", "id").alias("item_id"), F.col("updated_at").cast("timestamp").alias("at"), F.col("source_id").cast("string").alias("source_id"), F.col("canonical_title").alias("title"), "ident", F.lit(True).alias("founder"))
     free = items.join(members.select(F.col("item_id").alias("id")).distinct(), "id", "left_anti")
     fresh = free.select(name("i", "id").alias("item_id"), F.coalesce("published_at", "fetched_at").cast("timestamp").alias("at"), F.col("source_id").cast("string").alias("source_id"), "title", F.col("arxiv_id").alias("ident"), F.lit(False).alias("founder"))
-    found = cluster(founders.union(fresh)).where(F.startswith("item_id", F.lit("i")))
-    named = F.when(F.startswith("cluster_id", F.lit("c")), F.substring("cluster_id", 2, 1000)).otherwise(F.concat(F.lit("n"), F.substring("cluster_id", 2, 1000)))
-    return found.select(F.substring("item_id", 2, 1000).alias("item_id"), named.alias("cluster_id"), "decision")
+    found = cluster(founders.union(fresh), how, logged).where(F.startswith("item_id", F.lit("i")))
+    own = lambda c: F.when(F.startswith(c, F.lit("c")), F.substring(c, 2, 1000)).otherwise(F.concat(F.lit("n"), F.substring(c, 2, 1000)))
+    named = {"item_id": F.substring("item_id", 2, 1000), "cluster_id": own(F.col("cluster_id"))}
+    return found.withColumns(named | ({"scored": F.transform("scored", own)} if logged else {}))

@@ -87,7 +87,7 @@ def test_feed_entries(spark, tmp_path):
 def model(rows):
     import pandas as pd
 
-    return clustering.assign(pd.DataFrame(rows, columns=["item_id", "at", "source_id", "ident", "tokens"]).assign(founder=False))
+    return clustering.assign(pd.DataFrame(rows, columns=["item_id", "at", "source_id", "ident", "tokens"]).assign(founder=False, words=[r[4] for r in rows]))
 
 
 def test_greedy_clusters_equal_the_plain_loop(spark):
