@@ -24,6 +24,7 @@ from pyspark.sql import functions as F
 
 from tessera.functions import english, text
 from tessera.session import checkpoint_folder
+from tessera.sources import folders
 
 
 
@@ -88,21 +89,39 @@ def kept(df: DataFrame) -> DataFrame:
     checkpoint_folder(spark)
     path = f"{spark.sparkContext._jsc.sc().getCheckpointDir().get()}/groups-{uuid.uuid4().hex}"
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out._kept_at = path
+    return out
 
 
-def groups(links: DataFrame, nodes: DataFrame, rounds: int = 30) -> DataFrame:
-    """(node, group): the least node reachable over links (u, v), by repeated minima with pointer jumps."""
+def dropped(df: DataFrame) -> None:
+    """Delete a table of ``kept`` that nothing reads any more."""
+    folders.remove(df.sparkSession, df._kept_at)
+
+
+def groups(links: DataFrame, nodes: DataFrame, rounds: int = 60) -> DataFrame:
+    """(node, group): the least node reachable over links (u, v).
+
+    In each round a node, and the node its group is named by, take the least group beyond their links, then the group of that group;
+    hooking whole groups onto lower ones keeps the rounds near the logarithm of the longest path.
+    """
     both = kept(links.select("u", "v").union(links.select(F.col("v").alias("u"), F.col("u").alias("v"))).distinct())
     now = kept(nodes.select("node", F.col("node").alias("group")))
     for _ in range(rounds):
-        near = both.join(now.select(F.col("node").alias("v"), "group"), "v").groupBy(F.col("u").alias("node")).agg(F.min("group").alias("low"))
-        lower = now.join(near, "node", "left").select("node", F.least("group", F.coalesce("low", "group")).alias("group"))
+        ends = lambda c: now.select(F.col("node").alias(c), F.col("group").alias(f"group_{c}"))  # noqa: E731, B023
+        beyond = both.join(ends("v"), "v").groupBy("u").agg(F.min("group_v").alias("low"))
+        hooked = beyond.join(ends("u"), "u").groupBy(F.col("group_u").alias("node")).agg(F.min("low").alias("low"))
+        low = beyond.select(F.col("u").alias("node"), "low").union(hooked).groupBy("node").agg(F.min("low").alias("low"))
+        lower = kept(now.join(low, "node", "left").select("node", F.least("group", F.coalesce("low", "group")).alias("group")))
         jump = lower.select(F.col("node").alias("group"), F.col("group").alias("up"))
         after = kept(lower.join(jump, "group").select("node", F.col("up").alias("group")))
-        if now.join(after.withColumnRenamed("group", "g2"), "node").where("group <> g2").isEmpty():
-            return after
+        settled = now.join(after.withColumnRenamed("group", "g2"), "node").where("group <> g2").isEmpty()
+        dropped(lower)
+        dropped(now)
         now = after
+        if settled:
+            dropped(both)
+            return now
     raise RuntimeError(f"groups did not settle in {rounds} rounds")
 
 

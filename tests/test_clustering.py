@@ -67,3 +67,25 @@ def test_logging_changes_no_decision(spark):
     # the whole loop over all items at once tells the same candidates
     whole = clustering.assign(pd.DataFrame([(k, (at - DAY).total_seconds(), s, i, t.split(), t.split(), False) for k, at, s, t, i in rows], columns=["item_id", "at", "source_id", "ident", "tokens", "words", "founder"]))
     assert {(r.item_id, tuple(r.scored)) for r in told} == {(r.item_id, tuple(r.scored)) for r in whole.itertuples()}
+
+
+def test_groups(spark):
+    import random
+
+    rng = random.Random(6)
+    up = list(range(900))
+    edges = [(k, k + 1) for k in range(300)] + [(400, k) for k in range(401, 460)] + [(500 + rng.randrange(300), 500 + rng.randrange(300)) for _ in range(220)]
+    edges += [(840 + (k * 37) % 53, 840 + ((k + 1) * 37) % 53) for k in range(40)]
+
+    def root(x):
+        while up[x] != x:
+            x = up[x]
+        return x
+
+    for a, b in edges:
+        low, high = sorted((root(a), root(b)))
+        up[high] = low
+    nodes = spark.range(900).select(clustering.F.col("id").alias("node"))
+    found = clustering.groups(spark.createDataFrame(edges, "u long, v long"), nodes, rounds=12).collect()
+    assert len(found) == 900 and {r.node: r.group for r in found} == {k: root(k) for k in range(900)}
+    assert clustering.groups(spark.createDataFrame([], "u long, v long"), nodes).count() == 900
