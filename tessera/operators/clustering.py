@@ -150,11 +150,13 @@ PARTS = "overlap int, jaccard double, time_prox double, base_score double, new_s
 
 def standing(tokens: set[str], cluster: dict) -> tuple:
     """The rank of a cluster among those that hold all tokens: how near together its title's words hold them, then the newest."""
-    places: dict[str, list[int]] = {}
-    for at, w in enumerate(cluster["words"], 1):
-        if w in tokens:
-            places.setdefault(w, []).append(at)
-    return english.cover_density(list(places.values())), cluster["at"], cluster["id"]
+    if "places" not in cluster:
+        places: dict[str, list[int]] = {}
+        for at, w in enumerate(cluster["words"], 1):
+            if w in cluster["tokens"]:
+                places.setdefault(w, []).append(at)
+        cluster["places"] = places
+    return english.cover_density([cluster["places"][w] for w in tokens]), cluster["at"], cluster["id"]
 
 
 def score(r, mine: set[str], cluster: dict, how: Settings) -> tuple | None:
