@@ -10,6 +10,20 @@ from tessera.llm.common import drop_written, written
 MAX_ROUNDS = 60
 
 
+def large_star(now: DataFrame) -> DataFrame:
+    """Links of each node's greater neighbours to the least of it and its neighbours. As edges grow with the input, no side of a join is broadcast."""
+    both = now.union(now.select("v", "u"))
+    lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
+    return both.hint("merge").join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
+
+
+def small_star(large: DataFrame) -> DataFrame:
+    """Links of each node and its lesser neighbours to the least of them."""
+    lowest = large.groupBy("u").agg(F.min("v").alias("m"))
+    small = large.hint("merge").join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
+    return small.union(lowest.select("u", F.col("m").alias("v"))).distinct()
+
+
 def connected(edges: DataFrame) -> DataFrame:
     """(u, root) for each node of edges (u, v), both long: root is the smallest node it reaches.
 
@@ -22,16 +36,11 @@ def connected(edges: DataFrame) -> DataFrame:
     for _ in range(MAX_ROUNDS):
         if not n:
             break
-        both = now.union(now.select("v", "u"))
-        lowest = both.groupBy("u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
-        large = both.join(lowest, "u").where("v > u").select(F.col("v").alias("u"), F.col("m").alias("v")).distinct()
-        large = written(large, "large")
-        lowest = large.groupBy("u").agg(F.min("v").alias("m"))
-        small = large.join(lowest, "u").where("v <> m").select(F.col("v").alias("u"), F.col("m").alias("v"))
-        after = written(small.union(lowest.select("u", F.col("m").alias("v"))).distinct(), "small")
+        large = written(large_star(now), "large")
+        after = written(small_star(large), "small")
         drop_written(large)
         n_after = after.count()
-        settled = n_after == n and after.join(now, ["u", "v"], "left_anti").isEmpty()
+        settled = n_after == n and after.hint("merge").join(now, ["u", "v"], "left_anti").isEmpty()
         drop_written(now)
         now, n = after, n_after
         if settled:

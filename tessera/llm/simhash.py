@@ -5,7 +5,8 @@ sixteen nibbles of one long. The Manhattan distance of two such vectors is at mo
 distance of the fingerprints, so pairs within two bits lie within distance two in a grid with a
 cell for every vector. Two vectors that near share a cell once each enters its own and those one
 step away (33 at most), so the range join is an equi-join on the cell. What meets there is
-verified exactly by the bits of the exclusive or.
+verified exactly by the bits of the exclusive or. Joins of fingerprints are sort-merge joins by hint: their tables grow with
+the input and are estimated too small (exploded rows, compressed files), so one would be sent through the driver.
 
 Work is on distinct fingerprints, so exact copies cost one row each. A cell with over CROWDED
 fingerprints (a large group of near copies) isn't paired up: each of its fingerprints enters the
@@ -97,34 +98,44 @@ def cells(counts: Column) -> Column:
     return F.array_compact(F.array(*out))
 
 
-def links(nodes: DataFrame) -> DataFrame:
-    """Edges (u, v) that connect exactly the fingerprints (distinct, column fp) within two bits of a chain."""
+def meetings(nodes: DataFrame) -> DataFrame:
+    """(cell, fp, size) for each cell that ``size`` fingerprints enter, two or more."""
     # a table of fingerprints is small for its rows, and each becomes 33: deal it out first
     parts = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     placed = nodes.repartition(parts, "fp").select("fp", F.explode(cells(segment_counts(F.col("fp")))).alias("cell"))
     shared = placed.groupBy("cell").agg(F.count("*").alias("size")).where("size > 1")
-    met = written(placed.join(shared, "cell"), "cells")
+    # Spark takes exploded rows for as few as they came from, and would broadcast them
+    return placed.hint("merge").join(shared, "cell")
+
+
+def edges(met: DataFrame) -> DataFrame:
+    """Edges (u, v) between the fingerprints of ``meetings``."""
     few = met.where(F.col("size") <= CROWDED).select("cell", "fp")
-    pairs = few.select("cell", F.col("fp").alias("u")).join(few.select("cell", F.col("fp").alias("v")), "cell")
+    pairs = few.select("cell", F.col("fp").alias("u")).hint("merge").join(few.select("cell", F.col("fp").alias("v")), "cell")
     near = F.bit_count(F.col("u").bitwiseXOR(F.col("v"))) <= 2
     pairs = pairs.where((F.col("u") > F.col("v")) & near).select("u", "v")
     many = met.where(F.col("size") > CROWDED).select("fp").distinct()
     flips = F.array(F.lit(0).cast("long"), *(F.lit((1 << j) - ((1 << 64) if j == 63 else 0)) for j in range(64)))
     around = many.select("fp", F.explode(flips).alias("flip")).select("fp", F.col("fp").bitwiseXOR(F.col("flip")).alias("ball"))
     least = around.groupBy("ball").agg(F.min("fp").alias("v"), F.count("*").alias("size")).where("size > 1").select("ball", "v")
-    stars = around.join(least, "ball").where("fp <> v").select(F.col("fp").alias("u"), "v")
+    stars = around.hint("merge").join(least, "ball").where("fp <> v").select(F.col("fp").alias("u"), "v")
     return pairs.union(stars).distinct()
 
 
+def links(nodes: DataFrame) -> DataFrame:
+    """Edges (u, v) that connect exactly the fingerprints (distinct, column fp) within two bits of a chain."""
+    return edges(written(meetings(nodes), "cells"))
+
+
 def classes(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", shingle: int = SHINGLE) -> DataFrame:
     """(doc_id, fp, component_id) for each row: component_id is the least id reachable over links."""
     marked = written(fingerprints(df, id_col, text_col, shingle), "fingerprints")
     nodes = written(marked.groupBy("fp").agg(F.min("doc_id").alias("least")), "nodes")
     roots = connected(links(nodes.select("fp")))
-    grouped = nodes.join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
+    grouped = nodes.hint("merge").join(roots.withColumnRenamed("u", "fp"), "fp", "left").select("fp", "least", F.coalesce("root", "fp").alias("root"))
     component = grouped.groupBy("root").agg(F.min("least").alias("component_id"))
-    named = grouped.join(component, "root").select("fp", "component_id")
-    return marked.join(named, "fp").select("doc_id", "fp", "component_id")
+    named = grouped.hint("merge").join(component, "root").select("fp", "component_id")
+    return marked.hint("merge").join(named, "fp").select("doc_id", "fp", "component_id")
 
 
 def hexadecimal(fp: Column) -> Column:
