@@ -151,7 +151,7 @@ def keep_representatives(df: DataFrame, id_col: str = "doc_id", text_col: str =
     """
     found = classes(df, id_col, text_col)
     first = found.where("doc_id = component_id").groupBy(F.col("doc_id").alias("__kept_id")).agg(F.count("*").alias("__copies"))
-    stay = df.join(first, df[id_col] == first["__kept_id"])
+    stay = df.hint("merge").join(first, df[id_col] == first["__kept_id"])
     alone = stay.where("__copies = 1").drop("__kept_id", "__copies")
     once = stay.where("__copies > 1").drop("__kept_id", "__copies").dropDuplicates([id_col])
     return alone.union(once).union(df.where(df[id_col].isNull()))
