@@ -1,6 +1,7 @@
 """Log-likelihoods of whole documents under a gated recurrent language model.
 
-Tokens are lower-cased words and one end per document. Three passes read the corpus:
+Tokens are lower-cased words and one end per document. Texts are read twice, to count words and to turn them into entries of the
+vocabulary (2 bytes a token); training and scores read those. In steps:
 
 1. Every training document's words are counted. Counts give the base model, a smoothed unigram
    over all word types, and the model's vocabulary: the VOCABULARY most frequent words; the others share one entry.
@@ -41,7 +42,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import id_and_text, text_chunks, written
+from tessera.llm.common import id_and_text, in_chunks, text_chunks, written
 
 FOLDS, HELD_OUT = 5, 1
 VOCABULARY = 1024
@@ -64,7 +65,9 @@ CHUNK_BYTES = 8_000_000
 COUNTED_BYTES = 1_000_000
 KEPT_COUNTS = 200_000
 END = b" "  # no word holds a space
-SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double, rare array<binary>, times array<int>"
+CHUNK_ENTRIES = 4_000_000  # scored side by side
+READ = "row long, at long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, within double, entries binary, rare array<binary>, times array<int>"
+SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
 def tokens(text: bytes) -> list[bytes]:
@@ -214,7 +217,7 @@ class Model:
             at = rows[: len(own)]
             lp = a[at, said]
             e = np.exp(a, out=a)
-            total = e.sum(1, keepdims=True)
+            total = e @ np.ones((e.shape[1], 1), np.float32)  # faster than a sum over so few
             lp -= np.log(total[:, 0])
             if grads is None:
                 return lp, None
@@ -315,22 +318,26 @@ def train_shard(model: Model, entries: np.ndarray, sizes: np.ndarray, adam: Adam
         grads = {k: np.zeros_like(getattr(model, k)) for k in Model.NAMES}
         _, back = model.log_probs(hs.reshape(-1, n), lanes.said[lo:hi, :width].ravel(), grads)
         back = back.reshape(steps, width, n)
-        # what a state's gradient is multiplied with on its way to the candidate, the gates and the state before
-        to_c, to_z, to_g, stay = z * (1 - c * c), (c - before) * z * (1 - z), rc * g * (1 - g), 1 - z
-        carry, dx, dr, down = np.zeros((width, n), np.float32), np.empty((steps, width, 3 * n), np.float32), np.empty((steps, width, 3 * n), np.float32), model.rec.T.copy()
+        # what a state's gradient is multiplied with on its way to the gate z and the candidate, and the candidate's to the gate g and the state's part
+        first, second = np.empty((steps, 2, width, n), np.float32), np.empty((steps, 2, width, n), np.float32)
+        first[:, 0], first[:, 1] = (c - before) * z * (1 - z), z * (1 - c * c)
+        second[:, 0], second[:, 1] = rc * g * (1 - g), g
+        stay, down = 1 - z, np.ascontiguousarray(model.rec.reshape(n, 3, n).transpose(1, 2, 0))
+        carry, dc, dr = np.zeros((width, n), np.float32), np.empty((steps, width, n), np.float32), np.empty((steps, 3, width, n), np.float32)
         for t in range(steps - 1, -1, -1):
             d = back[t] + carry
-            x, r = dx[t], dr[t]
-            dc = np.multiply(d, to_c[t], out=x[:, 2 * n :])
-            np.multiply(d, to_z[t], out=x[:, :n])
-            np.multiply(dc, to_g[t], out=x[:, n : 2 * n])
-            r[:, : 2 * n] = x[:, : 2 * n]
-            np.multiply(dc, g[t], out=r[:, 2 * n :])
+            np.multiply(d, first[t, 0], out=dr[t, 0])
+            np.multiply(d, first[t, 1], out=dc[t])
+            np.multiply(dc[t], second[t], out=dr[t, 1:])
             d *= stay[t]
-            d += r @ down
-            carry = d * keep[t]
-        flat = dx.reshape(-1, 3 * n)
-        grads["rec"] += before.reshape(-1, n).T @ dr.reshape(-1, 3 * n)
+            for x in np.matmul(dr[t], down):
+                d += x
+            d *= keep[t]
+            carry = d
+        flat = np.concatenate([dr[:, 0], dr[:, 1], dc], 2).reshape(-1, 3 * n)
+        by = before.reshape(-1, n).T
+        for k in range(3):
+            grads["rec"][:, k * n : (k + 1) * n] = by @ dr[:, k].reshape(-1, n)
         grads["bias"] += flat.sum(0)
         order = np.argsort(fed.ravel(), kind="stable")
         some, cut = np.unique(fed.ravel()[order], return_index=True)
@@ -354,24 +361,12 @@ def pieces(batches: Iterator[pa.RecordBatch], wanted: Callable[[int], bool]) ->
         yield texts
 
 
-def train(df: DataFrame, table: Table, id_col: str, text_col: str) -> np.ndarray:
+def train(read: DataFrame, table: Table) -> np.ndarray:
     """Weights after ROUNDS of training on shards and averaging."""
-    spark = df.sparkSession
+    spark = read.sparkSession
     flat = Model(table.unigram).flat()
-    chosen = id_and_text(df, id_col, text_col)
-    size = chosen.agg(F.coalesce(F.sum(F.length("text") / 6), F.lit(0)).alias("n")).first().n
-    shards = min(MOST_SHARDS, max(1, round(float(size) / SHARD_TOKENS)))
-    shared = spark.sparkContext.broadcast(table)
-
-    def numbered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        t = shared.value
-        for b in batches:
-            ids, texts = b.column(0).to_pylist(), b.column(1)
-            keep = [k for k, d in enumerate(ids) if fold(d) != HELD_OUT]
-            found = [t.entry[t.numbers([tokens(texts[k].as_py())])].astype("<u2").tobytes() for k in keep]
-            yield pa.RecordBatch.from_arrays([pa.array([zlib.crc32(f, zlib.crc32(str(ids[k]).encode())) for k, f in zip(keep, found, strict=True)], pa.int64()), pa.array(found, pa.binary())], ["at", "entries"])
-
-    docs = written(chosen.mapInArrow(numbered, "at long, entries binary").repartition(shards, "at").sortWithinPartitions("at", "entries"), "shards")
+    shards = min(MOST_SHARDS, max(1, round(table.total / SHARD_TOKENS)))
+    docs = written(read.where("NOT held_out").select("at", "entries").repartition(shards, "at").sortWithinPartitions("at", "entries"), "shards")
     for r in range(ROUNDS):
         weights, rate, unigram = spark.sparkContext.broadcast(flat), RATE / (1 + r), table.unigram
 
@@ -404,20 +399,21 @@ def train(df: DataFrame, table: Table, id_col: str, text_col: str) -> np.ndarray
                 model = Model(unigram).load(start + np.float32(s) * (weights.value - start))
                 yield pa.RecordBatch.from_arrays([pa.array([s]), pa.array([int(model_scores(model, entries, sizes).sum() * 1024)])], ["s", "v"])
 
-    found = docs.where(F.col("at") % CHECKED == 0).select("at", "entries").mapInArrow(checked, "s double, v long").groupBy("s").agg(F.sum("v").alias("v")).collect()
+    # brought together, as few documents side by side cost as many steps as many
+    few = docs.where(F.col("at") % CHECKED == 0).repartition(-(-shards // CHECKED), "at").sortWithinPartitions("at", "entries")
+    found = few.mapInArrow(checked, "s double, v long").groupBy("s").agg(F.sum("v").alias("v")).collect()
     best = max(found, key=lambda x: (x.v, -x.s)).s if found else 0.0
     return start + np.float32(best) * (flat - start)
 
 
-def score(df: DataFrame, table: Table, flat: np.ndarray, id_col: str, text_col: str) -> DataFrame:
-    """Rows of SCORED: sums without the rare words, and those."""
-    shared, unigram = df.sparkSession.sparkContext.broadcast((table, flat)), table.unigram
+def read_texts(df: DataFrame, table: Table, id_col: str, text_col: str) -> DataFrame:
+    """Rows of READ, a written table: entries of all texts, sums without the rare words, and those. Texts are split here once for training and scores."""
+    shared = df.sparkSession.sparkContext.broadcast(table)
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         from pyspark import TaskContext
 
-        t, weights = shared.value
-        model, row = Model(unigram).load(weights), TaskContext.get().partitionId() << 33
+        t, row = shared.value, TaskContext.get().partitionId() << 33
         for b in batches:
             for ids, texts in text_chunks(b.column(0), b.column(1), CHUNK_BYTES):
                 numbers, seldom, n, rare = [], [], len(ids), len(t.number)
@@ -427,21 +423,36 @@ def score(df: DataFrame, table: Table, flat: np.ndarray, id_col: str, text_col:
                     numbers.append(own)
                     seldom.append(Counter(compress(words, own == rare)))
                 sizes = np.array([len(x) for x in numbers], np.int64)
+                entries = [t.entry[x].astype("<u2").tobytes() for x in numbers]
+                at = [zlib.crc32(f, zlib.crc32(str(d).encode())) for d, f in zip(ids, entries, strict=True)]
                 numbers, owner = np.concatenate(numbers), np.repeat(np.arange(n, dtype=np.int32), sizes)
                 per = lambda x, owner=owner, n=n: np.bincount(owner, x, n)
-                base = per(t.base[numbers])
-                total = per(t.within[numbers]) + model_scores(model, t.entry[numbers], sizes) / np.log(10)
-                known = per(numbers != rare).astype(np.int64)
                 yield pa.RecordBatch.from_arrays(
                     [
-                        pa.array(np.arange(row, row + n)), pa.array(ids, pa.int64()), pa.array([fold(d) == HELD_OUT for d in ids]), pa.array(sizes), pa.array(known), pa.array(base), pa.array(total),
-                        pa.array([list(c) for c in seldom], pa.list_(pa.binary())), pa.array([list(c.values()) for c in seldom], pa.list_(pa.int32())),
+                        pa.array(np.arange(row, row + n)), pa.array(at, pa.int64()), pa.array(ids, pa.int64()), pa.array([fold(d) == HELD_OUT for d in ids]), pa.array(sizes), pa.array(per(numbers != rare).astype(np.int64)),
+                        pa.array(per(t.base[numbers])), pa.array(per(t.within[numbers])), pa.array(entries, pa.binary()), pa.array([list(c) for c in seldom], pa.list_(pa.binary())), pa.array([list(c.values()) for c in seldom], pa.list_(pa.int32())),
                     ],
-                    [x.split()[0] for x in SCORED.split(", ")],
+                    [x.split()[0] for x in READ.split(", ")],
                 )
                 row += n
 
-    return written(id_and_text(df, id_col, text_col).mapInArrow(rows, SCORED), "scored")
+    return written(id_and_text(df, id_col, text_col).mapInArrow(rows, READ), "read")
+
+
+def score(read: DataFrame, table: Table, flat: np.ndarray) -> DataFrame:
+    """Rows of SCORED: sums without the rare words."""
+    shared, unigram = read.sparkSession.sparkContext.broadcast(flat), table.unigram
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        model = Model(unigram).load(shared.value)
+        for b in batches:
+            for lo, hi in in_chunks(b.column("n_tokens").to_pylist(), CHUNK_ENTRIES):
+                part = b.slice(lo, hi - lo)
+                entries = np.frombuffer(b"".join(part.column("entries").to_pylist()), "<u2").astype(np.int32)
+                total = part.column("within").to_numpy() + model_scores(model, entries, part.column("n_tokens").to_numpy()) / np.log(10)
+                yield pa.RecordBatch.from_arrays([*(part.column(x.split()[0]) for x in SCORED.split(", ")[:-1]), pa.array(total)], [x.split()[0] for x in SCORED.split(", ")])
+
+    return read.select("row", "doc_id", "held_out", "n_tokens", "n_known", "base_score", "within", "entries").mapInArrow(rows, SCORED)
 
 
 def model_scores(model: Model, entries: np.ndarray, sizes: np.ndarray, lanes: int = 256) -> np.ndarray:
@@ -464,13 +475,13 @@ def annotate(df: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> D
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score for each row of df."""
     counts = count_words(df, id_col, text_col)
     table = load_table(counts)
-    flat = train(df, table, id_col, text_col)
-    scored = score(df, table, flat, id_col, text_col)
-    words = scored.where(F.size("rare") > 0).select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
+    read = read_texts(df, table, id_col, text_col)
+    scored = score(read, table, train(read, table))
+    words = read.where(F.size("rare") > 0).select("row", F.explode(F.arrays_zip("rare", "times")).alias("w")).select("row", F.col("w.rare").alias("word"), F.col("w.times").alias("times"))
     met = words.join(counts, "word", "left").select("row", "times", F.coalesce("n", F.lit(0)).alias("c"))
     log = F.log10((F.col("c") + 0.5) / F.lit(table.floor))
     rest = met.groupBy("row").agg(F.sum(F.col("times") * log).alias("more"), F.sum("times").alias("words"), F.sum(F.when(F.col("c") > 0, F.col("times"))).alias("known"))
-    out = scored.drop("rare", "times").join(rest, "row", "left")
+    out = scored.join(rest, "row", "left")
     more = F.coalesce("more", F.lit(0.0))
     return out.select(
         "doc_id", "held_out", "n_tokens", (F.col("n_known") + F.coalesce("known", F.lit(0))).alias("n_known"), F.lit(table.total).cast("long").alias("train_tokens"),
