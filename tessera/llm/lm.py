@@ -35,14 +35,14 @@ import hashlib
 import zlib
 from collections import Counter
 from collections.abc import Callable, Iterator
-from itertools import chain, compress, repeat
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tessera.llm.common import id_and_text, in_chunks, text_chunks, written
+from tessera.llm.common import SPACES, id_and_text, in_chunks, text_chunks, written
 
 FOLDS, HELD_OUT = 5, 1
 VOCABULARY = 1024
@@ -60,23 +60,32 @@ WARM = 50  # steps over which a round's rate rises
 CHECKED = 32  # one in so many of the training documents only checks
 STRENGTHS = (0.0, 0.25, 0.5, 0.75, 1.0)
 TOP = np.float32(60)  # of a logit, as float32 can hold its exponential
+BLOCK = 2048  # tokens of a softmax at once, which a core's cache holds
 LONG = 64
 CHUNK_BYTES = 8_000_000
 COUNTED_BYTES = 1_000_000
 KEPT_COUNTS = 200_000
 END = b" "  # no word holds a space
+GAP = np.isin(np.arange(256), list(SPACES))
 CHUNK_ENTRIES = 4_000_000  # scored side by side
 READ = "row long, at long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, within double, entries binary, rare array<binary>, times array<int>"
 SCORED = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base_score double, score double"
 
 
-def tokens(text: bytes) -> list[bytes]:
-    """Words of a text, lower-cased, long ones by digest, and the end."""
-    words = text.lower().split()
-    if len(text) > LONG and words and max(map(len, words)) > LONG:
-        words = [w if len(w) <= LONG else b" " + hashlib.md5(w).hexdigest().encode() for w in words]
-    words.append(END)
-    return words
+def split(texts: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """Words of all texts in order, lower-cased, long ones by digest; the number of each text's."""
+    data = np.frombuffer(b" ".join([*texts, b""]).lower(), np.uint8)
+    gap = GAP[data]
+    turns = np.flatnonzero(np.diff(gap, prepend=True))  # a word's start and its end in turn, as a gap follows each text
+    starts, sizes = turns[::2], turns[1::2] - turns[::2]
+    offsets = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int32)
+    words = pa.Array.from_buffers(pa.binary(), len(sizes), [None, pa.py_buffer(offsets), pa.py_buffer(data[~gap])])
+    long = sizes > LONG
+    if long.any():
+        digests = [b" " + hashlib.md5(w).hexdigest().encode() for w in words.filter(pa.array(long)).to_pylist()]
+        words = pc.replace_with_mask(words, pa.array(long), pa.array(digests, pa.binary()))
+    ends = np.cumsum([len(t) + 1 for t in texts])
+    return words, np.diff(np.searchsorted(starts, ends), prepend=0)
 
 
 def fold(doc_id: int | None) -> int:
@@ -87,21 +96,26 @@ def count_words(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     """(word, n) over all training documents, a written table."""
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        total: Counter[bytes] = Counter()
+        found: list[pa.Table] = []
 
-        def out() -> pa.RecordBatch:
-            b = pa.RecordBatch.from_arrays([pa.array(list(total), pa.binary()), pa.array(list(total.values()), pa.int64())], ["word", "n"])
-            total.clear()
-            return b
+        def together() -> list[pa.RecordBatch]:
+            t = pa.concat_tables(found).group_by("word", use_threads=False).aggregate([("n", "sum")])
+            found[:] = [t.select(["word", "n_sum"]).rename_columns(["word", "n"])]
+            return found[0].combine_chunks().to_batches()
 
         for b in batches:
             for ids, texts in text_chunks(b.column(0), b.column(1), COUNTED_BYTES):
-                for doc_id, text in zip(ids, texts, strict=True):
-                    if fold(doc_id) != HELD_OUT:
-                        total.update(tokens(text))
-                        if len(total) > KEPT_COUNTS:
-                            yield out()
-        yield out()
+                texts = [text for doc_id, text in zip(ids, texts, strict=True) if fold(doc_id) != HELD_OUT]
+                each = split(texts)[0].value_counts()
+                found.append(pa.table({"word": each.field(0), "n": each.field(1)}))
+                found.append(pa.table({"word": pa.array([END] * bool(texts), pa.binary()), "n": pa.array([len(texts)] * bool(texts), pa.int64())}))
+                if sum(map(len, found)) > KEPT_COUNTS:
+                    out = together()
+                    if len(found[0]) > KEPT_COUNTS // 2:
+                        yield from out
+                        found.clear()
+        if found:
+            yield from together()
 
     return written(id_and_text(df, id_col, text_col).mapInArrow(rows, "word binary, n long").groupBy("word").agg(F.sum("n").alias("n")), "counts")
 
@@ -111,12 +125,12 @@ class Table:
 
     def __init__(self, words: list[bytes], counts: list[int], total: int, types: int) -> None:
         self.total, self.types = total, types
-        self.number = {w: k for k, w in enumerate(words)}
+        self.words = pa.array(words, pa.binary())
         self.count = np.array(counts, np.float64)
         self.floor = total + 0.5 * (types + 1)
         self.base = np.append(np.log10((self.count + 0.5) / self.floor), 0.0)  # the last is for rare words, which are joined
         # entry 0 of the model's vocabulary is for all other words
-        end = self.number.get(END)
+        self.end = end = words.index(END) if END in words else None
         chosen = [k for k in range(min(VOCABULARY - 1, len(words)))]
         if end is not None and end not in chosen:
             chosen[-1] = end
@@ -131,9 +145,11 @@ class Table:
         self.within[-1] = 0.0
         self.other = float(np.log10(p[0]))
 
-    def numbers(self, split: list[list[bytes]]) -> np.ndarray:
-        """Numbers of the tokens of all texts; rare words have the last."""
-        return np.fromiter(map(self.number.get, chain.from_iterable(split), repeat(len(self.number))), np.int64, sum(map(len, split)))
+    def numbers(self, words: pa.Array, per: np.ndarray) -> np.ndarray:
+        """Numbers of the tokens of all texts, an end after each text's words; rare words have the last."""
+        rare = len(self.words)
+        own = pc.fill_null(pc.index_in(words, value_set=self.words), rare).to_numpy()
+        return np.insert(own, np.cumsum(per), rare if self.end is None else self.end)
 
 
 def load_table(counts: DataFrame) -> Table:
@@ -153,6 +169,30 @@ def load_table(counts: DataFrame) -> Table:
     return Table([words[k] for k in order], [int(found[k]) for k in order], whole.n, whole.v)
 
 
+def by_gate(rows: np.ndarray) -> np.ndarray:
+    """Rows for z, g and the candidate side by side as three tables, each without gaps: numpy is several times as fast on those."""
+    return np.ascontiguousarray(rows.reshape(-1, 3, HIDDEN).transpose(1, 0, 2))
+
+
+def unit(x: np.ndarray, h: np.ndarray, rec: np.ndarray, r: np.ndarray) -> np.ndarray:
+    """The state after h. x, of three tables, becomes z, g and the candidate; r becomes what the state gives to each."""
+    np.matmul(h, rec, out=r)
+    gates, c = x[:2], x[2]
+    gates += r[:2]
+    np.negative(gates, out=gates)
+    if gates.max() > TOP:
+        np.minimum(gates, TOP, out=gates)
+    np.exp(gates, out=gates)
+    gates += 1
+    np.reciprocal(gates, out=gates)
+    c += x[1] * r[2]
+    np.tanh(c, out=c)
+    new = c - h
+    new *= x[0]
+    new += h
+    return new
+
+
 class Model:
     """A GRU with a class-factored output. Arrays are float32."""
 
@@ -191,16 +231,8 @@ class Model:
 
     def step(self, x: np.ndarray, h: np.ndarray) -> tuple[np.ndarray, ...]:
         """One step: x is rows of ``inp`` plus bias. Returns the new state and what backpropagation needs."""
-        n = HIDDEN
-        r = h @ self.rec
-        gates = x[:, : 2 * n] + r[:, : 2 * n]
-        np.negative(gates, out=gates)
-        np.exp(np.minimum(gates, TOP, out=gates), out=gates)
-        gates += 1
-        np.reciprocal(gates, out=gates)
-        z, g = gates[:, :n], gates[:, n:]
-        c = np.tanh(x[:, 2 * n :] + g * r[:, 2 * n :])
-        return h + z * (c - h), z, g, c, r[:, 2 * n :]
+        x, r = by_gate(x), np.empty((3, *h.shape), np.float32)
+        return unit(x, h, by_gate(self.rec), r), *x, r[2]
 
     def log_probs(self, hs: np.ndarray, words: np.ndarray, grads: dict | None = None) -> tuple[np.ndarray, np.ndarray | None]:
         """Natural log-probabilities of words after states hs; with grads, adds to it and returns d/d hs of their sum."""
@@ -208,34 +240,32 @@ class Model:
         order = np.argsort(k, kind="stable")
         hs, k, place = hs[order], k[order], self.place[words[order]]
         cuts, rows = np.searchsorted(k, np.arange(CLASSES + 1)), np.arange(len(words))
-
-        def softmax(own: np.ndarray, weights: np.ndarray, bias: np.ndarray, said: np.ndarray, name: str, part: int | None) -> tuple[np.ndarray, np.ndarray | None]:
-            """Log-probabilities of the entries said, and d/d own of their sum."""
-            a = own @ weights
-            a += bias
-            np.minimum(a, TOP, out=a)
-            at = rows[: len(own)]
-            lp = a[at, said]
+        lp, back = np.zeros(len(words), np.float32), None if grads is None else np.zeros_like(hs)
+
+        def softmax(lo: int, hi: int, weights: np.ndarray, bias: np.ndarray, said: np.ndarray, name: str, part: int | slice) -> None:
+            """Adds log-probabilities of the entries said by tokens lo to hi, and d/d hs of their sum. A column for each token, as numpy is faster on long rows."""
+            a = weights.T @ hs[lo:hi].T
+            a += bias[:, None]
+            if a.max() > TOP:
+                np.minimum(a, TOP, out=a)
+            at = said[lo:hi] * np.intp(hi - lo) + rows[: hi - lo]
+            lp[lo:hi] += a.ravel()[at]
             e = np.exp(a, out=a)
-            total = e @ np.ones((e.shape[1], 1), np.float32)  # faster than a sum over so few
-            lp -= np.log(total[:, 0])
-            if grads is None:
-                return lp, None
-            e /= -total
-            e[at, said] += 1
-            here = slice(None) if part is None else part
-            grads[name][here] += own.T @ e
-            grads[name + "_b"][here] += e.sum(0)
-            return lp, e @ weights.T
-
-        lp, back = softmax(hs, self.cls, self.cls_b, k, "cls", None)
+            total = e.sum(0)
+            lp[lo:hi] -= np.log(total)
+            if back is None:
+                return
+            e *= np.reciprocal(np.negative(total, out=total), out=total)
+            e.ravel()[at] += 1
+            grads[name][part] += (e @ hs[lo:hi]).T
+            grads[name + "_b"][part] += e.sum(1)
+            back[lo:hi] += e.T @ weights.T
+
+        for lo in range(0, len(words), BLOCK):
+            softmax(lo, min(lo + BLOCK, len(words)), self.cls, self.cls_b, k, "cls", slice(None))
         for c in range(CLASSES):
-            lo, hi = cuts[c], cuts[c + 1]
-            if lo < hi:
-                more, down = softmax(hs[lo:hi], self.out[c], self.out_b[c], place[lo:hi], "out", c)
-                lp[lo:hi] += more
-                if down is not None:
-                    back[lo:hi] += down
+            for lo in range(cuts[c], cuts[c + 1], BLOCK):
+                softmax(lo, min(lo + BLOCK, cuts[c + 1]), self.out[c], self.out_b[c], place, "out", c)
         out, down = np.empty_like(lp), None
         out[order] = lp
         if back is not None:
@@ -307,41 +337,50 @@ def train_shard(model: Model, entries: np.ndarray, sizes: np.ndarray, adam: Adam
     n = HIDDEN
     for lo, hi, width in lanes.windows(WINDOW):
         h, steps = state[:width], hi - lo
-        before, hs, z, g, c, rc = (np.empty((steps, width, n), np.float32) for _ in range(6))
-        keep = ~lanes.first[lo:hi, :width, None]
-        fed = lanes.fed[lo:hi, :width]
+        ready, rec, down = by_gate(model.inp + model.bias), by_gate(model.rec), np.ascontiguousarray(model.rec.reshape(n, 3, n).transpose(1, 2, 0))
+        before, hs, dc = (np.empty((steps, width, n), np.float32) for _ in range(3))
+        gates, r, dr = (np.empty((steps, 3, width, n), np.float32) for _ in range(3))
+        new = [np.flatnonzero(x) for x in lanes.first[lo:hi, :width]]
+        fed = lanes.fed[lo:hi, :width].astype(np.intp)
         for t in range(steps):
-            np.multiply(h, keep[t], out=before[t])
-            h, z[t], g[t], c[t], rc[t] = model.step(model.inp[fed[t]] + model.bias, before[t])
-            hs[t] = h
+            before[t] = h
+            before[t, new[t]] = 0
+            h = hs[t] = unit(np.take(ready, fed[t], 1, out=gates[t], mode="clip"), before[t], rec, r[t])
         state[:width] = h
         grads = {k: np.zeros_like(getattr(model, k)) for k in Model.NAMES}
         _, back = model.log_probs(hs.reshape(-1, n), lanes.said[lo:hi, :width].ravel(), grads)
-        back = back.reshape(steps, width, n)
-        # what a state's gradient is multiplied with on its way to the gate z and the candidate, and the candidate's to the gate g and the state's part
-        first, second = np.empty((steps, 2, width, n), np.float32), np.empty((steps, 2, width, n), np.float32)
-        first[:, 0], first[:, 1] = (c - before) * z * (1 - z), z * (1 - c * c)
-        second[:, 0], second[:, 1] = rc * g * (1 - g), g
-        stay, down = 1 - z, np.ascontiguousarray(model.rec.reshape(n, 3, n).transpose(1, 2, 0))
-        carry, dc, dr = np.zeros((width, n), np.float32), np.empty((steps, width, n), np.float32), np.empty((steps, 3, width, n), np.float32)
+        back, carry = back.reshape(steps, width, n), np.zeros((width, n), np.float32)
         for t in range(steps - 1, -1, -1):
-            d = back[t] + carry
-            np.multiply(d, first[t, 0], out=dr[t, 0])
-            np.multiply(d, first[t, 1], out=dc[t])
-            np.multiply(dc[t], second[t], out=dr[t, 1:])
-            d *= stay[t]
+            (z, g, c), d, (to_z, to_g, to_r) = gates[t], back[t], dr[t]
+            d += carry
+            stay = 1 - z
+            np.subtract(c, before[t], out=to_z)
+            to_z *= z
+            to_z *= stay
+            to_z *= d
+            np.multiply(c, c, out=dc[t])
+            np.subtract(1, dc[t], out=dc[t])
+            dc[t] *= z
+            dc[t] *= d
+            np.multiply(dc[t], g, out=to_r)
+            np.subtract(1, g, out=to_g)
+            to_g *= r[t, 2]
+            to_g *= to_r
+            stay *= d
             for x in np.matmul(dr[t], down):
-                d += x
-            d *= keep[t]
-            carry = d
-        flat = np.concatenate([dr[:, 0], dr[:, 1], dc], 2).reshape(-1, 3 * n)
+                stay += x
+            stay[new[t]] = 0
+            carry = stay
         by = before.reshape(-1, n).T
         for k in range(3):
             grads["rec"][:, k * n : (k + 1) * n] = by @ dr[:, k].reshape(-1, n)
-        grads["bias"] += flat.sum(0)
-        order = np.argsort(fed.ravel(), kind="stable")
+        # of the input: sums of the tokens of an entry, which are brought side by side
+        order = np.argsort(lanes.fed[lo:hi, :width].ravel(), kind="stable")
         some, cut = np.unique(fed.ravel()[order], return_index=True)
-        grads["inp"][some] = np.add.reduceat(flat[order], cut)
+        for k, x in enumerate((dr[:, 0], dr[:, 1], dc)):
+            part = np.ascontiguousarray(x.reshape(-1, n)[order].T)
+            grads["inp"][some, k * n : (k + 1) * n] = np.add.reduceat(part, cut, 1).T
+        grads["bias"] += grads["inp"].sum(0)
         adam.step(model, grads, 1.0 / ((hi - lo) * width))
     return model
 
@@ -416,16 +455,21 @@ def read_texts(df: DataFrame, table: Table, id_col: str, text_col: str) -> DataF
         t, row = shared.value, TaskContext.get().partitionId() << 33
         for b in batches:
             for ids, texts in text_chunks(b.column(0), b.column(1), CHUNK_BYTES):
-                numbers, seldom, n, rare = [], [], len(ids), len(t.number)
-                for k, text in enumerate(texts):
-                    words, texts[k] = tokens(text), b""
-                    own = t.numbers([words]).astype(np.int32)
-                    numbers.append(own)
-                    seldom.append(Counter(compress(words, own == rare)))
-                sizes = np.array([len(x) for x in numbers], np.int64)
-                entries = [t.entry[x].astype("<u2").tobytes() for x in numbers]
+                n, rare = len(ids), len(t.words)
+                words, per = split(texts)
+                del texts
+                numbers, sizes = t.numbers(words, per), per + 1
+                ends = np.cumsum(sizes)
+                owner, entries = np.repeat(np.arange(n, dtype=np.int32), sizes), t.entry[numbers].astype("<u2").tobytes()
+                entries = [entries[2 * (e - k) : 2 * e] for e, k in zip(ends.tolist(), sizes.tolist(), strict=True)]
                 at = [zlib.crc32(f, zlib.crc32(str(d).encode())) for d, f in zip(ids, entries, strict=True)]
-                numbers, owner = np.concatenate(numbers), np.repeat(np.arange(n, dtype=np.int32), sizes)
+                # an end is rare where no document trains
+                missed = np.flatnonzero(numbers == rare)
+                last = missed == ends[owner[missed]] - 1
+                few = np.empty(len(missed), object)
+                few[last], few[~last] = END, words.take(pa.array((missed - owner[missed])[~last])).to_pylist()
+                cuts = np.searchsorted(missed, [0, *ends]).tolist()
+                seldom = [Counter(few[lo:hi].tolist()) for lo, hi in zip(cuts[:-1], cuts[1:], strict=True)]
                 per = lambda x, owner=owner, n=n: np.bincount(owner, x, n)
                 yield pa.RecordBatch.from_arrays(
                     [
@@ -459,12 +503,13 @@ def model_scores(model: Model, entries: np.ndarray, sizes: np.ndarray, lanes: in
     """Natural log-probability of each document's entries, states carried across windows."""
     laid = Lanes(entries, sizes, min(lanes, max(8, int(sizes.sum()) // max(1, int(sizes.max(initial=1))))))
     state, out = np.zeros((laid.fed.shape[1], HIDDEN), np.float32), np.zeros(len(sizes))
-    ready = model.inp + model.bias
+    ready, rec = by_gate(model.inp + model.bias), by_gate(model.rec)
     for lo, hi, width in laid.windows(WINDOW):
         h, hs = state[:width], np.empty((hi - lo, width, HIDDEN), np.float32)
-        for t in range(lo, hi):
-            h = model.step(ready[laid.fed[t, :width]], h * ~laid.first[t, :width, None])[0]
-            hs[t - lo] = h
+        x, r = np.empty((3, width, HIDDEN), np.float32), np.empty((3, width, HIDDEN), np.float32)
+        for t, fed in enumerate(laid.fed[lo:hi, :width].astype(np.intp), lo):
+            h[np.flatnonzero(laid.first[t, :width])] = 0
+            h = hs[t - lo] = unit(np.take(ready, fed, 1, out=x, mode="clip"), h, rec, r)
         state[:width] = h
         lp, _ = model.log_probs(hs.reshape(-1, HIDDEN), laid.said[lo:hi, :width].ravel())
         out += np.bincount(laid.doc[lo:hi, :width].ravel(), lp.astype(np.float64), len(sizes))
