@@ -8,6 +8,8 @@ from pyspark.sql import functions as F
 #: Content types in the order in which they are shown. Fixed values.
 CONTENT_TYPES = ("news", "press_release", "preprint", "peer_reviewed", "report")
 ROLES = ("primary", "supporting", "background")
+#: Shards in which a topic's list is ordered before it is ordered as one.
+SHARDS = 64
 
 
 def rank_of(value: Column, order: tuple[str, ...]) -> Column:
@@ -112,15 +114,34 @@ def kept_by(clusters: DataFrame, marks: DataFrame, user_id: int | None = None, m
     return met.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most)
 
 
-def for_you(clusters: DataFrame, cluster_topics: DataFrame, topics: DataFrame, follows: DataFrame, saves: DataFrame, hides: DataFrame, size: int = 20) -> DataFrame:
-    """Each user's active clusters: on a followed topic (or a child of it) or saved, and not hidden; the first ``size``."""
-    wide = follows.join(topics.select(F.col("id"), F.col("parent_id")), (F.col("topic_id") == F.col("id"))).select("user_id", "topic_id")
+def followed_topics(follows: DataFrame, topics: DataFrame) -> DataFrame:
+    """(user_id, topic_id), once each: followed topics and their children."""
+    wide = follows.join(topics.select("id"), follows.topic_id == F.col("id")).select("user_id", "topic_id")
     below = follows.select("user_id", F.col("topic_id").alias("parent_id")).join(topics.where("parent_id IS NOT NULL").select(F.col("id").alias("topic_id"), "parent_id"), "parent_id").select("user_id", "topic_id")
-    followed = wide.union(below).distinct().join(cluster_topics.select("topic_id", "cluster_id"), "topic_id").select("user_id", "cluster_id")
-    wanted = followed.union(saves.select("user_id", "cluster_id")).distinct().join(hides, ["user_id", "cluster_id"], "left_anti")
-    met = wanted.join(clusters.where("status = 'active'").select(F.col("id").alias("cluster_id"), "updated_at"), "cluster_id")
-    order = Window.partitionBy("user_id").orderBy(newest("updated_at"), "cluster_id")
-    return met.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= size)
+    return wide.union(below).distinct()
+
+
+def for_you(clusters: DataFrame, cluster_topics: DataFrame, topics: DataFrame, follows: DataFrame, saves: DataFrame, hides: DataFrame, size: int = 20) -> DataFrame:
+    """Each user's active clusters: on a followed topic (or a child of it) or saved, and not hidden; the first ``size``.
+
+    Of a topic a user's page holds none but its newest ``size``, and one more for each that the user has hidden on it; so a user
+    meets that many places of a topic's list, not all its clusters. Lists are cut in shards first, then whole.
+    """
+    active = clusters.where("status = 'active'").select(F.col("id").alias("cluster_id"), "updated_at")
+    followed = followed_topics(follows, topics)
+    hidden = hides.select("user_id", "cluster_id").distinct()
+    listed = cluster_topics.select("topic_id", "cluster_id").join(active, "cluster_id").groupBy("topic_id", "cluster_id").agg(F.max("updated_at").alias("updated_at"))
+    gone = hidden.join(listed.select("topic_id", "cluster_id"), "cluster_id").join(followed, ["user_id", "topic_id"], "left_semi").groupBy("user_id", "topic_id").agg(F.count("*").alias("gone"))
+    wants = followed.join(gone, ["user_id", "topic_id"], "left").select("user_id", "topic_id", (F.coalesce("gone", F.lit(0)) + size).alias("most"))
+    longest = wants.groupBy("topic_id").agg(F.max("most").alias("longest"))
+    order = [newest("updated_at"), F.col("cluster_id")]
+    shard = listed.join(longest, "topic_id").withColumn("shard", F.pmod(F.hash("cluster_id"), F.lit(SHARDS)))
+    first = shard.withColumn("place", F.row_number().over(Window.partitionBy("topic_id", "shard").orderBy(*order))).where("place <= longest")
+    places = first.withColumn("place", F.row_number().over(Window.partitionBy("topic_id").orderBy(*order))).where("place <= longest").select("topic_id", "place", "cluster_id")
+    met = wants.select("user_id", "topic_id", F.explode(F.sequence(F.lit(1), F.col("most").cast("int"))).alias("place")).join(places, ["topic_id", "place"])
+    wanted = met.select("user_id", "cluster_id").union(saves.select("user_id", "cluster_id")).distinct().join(hidden, ["user_id", "cluster_id"], "left_anti")
+    mine = Window.partitionBy("user_id").orderBy(*order)
+    return wanted.join(active, "cluster_id").withColumn("rn", F.row_number().over(mine)).where(F.col("rn") <= size)
 
 
 def latest_per_cluster(log: DataFrame, most: int) -> DataFrame:
