@@ -46,9 +46,15 @@ def cluster_update_jobs(log: DataFrame, watches: DataFrame, prefs: DataFrame, no
 
 
 def topic_digests(follows: DataFrame, cluster_topics: DataFrame, clusters: DataFrame, begin: Column, end: Column, most: int = 50) -> DataFrame:
-    """(user_id, n, cluster_ids): active clusters of followed topics (no roll-up) updated in the period, newest first."""
+    """(user_id, n, cluster_ids): active clusters of followed topics (no roll-up) updated in the period, newest first.
+
+    A topic gives a user its newest ``most`` at the most, so users meet those alone.
+    """
     fresh = clusters.where((F.col("status") == "active") & (F.col("updated_at") >= begin) & (F.col("updated_at") < end)).select(F.col("id").alias("cluster_id"), "updated_at")
-    met = follows.join(cluster_topics.select("topic_id", "cluster_id"), "topic_id").join(fresh, "cluster_id").select("user_id", "cluster_id", "updated_at").distinct()
+    listed = cluster_topics.select("topic_id", "cluster_id").join(fresh, "cluster_id").select("topic_id", "cluster_id", "updated_at").distinct()
+    newest = Window.partitionBy("topic_id").orderBy(F.col("updated_at").desc(), "cluster_id")
+    first = listed.withColumn("place", F.row_number().over(newest)).where(F.col("place") <= most)
+    met = follows.select("user_id", "topic_id").distinct().join(first, "topic_id").select("user_id", "cluster_id", "updated_at").distinct()
     order = Window.partitionBy("user_id").orderBy(F.col("updated_at").desc(), "cluster_id")
     top = met.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most)
     return top.groupBy("user_id").agg(F.count("*").alias("n"), F.transform(F.array_sort(F.collect_list(F.struct("rn", "cluster_id"))), lambda x: x["cluster_id"]).alias("cluster_ids"))

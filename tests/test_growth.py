@@ -2,10 +2,10 @@
 
 from __future__ import annotations
 
-from datetime import datetime
+from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
-from tessera.operators import feeds
+from tessera.operators import feeds, notify
 
 DAY = datetime(2024, 1, 1)
 
@@ -50,3 +50,13 @@ def test_for_you_meets_each_users_first_places(spark):
     assert found[0] == top(lambda c: True) and found[1] == {1: 2} and found[2] == top(lambda c: c < 1970) and found[3] == top(lambda c: c % 2 == 0)
     assert found[500] == {1: 7} and len(found) == 401
     assert most_rows(out) < 40_000
+
+
+def test_digests_meet_each_topics_newest(spark):
+    clusters, on, _ = stories(spark)
+    follows = spark.range(400).selectExpr("id AS user_id", "11L + id % 2 AS topic_id")
+    out = notify.topic_digests(follows.union(follows), on, clusters, F.lit(DAY), F.lit(DAY + timedelta(days=1)), most=50)
+    found = {r.user_id: (r.n, r.cluster_ids) for r in out.collect()}
+    newest = [c for c in range(1999, -1, -1) if c % 10]
+    assert found[0] == (50, newest[:50]) and found[1] == (50, [c for c in newest if c % 2 == 0][:50]) and len(found) == 400
+    assert most_rows(out) < 40_000
