@@ -241,17 +241,20 @@ def assignment_log(found: DataFrame, how: Settings = Settings()) -> DataFrame:
 def candidates_by_identifier(asked: DataFrame, items: DataFrame, members: DataFrame, clusters: DataFrame, most: int = 10) -> DataFrame:
     """(item_id, cluster_id, rn): open clusters with an item of the same arXiv id or DOI as each asked one, newest first.
 
-    Two joins on one identifier each, so neither is a join on "either".
+    Two joins on one identifier each, so neither is a join on "either". An identifier gives an item its newest ``most`` clusters at the most,
+    so items meet those alone.
     """
-    held = items.select(F.col("id").alias("m"), "arxiv_id", "doi").join(members.select(F.col("item_id").alias("m"), "cluster_id"), "m")
+    open_ = clusters.where(F.col("status").isin("active", "pending")).select(F.col("id").alias("cluster_id"), "updated_at")
+    held = items.select(F.col("id").alias("m"), "arxiv_id", "doi").join(members.select(F.col("item_id").alias("m"), "cluster_id"), "m").join(open_, "cluster_id")
+    newest = [F.col("updated_at").desc(), F.col("cluster_id")]
     pairs = None
     for c in ("arxiv_id", "doi"):
-        one = asked.where(F.col(c).isNotNull()).select(F.col("id").alias("item_id"), c).join(held.select(c, "cluster_id"), c).select("item_id", "cluster_id")
+        listed = held.where(F.col(c).isNotNull()).select(c, "cluster_id", "updated_at").distinct()
+        first = listed.withColumn("place", F.row_number().over(Window.partitionBy(c).orderBy(*newest))).where(F.col("place") <= most)
+        one = asked.where(F.col(c).isNotNull()).select(F.col("id").alias("item_id"), c).join(first, c).select("item_id", "cluster_id", "updated_at")
         pairs = one if pairs is None else pairs.union(one)
-    open_ = clusters.where(F.col("status").isin("active", "pending")).select(F.col("id").alias("cluster_id"), "updated_at")
-    met = pairs.distinct().join(open_, "cluster_id")
-    order = Window.partitionBy("item_id").orderBy(F.col("updated_at").desc(), "cluster_id")
-    return met.withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most).select("item_id", "cluster_id", "rn")
+    ranked = pairs.distinct().withColumn("rn", F.row_number().over(Window.partitionBy("item_id").orderBy(*newest)))
+    return ranked.where(F.col("rn") <= most).select("item_id", "cluster_id", "rn")
 
 
 def assign_to_stories(clusters: DataFrame, members: DataFrame, items: DataFrame, how: Settings = Settings(), logged: bool = False) -> DataFrame:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
-from tessera.operators import feeds, notify
+from tessera.operators import clustering, feeds, notify
 
 DAY = datetime(2024, 1, 1)
 
@@ -60,3 +60,18 @@ def test_digests_meet_each_topics_newest(spark):
     newest = [c for c in range(1999, -1, -1) if c % 10]
     assert found[0] == (50, newest[:50]) and found[1] == (50, [c for c in newest if c % 2 == 0][:50]) and len(found) == 400
     assert most_rows(out) < 40_000
+
+
+def test_candidates_are_an_identifiers_newest(spark):
+    """2000 items share an arXiv id, half of them a DOI too; a cluster each, in two of which an item lies twice."""
+    clusters, _, _ = stories(spark)
+    items = spark.range(2000).selectExpr("id", "'2401.00001' AS arxiv_id", "CASE WHEN id % 2 = 0 THEN '10.1/x' END AS doi")
+    members = spark.range(2000).selectExpr("id AS item_id", "id AS cluster_id").union(spark.createDataFrame([(1999, 1999), (0, 1)], "item_id long, cluster_id long"))
+    asked = items.where("id < 200").union(spark.createDataFrame([(5000, None, "10.1/x"), (5001, None, None)], "id long, arxiv_id string, doi string"))
+    out = clustering.candidates_by_identifier(asked, items, members, clusters)
+    found = {}
+    for r in out.collect():
+        found.setdefault(r.item_id, {})[r.rn] = r.cluster_id
+    open_ = list(range(1999, -1, -1))
+    assert found[0] == found[1] == dict(enumerate(open_[:10], 1)) and found[5000] == dict(enumerate([c for c in open_ if c % 2 == 0][:10], 1)) and len(found) == 201
+    assert most_rows(out) < 10_000
