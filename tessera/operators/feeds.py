@@ -91,19 +91,21 @@ def evidence(members: DataFrame, items: DataFrame, most: int = 10) -> DataFrame:
 
 def featured_image(members: DataFrame, items: DataFrame) -> DataFrame:
     """(cluster_id, image_url): that of the newest member that has one."""
-    best = F.min_by("image_url", F.struct(F.col("published_at").isNull(), -F.unix_timestamp(F.coalesce("published_at", F.lit("1970-01-01").cast("timestamp")).cast("timestamp")), -F.unix_timestamp(F.col("fetched_at").cast("timestamp")), "item_id"))
+    # a time as two fields that order it from the newest, null last
+    latest = lambda c: (F.col(c).isNull(), -F.coalesce(F.unix_micros(F.col(c).cast("timestamp")), F.lit(0)))
+    best = F.min_by("image_url", F.struct(*latest("published_at"), *latest("fetched_at"), "item_id"))
     return member_items(members, items).where("image_url IS NOT NULL").groupBy("cluster_id").agg(best.alias("image_url"))
 
 
 def cards(clusters: DataFrame, cluster_topics: DataFrame, topics: DataFrame, badges: DataFrame, images: DataFrame, most: int = 5) -> DataFrame:
-    """Clusters with top topics, badges and image, from pre-aggregated sides."""
+    """Clusters with top topics, badges and image, from pre-aggregated sides. A cluster without members has no badges, an empty list."""
     order = Window.partitionBy("cluster_id").orderBy(F.col("score").desc(), "topic_id")
     top = cluster_topics.join(clusters, cluster_topics.cluster_id == clusters.id, "left_semi").withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most)
     named = top.join(topics.select(F.col("id").alias("topic_id"), "name"), "topic_id").groupBy("cluster_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("rn", "name"))), lambda x: x["name"]).alias("topics"))
     out = clusters
     for side in (named, badges, images):
         out = out.join(side.withColumnRenamed("cluster_id", "__c"), out.id == F.col("__c"), "left").drop("__c")
-    return out
+    return out.withColumn("content_types", F.coalesce("content_types", F.array().cast("array<string>")))
 
 
 def kept_by(clusters: DataFrame, marks: DataFrame, user_id: int | None = None, most: int = 200) -> DataFrame:
