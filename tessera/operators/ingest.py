@@ -18,8 +18,12 @@ def due_feeds(feeds: DataFrame, sources: DataFrame, age_minutes: Column, every:
 
 
 def feed_health(feeds: DataFrame, results: DataFrame) -> DataFrame:
-    """feeds with the results (id, ok, status) of a run: a success resets the error streak, a failure adds to it."""
-    r = results.select(F.col("id").alias("__id"), "ok", F.col("status").alias("__status"))
+    """feeds with the results (id, ok, status) of a run: a success resets the error streak, a failure adds to it.
+
+    Each row of feeds stays one row: of an id's results one counts, a success before a failure, then the least status.
+    """
+    one = results.groupBy("id").agg(F.min(F.struct(F.when(F.col("ok"), 0).when(~F.col("ok"), 1).otherwise(2).alias("k"), "ok", "status")).alias("r"))
+    r = one.select(F.col("id").alias("__id"), "r.ok", F.col("r.status").alias("__status"))
     out = feeds.join(r, feeds.id == F.col("__id"), "left")
     streak = F.when(F.col("ok"), 0).when(~F.col("ok"), F.coalesce("error_streak", F.lit(0)) + 1).otherwise(F.col("error_streak"))
     return out.withColumn("error_streak", streak).withColumn("last_status", F.col("__status")).drop("__id", "ok", "__status")

@@ -21,7 +21,7 @@ def due_feeds(t: Relations) -> DataFrame:
 
 @query("""SELECT id, CAST(CASE WHEN id % 3 = 0 THEN 0 WHEN id % 3 = 1 THEN coalesce(error_streak, 0) + 1 ELSE error_streak END AS bigint) AS error_streak, CASE WHEN id % 3 = 0 THEN '200' WHEN id % 3 = 1 THEN '503' END AS last_status FROM feeds""")
 def feed_health(t: Relations) -> DataFrame:
-    results = t["feeds"].where("id % 3 < 2").select("id", (F.col("id") % 3 == 0).alias("ok"), F.when(F.col("id") % 3 == 0, "200").otherwise("503").alias("status"))
+    results = t["feeds"].where("id % 3 IN (0, 1)").select("id", (F.col("id") % 3 == 0).alias("ok"), F.when(F.col("id") % 3 == 0, "200").otherwise("503").alias("status"))
     return ingest.feed_health(t["feeds"], results).select("id", F.col("error_streak").cast("long").alias("error_streak"), "last_status")
 
 

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from tessera.operators import feeds
+from tessera.operators import feeds, ingest
 
 DAY = datetime(2024, 1, 1)
 
@@ -26,3 +26,12 @@ def test_featured_images_by_whole_times(spark):
     rows = [("a", DAY, DAY), ("b", late, DAY), ("c", DAY, None), ("d", DAY, DAY), ("e", None, late), ("f", datetime(1960, 1, 1), DAY)]
     items = spark.createDataFrame([(i, "news", p, f, f"{i}.png", "T") for i, p, f in rows], "id string, content_type string, published_at timestamp, fetched_at timestamp, image_url string, title string")
     assert {r.cluster_id: r.image_url for r in feeds.featured_image(members, items).collect()} == {1: "b.png", 2: "d.png", 3: "f.png"}
+
+
+def test_feeds_of_one_id_stay_single_rows(spark):
+    rows = [(1, "x", 2), (1, "y", None), (2, "z", 3), (3, "w", 4)]
+    own = spark.createDataFrame(rows, "id long, feed_url string, error_streak long")
+    results = spark.createDataFrame([(1, False, "503"), (1, False, "503"), (2, False, "500"), (2, True, "200")], "id long, ok boolean, status string")
+    found = ingest.feed_health(own, results).collect()
+    got = {r.feed_url: (r.error_streak, r.last_status) for r in found}
+    assert len(found) == 4 and got == {"x": (3, "503"), "y": (1, "503"), "z": (0, "200"), "w": (4, None)}
