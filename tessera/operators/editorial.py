@@ -125,7 +125,7 @@ def quarantine_untaggable(clusters: DataFrame, members: DataFrame, texts: DataFr
 def with_ids(items: DataFrame, title: Column, url: Column) -> DataFrame:
     """items with arxiv_id and doi filled from their title and URL where missing."""
     both = F.concat_ws(" ", title, url)
-    return items.withColumn("arxiv_id", F.coalesce("arxiv_id", text.arxiv_id(both))).withColumn("doi", F.coalesce("doi", text.doi(both, trimmed=False)))
+    return items.withColumn("arxiv_id", F.coalesce("arxiv_id", text.arxiv_id(both, named=True))).withColumn("doi", F.coalesce("doi", text.doi(both, trimmed=False)))
 
 
 def upsert_search_docs(stored: DataFrame, fresh: DataFrame, now: Column) -> DataFrame:

@@ -4,7 +4,8 @@ from __future__ import annotations
 
 from datetime import datetime
 
-from tessera.operators import feeds, ingest
+from pyspark.sql import functions as F
+from tessera.operators import editorial, feeds, ingest
 
 DAY = datetime(2024, 1, 1)
 
@@ -35,3 +36,10 @@ def test_feeds_of_one_id_stay_single_rows(spark):
     found = ingest.feed_health(own, results).collect()
     got = {r.feed_url: (r.error_streak, r.last_status) for r in found}
     assert len(found) == 4 and got == {"x": (3, "503"), "y": (1, "503"), "z": (0, "200"), "w": (4, None)}
+
+
+def test_ids_of_more_digits_are_filled(spark):
+    rows = [(1, "see arXiv:2401.100000v2 now"), (2, "see arXiv:2401.10000v2"), (3, "1999.123456 of them"), (4, "arXiv:2401.1234567"), (5, "hep-th/0000002")]
+    items = spark.createDataFrame(rows, "id long, title string").selectExpr("*", "CAST(NULL AS string) AS arxiv_id", "CAST(NULL AS string) AS doi")
+    got = {r.id: r.arxiv_id for r in editorial.with_ids(items, F.col("title"), F.lit("https://site.example/")).collect()}
+    assert got == {1: "2401.100000v2", 2: "2401.10000v2", 3: None, 4: "2401.1234567", 5: "hep-th/0000002"}
