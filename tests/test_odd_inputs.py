@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime
 
 from pyspark.sql import functions as F
-from tessera.operators import editorial, feeds, ingest
+from tessera.operators import editorial, feeds, graph, ingest
 
 DAY = datetime(2024, 1, 1)
 
@@ -43,3 +43,12 @@ def test_ids_of_more_digits_are_filled(spark):
     items = spark.createDataFrame(rows, "id long, title string").selectExpr("*", "CAST(NULL AS string) AS arxiv_id", "CAST(NULL AS string) AS doi")
     got = {r.id: r.arxiv_id for r in editorial.with_ids(items, F.col("title"), F.lit("https://site.example/")).collect()}
     assert got == {1: "2401.100000v2", 2: "2401.10000v2", 3: None, 4: "2401.1234567", 5: "hep-th/0000002"}
+
+
+def test_lineage_is_cut_alike(spark):
+    """Edges between the same nodes are told apart by relation, in whatever order they come."""
+    nodes = spark.createDataFrame([(1, [7]), (2, [7])], "id long, topic_ids array<int>")
+    edges = [(1, 2, "contradicts"), (1, 2, "builds_on"), (1, 2, "contradicts")]
+    for given in (edges, edges[::-1], edges[1:] + edges[:1]):
+        found = graph.lineage(nodes, spark.createDataFrame(given, "from_id long, to_id long, relation string").coalesce(1), 7, most_edges=2)["edges"]
+        assert [r.relation for r in found.collect()] == ["builds_on", "contradicts"]
