@@ -89,10 +89,13 @@ def evidence(members: DataFrame, items: DataFrame, most: int = 10) -> DataFrame:
     return member_items(members, items).withColumn("rn", F.row_number().over(order)).where(F.col("rn") <= most)
 
 
+def latest(col: str) -> tuple[Column, Column]:
+    """A time as two fields that order it from the newest, null last."""
+    return F.col(col).isNull().alias(f"no_{col}"), (-F.coalesce(F.unix_micros(F.col(col).cast("timestamp")), F.lit(0))).alias(f"minus_{col}")
+
+
 def featured_image(members: DataFrame, items: DataFrame) -> DataFrame:
     """(cluster_id, image_url): that of the newest member that has one."""
-    # a time as two fields that order it from the newest, null last
-    latest = lambda c: (F.col(c).isNull(), -F.coalesce(F.unix_micros(F.col(c).cast("timestamp")), F.lit(0)))
     best = F.min_by("image_url", F.struct(*latest("published_at"), *latest("fetched_at"), "item_id"))
     return member_items(members, items).where("image_url IS NOT NULL").groupBy("cluster_id").agg(best.alias("image_url"))
 

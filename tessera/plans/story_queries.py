@@ -23,6 +23,10 @@ PAGES = """
     FROM clusters c LEFT JOIN nu ON nu.cluster_id = c.id LEFT JOIN so ON so.cluster_id = c.id LEFT JOIN im ON im.cluster_id = c.id LEFT JOIN tt ON tt.cluster_id = c.id LEFT JOIN ca ON ca.cluster_id = c.id LEFT JOIN gl ON gl.cluster_id = c.id WHERE status = 'active')"""
 
 
+#: What the written pages tell of an item.
+TOLD = ("item_id", "source_name")
+
+
 def written_out(pages: DataFrame) -> DataFrame:
     """Pages with their lists as text."""
     listed = lambda x: F.array_join(F.transform(x, lambda i: F.concat_ws("@", i["item_id"], i["source_name"])), ",")
@@ -42,7 +46,7 @@ def story_parts(t: Relations) -> list[DataFrame]:
 
 @query(f"{PAGES} SELECT * FROM pg")
 def story_pages(t: Relations) -> DataFrame:
-    return written_out(stories.pages(*story_parts(t)))
+    return written_out(stories.pages(*story_parts(t), shown=TOLD))
 
 
 @query(f"""{PAGES}, asked AS (SELECT DISTINCT conv_id AS id FROM conversations), rd AS (SELECT from_id AS id, min(to_id) AS to_id FROM redirects GROUP BY from_id)
@@ -51,4 +55,4 @@ def story_pages(t: Relations) -> DataFrame:
 def story_pages_asked(t: Relations) -> DataFrame:
     """Pages of the clusters that conversations are about, redirects told."""
     asked = t["conversations"].select(F.col("conv_id").alias("cluster_id"))
-    return written_out(stories.pages(*story_parts(t), asked=asked, redirects=t["redirects"]))
+    return written_out(stories.pages(*story_parts(t), asked=asked, redirects=t["redirects"], shown=TOLD))

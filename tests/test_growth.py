@@ -5,7 +5,7 @@ from __future__ import annotations
 from datetime import datetime, timedelta
 
 from pyspark.sql import functions as F
-from tessera.operators import clustering, feeds, notify
+from tessera.operators import clustering, feeds, notify, stories as story_pages
 
 DAY = datetime(2024, 1, 1)
 
@@ -75,3 +75,20 @@ def test_candidates_are_an_identifiers_newest(spark):
     open_ = list(range(1999, -1, -1))
     assert found[0] == found[1] == dict(enumerate(open_[:10], 1)) and found[5000] == dict(enumerate([c for c in open_ if c % 2 == 0][:10], 1)) and len(found) == 201
     assert most_rows(out) < 10_000
+
+
+def test_story_pages_join_items_once(spark):
+    """Members meet items in one join, from which lists, numbers and image come; numbers are those of the SQL where items or sources are missing."""
+    clusters = spark.createDataFrame([(1, "active"), (2, "active"), (3, "active")], "id long, status string")
+    members = spark.createDataFrame([(1, "a", 7), (1, "b", 7), (1, "c", 99), (2, "gone", 8), (2, "gone", 9)], "cluster_id long, item_id string, source_id long")
+    items = spark.createDataFrame([(i, "news", "T", DAY, DAY, f"{i}.png") for i in "abc"], "id string, content_type string, title string, published_at timestamp, fetched_at timestamp, image_url string")
+    sources = spark.createDataFrame([(7, "Seven"), (8, "Eight")], "id long, name string")
+    none = lambda schema: spark.createDataFrame([], schema)
+    out = story_pages.pages(
+        clusters, members, items, sources, none("cluster_id long, topic_id long, score double, locked boolean"), none("id long, name string, parent_id long"), none("id long, term string"),
+        none("cluster_id long, term_id long, score double"),
+    )
+    found = {r.id: (r.n_items, r.n_sources, r.image_url, [i.item_id for k in r.evidence for i in k["items"]]) for r in out.collect()}
+    assert found == {1: (2, 2, "a.png", ["a", "b"]), 2: (0, 2, None, []), 3: (0, 0, None, [])}
+    joins = [x for x in out._jdf.queryExecution().sparkPlan().toString().splitlines() if "Join" in x and "item_id" in x]
+    assert len(joins) == 1
