@@ -16,6 +16,7 @@ import heapq
 import json
 import math
 import uuid
+from collections import deque
 from dataclasses import dataclass
 
 import pandas as pd
@@ -145,6 +146,11 @@ def attachable(rows: DataFrame, how: Settings = Settings(), logged: bool = False
     return met.where(F.col("can") | (F.col("n") > how.candidates)).select("u", "v").distinct()
 
 
+def listed(words: str | list[str]) -> list[str]:
+    """Words that may come joined by spaces, which takes less room than a list."""
+    return words.split() if isinstance(words, str) else words
+
+
 PARTS = "overlap int, jaccard double, time_prox double, base_score double, new_source_bonus double, total_score double"
 
 
@@ -152,7 +158,7 @@ def standing(tokens: set[str], cluster: dict) -> tuple:
     """The rank of a cluster among those that hold all tokens: how near together its title's words hold them, then the newest."""
     if "places" not in cluster:
         places: dict[str, list[int]] = {}
-        for at, w in enumerate(cluster["words"], 1):
+        for at, w in enumerate(listed(cluster["words"]), 1):
             if w in cluster["tokens"]:
                 places.setdefault(w, []).append(at)
         cluster["places"] = places
@@ -161,7 +167,7 @@ def standing(tokens: set[str], cluster: dict) -> tuple:
 
 def score(r, mine: set[str], cluster: dict, how: Settings) -> tuple | None:
     """The parts of an item's score with a cluster that holds all its tokens, total last; null where too little is shared."""
-    overlap, union = len(mine), len(mine | cluster["tokens"])
+    overlap, union = len(mine), len(cluster["tokens"])
     if overlap < how.fewest or overlap / union < how.least_jaccard:
         return None
     near = math.exp(-abs(r.at - cluster["at"]) / 86400 / how.decay_days)
@@ -171,19 +177,31 @@ def score(r, mine: set[str], cluster: dict, how: Settings) -> tuple | None:
 
 
 def assign(rows: pd.DataFrame, how: Settings = Settings()) -> pd.DataFrame:
-    """The ordered loop over one group. rows: item_id, at (seconds), source_id, ident, tokens, words, founder (always founds a cluster)."""
+    """The ordered loop over one group. rows: item_id, at (seconds), source_id, ident, tokens, words (lists, or joined by spaces), founder (always founds a cluster).
+
+    Clusters that have left the time window are out of the lists for good, as items come in order of time; so an item meets its window, not all before it.
+    """
     rows = rows.sort_values(["at", "item_id"], kind="stable")
     named: dict[str, dict] = {}  # the newest cluster of each identifier
-    holding: dict[str, list[dict]] = {}  # clusters by token, in order of founding
+    holding: dict[str, deque[dict]] = {}  # clusters of the window by token, in order of founding
+    window: deque[dict] = deque()
     out, founded = [], 0
     for r in rows.itertuples():
-        mine, best, parts, scored = set(r.tokens), None, None, []
+        mine, best, parts, scored = set(listed(r.tokens)), None, None, []
+        while window and r.at - window[0]["at"] > how.window_days * 86400:
+            gone = window.popleft()
+            for w in gone["tokens"]:
+                holding[w].popleft()
+                if not holding[w]:
+                    del holding[w]
+            for text_of in ("tokens", "words", "places"):
+                gone.pop(text_of, None)
         by_identifier = isinstance(r.ident, str) and not r.founder and r.ident in named
         if by_identifier:
             best = named[r.ident]
             scored = [best["id"]]
         elif not r.founder and mine:
-            rarest = min((holding.get(w, []) for w in mine), key=len)
+            rarest = min((holding.get(w, ()) for w in mine), key=len)
             near = [c for c in rarest if mine <= c["tokens"] and r.at - c["at"] <= how.window_days * 86400]
             if len(near) > how.candidates:
                 near = heapq.nlargest(how.candidates, near, key=lambda c: standing(mine, c))
@@ -201,7 +219,8 @@ def assign(rows: pd.DataFrame, how: Settings = Settings()) -> pd.DataFrame:
             best = {"id": r.item_id, "n": founded, "tokens": mine, "words": r.words, "at": r.at, "sources": set()}
             founded += 1
             for w in mine:
-                holding.setdefault(w, []).append(best)
+                holding.setdefault(w, deque()).append(best)
+            window.append(best)
         best["sources"].add(r.source_id)
         if isinstance(r.ident, str) and (r.ident not in named or named[r.ident]["n"] < best["n"]):
             named[r.ident] = best
@@ -223,9 +242,18 @@ def cluster(items: DataFrame, how: Settings = Settings(), logged: bool = False)
     # a star to the first item of each identifier
     first = rows.where("ident IS NOT NULL").groupBy("ident").agg(F.min("item_id").alias("v"))
     links = links.union(rows.join(first, "ident").where("item_id <> v").select(F.col("item_id").alias("u"), "v"))
-    of = groups(links, rows.select(F.col("item_id").alias("node"))).withColumnRenamed("node", "item_id")
+    links = kept(links)
+    nodes = links.select(F.col("u").alias("node")).union(links.select("v")).distinct()
+    of = groups(links, nodes).withColumnRenamed("node", "item_id")
+    dropped(links)
     kind = dict(rows.dtypes)["item_id"]
-    found = rows.join(of, "item_id").groupBy("group").applyInPandas(lambda p: assign(p, how), f"item_id {kind}, cluster_id {kind}, decision string, by_identifier boolean, {PARTS}, scored array<{kind}>")
+    schema = f"item_id {kind}, cluster_id {kind}, decision string, by_identifier boolean, {PARTS}, scored array<{kind}>"
+    joined = {c: F.coalesce(F.array_join(c, " "), F.lit("")) for c in ("tokens", "words")}
+    found = rows.join(of, "item_id").withColumns(joined).groupBy("group").applyInPandas(lambda p: assign(p, how), schema)
+    # items without links found a cluster each
+    blank = {c.split()[0]: F.lit(None).cast(c.split()[1]) for c in PARTS.split(", ")}
+    alone = rows.where("item_id IS NOT NULL").join(of, "item_id", "left_anti").select("item_id", F.col("item_id").alias("cluster_id"), F.lit("new").alias("decision"), F.lit(False).alias("by_identifier"), *[v.alias(c) for c, v in blank.items()], F.array().cast(f"array<{kind}>").alias("scored"))
+    found = found.union(alone)
     return found if logged else found.select("item_id", "cluster_id", "decision")
 
 

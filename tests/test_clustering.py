@@ -89,3 +89,34 @@ def test_groups(spark):
     found = clustering.groups(spark.createDataFrame(edges, "u long, v long"), nodes, rounds=12).collect()
     assert len(found) == 900 and {r.node: r.group for r in found} == {k: root(k) for k in range(900)}
     assert clustering.groups(spark.createDataFrame([], "u long, v long"), nodes).count() == 900
+
+
+class Moment(float):
+    """A time that counts how often it is compared with an earlier one."""
+
+    seen = 0
+
+    def __sub__(self, other):
+        Moment.seen += 1
+        return float(self) - float(other)
+
+
+def test_items_meet_the_clusters_of_their_window_alone():
+    """600 days with a story that is never joined and an item whose tokens all of them hold; 14 days are looked at."""
+    rows = []
+    for day in range(600):
+        rows.append((2 * day, Moment(86400 * day), "s", None, ["heron", "pond", *[f"w{day}x{k}" for k in range(8)]], True))
+        rows.append((2 * day + 1, Moment(86400 * day + 3600), "s", None, ["heron", "pond"], False))
+    frame = pd.DataFrame(rows, columns=["item_id", "at", "source_id", "ident", "tokens", "founder"], dtype=object)
+    Moment.seen = 0
+    found = clustering.assign(frame.assign(words=frame.tokens))
+    assert found[found.decision == "attached"].shape[0] > 0 and found[found.item_id % 2 == 0].decision.eq("new").all()
+    assert 0 < Moment.seen < 40 * len(rows)
+    joined = clustering.assign(frame.assign(tokens=frame.tokens.str.join(" "), words=frame.tokens.str.join(" ")))
+    assert found.equals(joined)
+
+
+def test_items_without_links_found_their_own(spark):
+    df = spark.createDataFrame([(1, DAY, "s", "heron pond", None), (2, DAY, "s", None, None), (3, DAY + timedelta(hours=1), "t", "heron pond", None), (4, DAY, "s", None, "i"), (5, DAY, "s", None, "i")], SCHEMA)
+    got = {r.item_id: (r.cluster_id, r.decision, r.by_identifier, r.overlap, r.scored) for r in clustering.cluster(df, logged=True).collect()}
+    assert got == {1: (1, "new", False, None, []), 2: (2, "new", False, None, []), 3: (1, "attached", False, 2, [1]), 4: (4, "new", False, None, []), 5: (4, "attached", True, None, [4])}
